@@ -58,6 +58,17 @@ SELECT vec_id AS q_id,
        CASE vec_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive'
                        WHEN 2 THEN 'missing' ELSE NULL END AS focus
 FROM embeddings"""),
+    "scored": ((), """
+SELECT vec_id AS pos, CAST(label % 3 AS INTEGER) AS label,
+       list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 10.0) AS logits
+FROM embeddings"""),
+    "history": (("predictions",), """
+SELECT CAST(id % 6 + 1 AS DOUBLE) AS epoch,
+       avg(abs(CAST(label - pred AS DOUBLE))) AS train_loss,
+       avg(CAST(label - pred AS DOUBLE) * CAST(label - pred AS DOUBLE)) AS val_loss,
+       avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)::DOUBLE AS val_accuracy,
+       round_even(avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 1) AS val_f1_macro
+FROM predictions GROUP BY id % 6"""),
     "question_text": ((), """
 SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'"""),
 }
@@ -83,3 +94,19 @@ def with_views(*names: str) -> str:
         return ""
     parts = [f"{n} AS ({_VIEWS[n][1].strip()})" for n in order]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def sql_class_scores(src: str, true: str = "label", pred: str = "pred", by: str = "",
+                     prefix: str = "", lead: str = ",") -> str:
+    """Per-class support/predicted/tp and precision/recall/f1 as SQL CTEs
+    named ``{prefix}cc`` and ``{prefix}sc`` over relation ``src``."""
+    b = f"{by}, " if by else ""
+    return f"""
+{lead} {prefix}pairs AS (SELECT {b}{true} AS cls, 1 AS s, CASE WHEN {true} = {pred} THEN 1 ELSE 0 END AS tp, 0 AS pc FROM {src}
+            UNION ALL SELECT {b}{pred} AS cls, 0, 0, 1 FROM {src})
+, {prefix}cc AS (SELECT {b}cls, CAST(sum(s) AS BIGINT) AS support, CAST(sum(pc) AS BIGINT) AS predicted,
+                CAST(sum(tp) AS BIGINT) AS tp FROM {prefix}pairs GROUP BY {b}cls)
+, {prefix}sc AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+                CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+                CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0.0 END AS f1
+         FROM {prefix}cc)"""

@@ -108,3 +108,27 @@ def question_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     return (conv.filter(F.col("role") == "user")
             .select("conv_id", "turn", F.col("text").alias("question")))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scored evaluation set: 3 logits per embedding row (its first three
+    components, scaled), true label ``label % 3``, dense position ``vec_id``."""
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select(
+        F.col("vec_id").alias("pos"),
+        F.pmod(F.col("label"), F.lit(3)).cast("int").alias("label"),
+        F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10.0).alias("logits"),
+    )
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An epoch history derived from the predictions: six 'epochs' (id % 6),
+    losses and accuracy per epoch, macro F1 rounded to one place so that
+    exact ties occur."""
+    p = predictions(spark, sf_dir)
+    diff = (F.col("label") - F.col("pred")).cast("double")
+    return (p.groupBy((F.pmod(F.col("id"), F.lit(6)) + 1).cast("double").alias("epoch"))
+            .agg(F.avg(F.abs(diff)).alias("train_loss"),
+                 F.avg(diff * diff).alias("val_loss"),
+                 F.avg((F.col("label") == F.col("pred")).cast("double")).alias("val_accuracy"))
+            .withColumn("val_f1_macro", F.bround(F.col("val_accuracy"), 1)))
