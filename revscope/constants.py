@@ -34,6 +34,12 @@ KEYPHRASE_TOP_N = 5
 SNIPPET_LIMIT = 120
 TRUNCATE_LIMIT = 220
 PUBLIC_API_HOST = "api.openai.com"
+# answer sentences (extractive mode)
+FOUND_TEMPLATE = "Found {n} relevant reviews for: {question}"
+MOST_TEMPLATE = "Most retrieved reviews are {label} ({n}/{k})."
+FOCUS_TEMPLATE = "Sentiment focus applied: {focus}."
+THEMES_PREFIX = "Recurring themes: "
+EVIDENCE_PREFIX = "Example evidence: "
 NO_HITS_MESSAGE = (
     "No relevant reviews were found for this question. Try a broader query "
     "or rebuild the index with more data."

@@ -13,6 +13,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revscope.constants import MIN_QUESTION_CHARS, TRUNCATE_LIMIT
 
@@ -32,7 +33,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) else None)
 
@@ -78,15 +79,20 @@ def keyphrase_tokens(c) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Space-joined n-grams of one order; rows shorter than n give []."""
+    """Space-joined n-grams of one order; rows shorter than n give [].
+
+    Built by zipping shifted slices, so the lambdas only see their own
+    arguments: the token array is computed once per row (a lambda that
+    referred to it would re-evaluate the tokenizer for every position).
+    """
     a = _col(tokens)
     if n == 1:
         return a
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(a) - n + 1),
-        lambda i: F.array_join(F.slice(a, i, n), " "),
-    )
-    return F.when(F.size(a) >= n, grams).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(a) - n + 1, F.lit(0))
+    grams = F.slice(a, 1, m)
+    for j in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(a, j, m), lambda x, y: F.concat(x, F.lit(" "), y))
+    return grams
 
 
 def word_ngrams(tokens, n_min: int = 1, n_max: int = 2) -> Column:
@@ -169,3 +175,14 @@ def question_ok(c) -> Column:
 
 def format_score(c, digits: int = 4) -> Column:
     return F.format_string(f"%.{digits}f", _col(c))
+
+
+def fixed4(c) -> F.Column:
+    """'%.4f' of a non-negative value with at most 6 decimals, half-even,
+    by integer arithmetic (the same digits in every engine)."""
+    micro = F.round(_col(c) * 1000000).cast("long")
+    q, r = F.floor(micro / 100).cast("long"), F.pmod(micro, F.lit(100))
+    up = (r > 50) | ((r == 50) & (F.pmod(q, F.lit(2)) == 1))
+    v = q + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    return F.concat(F.floor(v / 10000).cast("long").cast("string"), F.lit("."),
+                    F.lpad(F.pmod(v, F.lit(10000)).cast("string"), 4, "0"))

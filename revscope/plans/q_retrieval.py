@@ -1 +1,255 @@
-"""Queries (filled in below)."""
+"""Retrieval and question-answering queries.
+
+Questions are every embedding row (its vector asks for its nearest corpus
+rows); the corpus is the embeddings joined with their documents. The Spark
+side searches through the k-means cell index with exact pruning; the oracle
+is brute force over all pairs in DuckDB.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revscope.constants import NO_HITS_MESSAGE, STOP_WORDS, marker_lexicon
+from revscope.functions import text as tx
+from revscope.operators import qa, retrieval
+from revscope.plans.q_text import _sql_focus
+from revscope.plans.registry import query
+from revscope.plans.sqlviews import SQL_WS, with_views
+from revscope.session import scratch_path
+from revscope.sources import testdata as td
+
+K = 5
+_LEX = marker_lexicon()
+
+
+def _sql_hits(use_focus: bool) -> str:
+    eff = ("(SELECT l.label FROM labels l WHERE l.label = lower(q.sentiment_focus))"
+           if use_focus else "CAST(NULL AS VARCHAR)")
+    return with_views("corpus", "questions") + f"""
+, labels AS (SELECT DISTINCT label FROM corpus)
+, qf AS (SELECT q.*, coalesce(nullif(q.focus, ''), {_sql_focus("q.question", _LEX)}) AS sentiment_focus FROM questions q)
+, q AS (SELECT q.*, {eff} AS eff FROM qf q)
+, pairs AS (SELECT q.q_id, c.row_id, c.label, round(1 - list_dot_product(q.q_vec, c.embedding), 6) + 0.0 AS distance
+            FROM q JOIN corpus c ON (q.eff IS NULL OR c.label = q.eff))
+, hits AS (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, row_id) AS INTEGER) AS rank,
+                  row_id, label, distance FROM pairs QUALIFY rank <= {K})"""
+
+
+def _questions(spark, sf):
+    q = td.questions(spark, sf)
+    return q.withColumn("sentiment_focus",
+                        F.coalesce(tx.blank_to_null(F.col("focus")), tx.infer_focus("question", _LEX)))
+
+
+def _hits(spark, sf, use_focus: bool = True):
+    corpus = td.corpus(spark, sf)
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id")
+    q = _questions(spark, sf)
+    return retrieval.search(q, index, K, focus_col="sentiment_focus" if use_focus else None), corpus
+
+
+@query("search_topk", _sql_hits(False) + "\nSELECT * FROM hits", headline=True)
+def search_topk(spark, sf):
+    return _hits(spark, sf, use_focus=False)[0]
+
+
+@query("search_filtered", _sql_hits(True) + "\nSELECT * FROM hits", headline=True)
+def search_filtered(spark, sf):
+    return _hits(spark, sf)[0]
+
+
+@query("search_ivf", _sql_hits(True) + "\nSELECT * FROM hits")
+def search_ivf(spark, sf):
+    """Build the index, persist it (SNK5) with its metadata, reopen it (SRC9), search."""
+    from revscope.sources import io
+
+    corpus = td.corpus(spark, sf)
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
+    path = scratch_path(spark, "index")
+    io.write_index(index, path, {"collection_name": "reviews", "embedding_model": "precomputed",
+                                 "batch_size": 64, "sample_size": None})
+    reopened = io.read_index(spark, path)
+    return retrieval.search(_questions(spark, sf), reopened, K, focus_col="sentiment_focus")
+
+
+@query("context_label_mix", _sql_hits(True) + """
+SELECT q_id, label, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY q_id, label""")
+def context_label_mix(spark, sf):
+    return qa.label_mix(_hits(spark, sf)[0])
+
+
+@query("dominant_label", _sql_hits(True) + """
+, mix AS (SELECT q_id, label, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY q_id, label)
+SELECT q_id, label AS dominant_label, n AS dominant_n, k_found FROM (
+  SELECT *, sum(n) OVER (PARTITION BY q_id) AS k_found,
+         row_number() OVER (PARTITION BY q_id ORDER BY n DESC, first_rank) AS r FROM mix) WHERE r = 1""")
+def dominant_label(spark, sf):
+    return qa.dominant_label(qa.label_mix(_hits(spark, sf)[0]))
+
+
+_KEY_PAT = r"[\p{L}\p{N}_][\p{L}\p{N}_-]+[\p{L}\p{N}_]"
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))) + "]"
+
+_PHRASES_SQL = f"""
+, ctx AS (SELECT h.q_id, h.row_id, c.text FROM hits h JOIN corpus c ON h.row_id = c.row_id)
+, toks AS (SELECT q_id, row_id, list_filter(regexp_extract_all(lower(text), '{_KEY_PAT}'),
+                                           lambda t: NOT list_contains({_STOP_SQL}, t)) AS a FROM ctx)
+, terms AS (SELECT q_id, row_id, unnest(list_concat(a, CASE WHEN len(a) >= 2
+              THEN list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) ELSE [] END)) AS term FROM toks)
+, tf AS (SELECT q_id, row_id, term, count(*) AS tf FROM terms GROUP BY q_id, row_id, term)
+, nq AS (SELECT q_id, count(*) AS n FROM (SELECT DISTINCT q_id, row_id FROM ctx) GROUP BY q_id)
+, st AS (SELECT q_id, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY q_id, term)
+, voc AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY cf DESC, term) <= 1000)
+, w AS (SELECT tf.q_id, tf.row_id, tf.term, tf.tf * (ln((1 + nq.n) / (1 + voc.df)) + 1) AS w
+        FROM tf JOIN voc ON tf.q_id = voc.q_id AND tf.term = voc.term JOIN nq ON tf.q_id = nq.q_id)
+, u AS (SELECT q_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY q_id, row_id)) AS u FROM w)
+, sc AS (SELECT u.q_id, term, round(sum(u) / max(nq.n), 9) AS score FROM u JOIN nq ON u.q_id = nq.q_id GROUP BY u.q_id, term)
+, phrases AS (SELECT q_id, CAST(rank AS INTEGER) AS rank, term AS phrase, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, term DESC) AS rank FROM sc
+    WHERE NOT regexp_matches(term, '{qa.DIGIT_CLASS}')) WHERE rank <= 5)"""
+
+
+@query("keyphrases", _sql_hits(True) + _PHRASES_SQL + "\nSELECT * FROM phrases")
+def keyphrases(spark, sf):
+    hits, corpus = _hits(spark, sf)
+    ctx = hits.join(corpus.select("row_id", "text"), "row_id")
+    return qa.keyphrases(ctx)
+
+
+def _sql_fixed4(x: str) -> str:
+    v = f"(CAST(round({x} * 1000000) AS BIGINT) // 100 + CASE WHEN CAST(round({x} * 1000000) AS BIGINT) % 100 > 50 OR (CAST(round({x} * 1000000) AS BIGINT) % 100 = 50 AND (CAST(round({x} * 1000000) AS BIGINT) // 100) % 2 = 1) THEN 1 ELSE 0 END)"
+    return f"(CAST({v} // 10000 AS VARCHAR) || '.' || lpad(CAST({v} % 10000 AS VARCHAR), 4, '0'))"
+
+
+def _sql_truncate(t: str, n: int) -> str:
+    return (f"CASE WHEN length({t}) <= {n} THEN {t} ELSE "
+            f"regexp_replace(substr({t}, 1, {n - 3}), '{SQL_WS}+$', '') || '...' END")
+
+
+_ANSWER_SQL = _sql_hits(True) + _PHRASES_SQL + f"""
+, hc AS (SELECT h.*, c.text, c.split, c.label_id FROM hits h JOIN corpus c ON h.row_id = c.row_id)
+, agg AS (SELECT q_id, count(*) AS k, list(text ORDER BY rank) AS texts,
+                 list('[' || rank || '] label=' || label || '; split=' || split || '; score=' || {_sql_fixed4("distance")}
+                      || '; text=' || text ORDER BY rank) AS lines,
+                 list(row_id ORDER BY rank) AS ids
+          FROM hc GROUP BY q_id)
+, mix AS (SELECT q_id, label, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY q_id, label)
+, mixt AS (SELECT q_id, string_agg(label || ': ' || n, ', ' ORDER BY first_rank) AS distribution_text FROM mix GROUP BY q_id)
+, dom AS (SELECT q_id, label AS dominant_label, n AS dominant_n FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, first_rank) AS r FROM mix) WHERE r = 1)
+, ph AS (SELECT q_id, list(phrase ORDER BY rank) AS phr FROM phrases GROUP BY q_id)
+, a AS (
+  SELECT qf.q_id, qf.question, qf.sentiment_focus, coalesce(agg.k, 0) AS k, agg.texts, agg.lines, agg.ids,
+         coalesce(ph.phr, []::VARCHAR[]) AS phr, coalesce(mixt.distribution_text, '') AS distribution_text,
+         dom.dominant_label, dom.dominant_n
+  FROM qf LEFT JOIN agg ON qf.q_id = agg.q_id LEFT JOIN ph ON qf.q_id = ph.q_id
+       LEFT JOIN mixt ON qf.q_id = mixt.q_id LEFT JOIN dom ON qf.q_id = dom.q_id)
+, ans AS (
+  SELECT *, CASE WHEN k = 0 THEN '{NO_HITS_MESSAGE}' ELSE concat_ws(' ',
+      'Found ' || k || ' relevant reviews for: ' || question,
+      'Most retrieved reviews are ' || dominant_label || ' (' || dominant_n || '/' || k || ').',
+      CASE WHEN sentiment_focus IS NOT NULL THEN 'Sentiment focus applied: ' || sentiment_focus || '.' END,
+      CASE WHEN len(phr) > 0 THEN 'Recurring themes: ' || array_to_string(phr[1:5], ', ') || '.' END,
+      'Example evidence: ' || array_to_string(list_transform(texts[1:2], lambda t: {_sql_truncate("t", 120)}), '; '))
+    END AS answer FROM a)"""
+
+
+@query("extractive_answer", _ANSWER_SQL + "\nSELECT q_id, answer FROM ans")
+def extractive_answer(spark, sf):
+    return _answers(spark, sf).select("q_id", "answer")
+
+
+def _answers(spark, sf, generator=None, config=None):
+    hits, corpus = _hits(spark, sf)
+    q = _questions(spark, sf)
+    return qa.answer(q, hits, corpus, config or qa.GeneratorConfig(), generator=generator)
+
+
+@query("compose_prompt", _ANSWER_SQL + """
+SELECT q_id, array_to_string(list_concat([
+    'Answer in the language of the reviews, using only the evidence listed below.',
+    'Say so when the evidence is thin and the conclusion only approximate.',
+    'Question: ' || question,
+    'Sentiment focus: ' || coalesce(sentiment_focus, 'not specified'),
+    'Key phrases: ' || CASE WHEN len(phr) > 0 THEN array_to_string(phr, ', ') ELSE 'none' END,
+    'Label distribution: ' || distribution_text,
+    'Evidence:'], coalesce(lines, []::VARCHAR[]),
+    ['Reply with a short answer and then two to four findings in one paragraph.']), chr(10)) AS prompt
+FROM a""")
+def compose_prompt(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("q_id", qa.compose_prompt(F.col("question"), F.col("contexts"), F.col("sentiment_focus"),
+                                              F.col("keyphrases"), F.col("distribution_text")).alias("prompt"))
+
+
+@query("context_caption", _sql_hits(True) + f"""
+, hc AS (SELECT h.*, c.split FROM hits h JOIN corpus c ON h.row_id = c.row_id)
+SELECT q_id, rank, label || ' · ' || split || ' · score ' || {_sql_fixed4("distance")} AS caption FROM hc""")
+def context_caption(spark, sf):
+    hits, corpus = _hits(spark, sf)
+    c = hits.join(corpus.select("row_id", "split"), "row_id")
+    return c.select("q_id", "rank", qa.context_caption(F.col("label"), F.col("split"), F.col("distance")).alias("caption"))
+
+
+@query("answer_questions", _ANSWER_SQL + """
+SELECT q_id, question, answer, sentiment_focus, 'extractive' AS generation_mode, false AS llm_used,
+       array_to_string(phr, ', ') AS keyphrases, distribution_text AS label_distribution,
+       array_to_string(list_transform(coalesce(ids, []::BIGINT[]), lambda x: CAST(x AS VARCHAR)), ',') AS context_ids
+FROM ans""", headline=True)
+def answer_questions(spark, sf):
+    a = _answers(spark, sf)
+    return a.select("q_id", "question", "answer", "sentiment_focus", "generation_mode", "llm_used",
+                    F.array_join("keyphrases", ", ").alias("keyphrases"),
+                    F.col("distribution_text").alias("label_distribution"),
+                    F.array_join(F.transform("contexts", lambda c: c["row_id"].cast("string")), ",")
+                    .alias("context_ids"))
+
+
+def _stub_generator(prompt: str) -> str:
+    """A deterministic stand-in for a remote generator: fails on some prompts."""
+    lines = prompt.split("\n")
+    if len(prompt) % 7 == 0:
+        raise RuntimeError("generator unavailable")
+    return f"Generated summary over {sum(1 for x in lines if x.startswith('['))} reviews."
+
+
+@query("generated_answer")
+def generated_answer(spark, sf):
+    cfg = qa.GeneratorConfig(mode="llm", model="stub", base_url="http://localhost:8080/v1")
+    a = _answers(spark, sf, generator=_stub_generator, config=cfg)
+    return a.select("q_id", "generation_mode", "llm_used", "answer")
+
+
+@query("generation_mode", with_views("question_text") + """
+SELECT conv_id, turn,
+  CASE WHEN lower(coalesce(nullif(req, ''), 'auto')) = 'extractive' THEN 'extractive'
+       WHEN model IS NOT NULL AND base_url IS NOT NULL
+            AND NOT (contains(base_url, 'api.openai.com') AND api_key IS NULL) THEN 'llm'
+       ELSE 'extractive' END AS generation_mode
+FROM (SELECT conv_id, turn,
+        CASE conv_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'LLM' WHEN 2 THEN 'weird' WHEN 3 THEN 'extractive' ELSE 'auto' END AS req,
+        CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 'model-a' END AS model,
+        CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 'https://api.openai.com/v1' ELSE 'http://localhost:8080/v1' END AS base_url,
+        CASE WHEN conv_id % 2 = 0 THEN 'key' ELSE NULL END AS api_key
+      FROM question_text)""")
+def generation_mode(spark, sf):
+    q = td.question_text(spark, sf)
+    c, t = F.col("conv_id"), F.col("turn")
+    req = (F.when(F.pmod(c, F.lit(5)) == 0, F.lit(None).cast("string")).when(F.pmod(c, F.lit(5)) == 1, F.lit("LLM"))
+           .when(F.pmod(c, F.lit(5)) == 2, F.lit("weird")).when(F.pmod(c, F.lit(5)) == 3, F.lit("extractive"))
+           .otherwise(F.lit("auto")))
+    model = F.when(F.pmod(c, F.lit(3)) == 0, F.lit(None).cast("string")).otherwise(F.lit("model-a"))
+    url = (F.when(F.pmod(t, F.lit(3)) == 0, F.lit(None).cast("string"))
+           .when(F.pmod(t, F.lit(3)) == 1, F.lit("https://api.openai.com/v1")).otherwise(F.lit("http://localhost:8080/v1")))
+    key = F.when(F.pmod(c, F.lit(2)) == 0, F.lit("key")).otherwise(F.lit(None).cast("string"))
+    return q.select("conv_id", "turn", qa.mode_for(req, model, url, key).alias("generation_mode"))
+
+
+@query("embed_corpus")
+def embed_corpus(spark, sf):
+    docs = td.all_docs(spark, sf).select("id", tx.clean_text("text").alias("text"))
+    e = retrieval.embed_texts(docs, "text", dim=64)
+    from revscope.functions.vector import l2norm
+
+    return e.select("id", F.size("embedding").alias("dim"), F.round(l2norm("embedding"), 6).alias("norm"))
