@@ -1 +1,47 @@
-"""Queries (filled in below)."""
+"""Streaming queries: the request jobs run with an available-now trigger
+over the testdata folder, and the query returns the written result table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revscope.operators import dataset, retrieval
+from revscope.operators import model as md
+from revscope.plans.registry import query
+from revscope.sources import testdata as td
+from revscope.streaming import jobs
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("stream_predict")
+def stream_predict(spark, sf):
+    r = td.reviews(spark, sf)
+    train = dataset.label_view(r.filter(F.col("split") == "train"), "multiclass", keep=("id",))
+    model = md.fit_baseline(train, md.BaselineConfig(feature_mode="word"))
+    q, out, dead = jobs.stream_predict(spark, sf, DOC_SCHEMA, model, glob="documents.parquet",
+                                       id_col="doc_id", text_col="text")
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "label_id", "label", "scores")
+
+
+@query("stream_ask")
+def stream_ask(spark, sf):
+    corpus = td.corpus(spark, sf)
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id")
+    schema = "vec_id long, embedding array<float>, label int"
+
+    def to_requests(raw):
+        # every embedding row asks for its neighbours; some ask for k outside 1..20
+        m = F.pmod(F.col("vec_id"), F.lit(4))
+        return raw.select(
+            F.col("vec_id").alias("q_id"),
+            F.concat(F.lit("Which reviews resemble item "), F.col("vec_id").cast("string"), F.lit("?")).alias("question"),
+            F.col("embedding").alias("q_vec"),
+            F.when(m == 0, F.lit("negative")).when(m == 1, F.lit("positive")).alias("focus"),
+            (F.pmod(F.col("vec_id"), F.lit(23)) - 1).cast("int").alias("top_k"))
+
+    q, out, dead = jobs.stream_ask(spark, sf, schema, index, corpus, glob="embeddings.parquet",
+                                   to_requests=to_requests)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("q_id", "answer", "generation_mode")
