@@ -59,14 +59,20 @@ def build_index(corpus: DataFrame, vec_col: str = "embedding", label_col: str =
     if cells is None:
         n = base.count()
         cells = max(1, min(MAX_CELLS, int(round(math.sqrt(max(n, 1))))))
-    feats = base.withColumn("_features", array_to_vector(F.col("vec")))
-    model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features",
-                   predictionCol="cell", initMode="k-means||").fit(feats)
     spark = corpus.sparkSession
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    # at most MAX_CELLS centroids: a bounded table
-    cents = spark.createDataFrame(centers, "cell int, centroid array<double>")
-    rows = model.transform(feats).drop("_features").withColumn("cell", F.col("cell").cast("int"))
+    if cells < 2:
+        # one cell: the origin as its centre (every group is always probed)
+        dim = base.select(F.size("vec").alias("d")).first()["d"]
+        cents = spark.createDataFrame([(0, [0.0] * dim)], "cell int, centroid array<double>")
+        rows = base.withColumn("cell", F.lit(0))
+    else:
+        feats = base.withColumn("_features", array_to_vector(F.col("vec")))
+        model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features",
+                       predictionCol="cell", initMode="k-means||").fit(feats)
+        centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        # at most MAX_CELLS centroids: a bounded table
+        cents = spark.createDataFrame(centers, "cell int, centroid array<double>")
+        rows = model.transform(feats).drop("_features").withColumn("cell", F.col("cell").cast("int"))
     if materialize:
         rows = rows.checkpoint(eager=True)
     with_c = rows.join(F.broadcast(cents), "cell")
