@@ -75,12 +75,12 @@ def term_counts(docs: DataFrame, spec: TermSpec, id_col: str = "id", text_col: s
     return exploded.groupBy(*group_cols, id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, spec: TermSpec, id_col: str = "id") -> DataFrame:
+def fit_vocabulary(tf: DataFrame, n_docs: int, spec: TermSpec, id_col: str = "id") -> DataFrame:
     """AGG12 + WIN7: df/cf per term, df ≥ min_df, top max_features by cf (term
     asc on ties), smooth idf ``ln((1+n)/(1+df)) + 1``, 0-based index.
 
-    ``n_docs`` is a one-row frame with column ``n`` (documents fitted on,
-    including those without any term).
+    ``n_docs`` is the number of documents fitted on (including those without
+    any term) — a scalar, so idf is a plain projection.
     """
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.filter(F.col("df") >= spec.min_df)
@@ -88,10 +88,8 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, spec: TermSpec, id_col: str
         kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(spec.max_features)
     # the index window spans the vocabulary only (≤ max_features rows)
     kept = kept.withColumn("index", (F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1).cast("int"))
-    idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return (kept.withColumn("_g", F.lit(0))
-            .join(F.broadcast(n_docs.withColumn("_g", F.lit(0))), "_g")
-            .select("term", "df", "cf", idf.alias("idf"), "index"))
+    idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    return kept.select("term", "df", "cf", idf.alias("idf"), "index")
 
 
 def _vocab_side(vocab: DataFrame, spec: TermSpec) -> DataFrame:
@@ -110,13 +108,14 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, spec: TermSpec, id_col: str =
     return joined.select(*group_cols, id_col, "term", "index", (F.col("_w") / norm).alias("weight"))
 
 
-def doc_count(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count(F.lit(1)).alias("n"))
+def doc_count(docs: DataFrame) -> int:
+    return docs.count()
 
 
-def fit_tfidf(train: DataFrame, spec: TermSpec, id_col: str = "id", text_col: str = "text"):
+def fit_tfidf(train: DataFrame, spec: TermSpec, id_col: str = "id", text_col: str = "text",
+              tf: DataFrame | None = None):
     """FEA1/FEA2 fit: vocabulary and idf learnt on the training documents."""
-    tf = term_counts(train, spec, id_col, text_col)
+    tf = tf if tf is not None else term_counts(train, spec, id_col, text_col)
     return fit_vocabulary(tf, doc_count(train), spec, id_col)
 
 
@@ -130,7 +129,9 @@ def tfidf(docs: DataFrame, spec: TermSpec, id_col: str = "id", text_col: str = "
           partitions: int | None = None) -> DataFrame:
     """Fit and transform on the same documents."""
     d = by_document(docs.select(id_col, text_col), id_col, partitions)
-    tf = term_counts(d, spec, id_col, text_col)
+    # the term counts feed both the vocabulary and the weights: write them
+    # once (reliable checkpoint, keeps the id partitioning, cuts lineage)
+    tf = term_counts(d, spec, id_col, text_col).checkpoint(eager=True)
     vocab = fit_vocabulary(tf, doc_count(d), spec, id_col)
     return tfidf_weights(tf, vocab, spec, id_col)
 

@@ -49,7 +49,7 @@ def _euclid(a, b) -> F.Column:
 
 def build_index(corpus: DataFrame, vec_col: str = "embedding", label_col: str = "label",
                 id_col: str = "row_id", cells: int | None = None, seed: int = 42,
-                max_iter: int = 20, payload: tuple[str, ...] = (), materialize: bool = True) -> VectorIndex:
+                max_iter: int = 10, payload: tuple[str, ...] = (), materialize: bool = True) -> VectorIndex:
     """IDX2: k-means cells over the corpus vectors and per-group radii."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

@@ -43,10 +43,13 @@ def _questions(spark, sf):
 
 
 def _hits(spark, sf, use_focus: bool = True):
+    """Search once and materialise the hits (q × k rows): every QA step
+    reads them, and the context payload comes from the index rows."""
     corpus = td.corpus(spark, sf)
-    index = retrieval.build_index(corpus, "embedding", "label", "row_id")
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
     q = _questions(spark, sf)
-    return retrieval.search(q, index, K, focus_col="sentiment_focus" if use_focus else None), corpus
+    hits = retrieval.search(q, index, K, focus_col="sentiment_focus" if use_focus else None)
+    return hits.checkpoint(eager=True), index.rows.select("row_id", "text", "label_id", "split")
 
 
 @query("search_topk", _sql_hits(False) + "\nSELECT * FROM hits", headline=True)
