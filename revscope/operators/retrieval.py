@@ -110,10 +110,74 @@ def _group_bounds(q: DataFrame, groups: DataFrame) -> DataFrame:
     return both.select("q_id", "q_vec", "k", "cell", "label", "n", (gap * gap / 2).alias("lb"))
 
 
+# bounded work per task: at most this many corpus rows and questions per block
+BLOCK_ROWS = 4096
+BLOCK_QUESTIONS = 2048
+_CAND_SCHEMA = "q_id long, k int, row_id long, label string, distance double"
+
+
+def _block_top_k(key, pq, px):
+    """One (cell, label, sub-block, question-chunk) block: distances of all
+    its questions to all its rows with one matrix product, and per question
+    only the k best (distance rounded to 6 places, row_id on ties) leave."""
+    import numpy as np
+    import pandas as pd
+
+    if len(pq) == 0 or len(px) == 0:
+        return pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int32"),
+                             "row_id": pd.Series([], dtype="int64"), "label": pd.Series([], dtype=object),
+                             "distance": pd.Series([], dtype="float64")})
+    q = np.stack(pq["q_vec"].to_numpy()).astype(np.float64)
+    x = np.stack(px["vec"].to_numpy()).astype(np.float64)
+    ids = px["row_id"].to_numpy(dtype=np.int64)
+    by_id = np.argsort(ids, kind="stable")
+    x, ids = x[by_id], ids[by_id]
+    d = np.floor((1.0 - q @ x.T) * 1e6 + 0.5) / 1e6 + 0.0
+    ks = pq["k"].to_numpy(dtype=np.int64)
+    kmax = int(min(ks.max(), x.shape[0]))
+    if x.shape[0] > 4 * kmax:
+        part = np.argpartition(d, kmax - 1, axis=1)[:, :kmax]
+        # ties at the cut: keep every column equal to the k-th value
+        kth = np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True)
+        mask = d <= kth
+    else:
+        mask = np.ones_like(d, dtype=bool)
+    rows_q, cols = np.nonzero(mask)
+    sel = pd.DataFrame({"r": rows_q, "c": cols, "d": d[rows_q, cols], "id": ids[cols]})
+    sel = sel.sort_values(["r", "d", "id"], kind="stable")
+    sel["rank"] = sel.groupby("r").cumcount() + 1
+    sel = sel[sel["rank"] <= ks[sel["r"].to_numpy()]]
+    return pd.DataFrame({
+        "q_id": pq["q_id"].to_numpy(dtype=np.int64)[sel["r"].to_numpy()],
+        "k": ks[sel["r"].to_numpy()].astype(np.int32),
+        "row_id": sel["id"].to_numpy(dtype=np.int64),
+        "label": np.asarray([key[1]] * len(sel), dtype=object),
+        "distance": sel["d"].to_numpy(dtype=np.float64),
+    })
+
+
 def _candidates(probes: DataFrame, rows: DataFrame) -> DataFrame:
-    r = rows.select("cell", "label", "row_id", "vec")
-    j = probes.join(r, ["cell", "label"])
-    return j.select("q_id", "k", "row_id", "label", _distance(F.col("q_vec"), F.col("vec")).alias("distance"))
+    """Per probed group, the k best rows of each question, computed in
+    bounded blocks: groups larger than BLOCK_ROWS are split into sub-blocks
+    (rows by hash of row_id), the questions probing a group into chunks of
+    BLOCK_QUESTIONS; every (sub-block, chunk) pair is one co-grouped task."""
+    keys = ["cell", "label"]
+    n_sub = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK_ROWS))).cast("int")
+    load = probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"), F.max("n").alias("n"))
+    plan = load.select(*keys, n_sub.alias("_nsub"),
+                       F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(BLOCK_QUESTIONS))).cast("int").alias("_nqc"))
+    # one row per probed group: at most (cells × labels) rows
+    plan = F.broadcast(plan)
+    p = (probes.join(plan, keys)
+         .withColumn("_qc", F.pmod(F.xxhash64("q_id"), F.col("_nqc")).cast("int"))
+         .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
+         .select(*keys, "_sub", "_qc", "q_id", "q_vec", "k"))
+    r = (rows.select(*keys, "row_id", "vec").join(plan, keys)
+         .withColumn("_sub", F.pmod(F.xxhash64("row_id"), F.col("_nsub")).cast("int"))
+         .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_nqc") - 1)))
+         .select(*keys, "_sub", "_qc", "row_id", "vec"))
+    block = keys + ["_sub", "_qc"]
+    return p.groupBy(*block).cogroup(r.groupBy(*block)).applyInPandas(_block_top_k, _CAND_SCHEMA)
 
 
 def _top_k(c: DataFrame) -> DataFrame:
