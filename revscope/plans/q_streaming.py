@@ -28,7 +28,8 @@ def stream_predict(spark, sf):
 @query("stream_ask")
 def stream_ask(spark, sf):
     corpus = td.corpus(spark, sf)
-    index = retrieval.build_index(corpus, "embedding", "label", "row_id")
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
+    corpus = index.rows.select("row_id", "text", "label_id", "split")
     schema = "vec_id long, embedding array<float>, label int"
 
     def to_requests(raw):

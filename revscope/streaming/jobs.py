@@ -78,7 +78,8 @@ def stream_ask(spark: SparkSession, source_dir: str, schema: str, index: retriev
     def answer(valid: DataFrame) -> DataFrame:
         q = valid.withColumn("sentiment_focus", F.coalesce(F.nullif(F.col("focus"), F.lit("")),
                                                            F.lit(None).cast("string")))
-        hits = retrieval.search(q, index, focus_col="sentiment_focus", k_col="top_k")
+        # the batch's hits feed contexts, label mix and key phrases: write them once
+        hits = retrieval.search(q, index, focus_col="sentiment_focus", k_col="top_k").checkpoint(eager=True)
         return qa.answer(q, hits, corpus, config)
 
     writer = (stream.writeStream.foreachBatch(_batch_writer(out_dir, dead_dir, answer))
