@@ -17,6 +17,7 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("split", T.StringType()),
 ])
 SPLITS = ("train", "validation", "test")
+ROWS_PER_BUCKET = 1_000_000
 
 
 def check_review_shape(df: DataFrame) -> DataFrame:
@@ -107,12 +108,15 @@ def global_row_ids(df: DataFrame, order_cols: list[str] | None = None, key_col:
     for i, s in reversed(list(enumerate(split_order))):
         split_ord = F.when(F.col(split_col) == s, F.lit(i)).otherwise(split_ord)
     df = df.withColumn("_split_ord", split_ord)
-    bounds = df.agg(F.min(key_col).alias("_kmin"), F.max(key_col).alias("_kmax"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / F.lit(buckets)))
+    bounds = df.agg(F.min(key_col).alias("_kmin"), F.max(key_col).alias("_kmax"),
+                    F.count(F.lit(1)).alias("_cnt"))
+    # enough buckets that one holds about ROWS_PER_BUCKET rows on average
+    n_buckets = F.greatest(F.lit(buckets), F.ceil(F.col("_cnt") / F.lit(ROWS_PER_BUCKET)))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / n_buckets))
     df = (df.withColumn("_g", F.lit(0))
           .join(F.broadcast(bounds.withColumn("_g", F.lit(0))), "_g")
           .withColumn("_bucket", F.floor((F.col(key_col) - F.col("_kmin")) / width).cast("long"))
-          .drop("_g", "_kmin", "_kmax"))
+          .drop("_g", "_kmin", "_kmax", "_cnt"))
     counts = df.groupBy("_split_ord", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # the running sum runs over the bucket counts only (≤ splits × buckets rows)
     offsets = counts.withColumn(

@@ -98,16 +98,83 @@ def _distance(q, x) -> F.Column:
     return d + F.lit(0.0)
 
 
-def _group_bounds(q: DataFrame, groups: DataFrame) -> DataFrame:
-    """(q_id, cell, label, lb, n) for the groups each question may search."""
-    g = groups.select("cell", "label", "centroid", "radius", "n")
-    g = F.broadcast(g)
-    focused = q.filter(F.col("_eff").isNotNull()).join(g, F.col("_eff") == F.col("label"))
-    free = q.filter(F.col("_eff").isNull()).withColumn("_k", F.lit(0)) \
-        .join(g.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    both = focused.unionByName(free)
-    gap = F.greatest(F.lit(0.0), _euclid(F.col("q_vec"), F.col("centroid")) - F.col("radius"))
-    return both.select("q_id", "q_vec", "k", "cell", "label", "n", (gap * gap / 2).alias("lb"))
+def _group_table(groups: DataFrame):
+    """The (cell, label) group table as numpy arrays for a broadcast.
+
+    Size is bounded by cells × labels (cells ≤ MAX_CELLS), which is what makes
+    shipping it to every task safe."""
+    import numpy as np
+
+    g = groups.select("cell", "label", "radius", "n", "centroid").orderBy("cell", "label").collect()
+    if len(g) > BROADCAST_GROUPS_LIMIT:
+        raise ValueError(f"index has {len(g)} groups, above the broadcast bound {BROADCAST_GROUPS_LIMIT}")
+    cells = sorted({r["cell"] for r in g})
+    pos = {c: i for i, c in enumerate(cells)}
+    by_cell = {r["cell"]: r["centroid"] for r in g}
+    cent = np.array([by_cell[c] for c in cells], dtype=np.float64)
+    return {
+        "cell": np.array([r["cell"] for r in g], dtype=np.int32),
+        "cpos": np.array([pos[r["cell"]] for r in g], dtype=np.int64),
+        "label": np.array([r["label"] for r in g], dtype=object),
+        "radius": np.array([r["radius"] for r in g], dtype=np.float64),
+        "n": np.array([r["n"] for r in g], dtype=np.int64),
+        "centroids": cent,
+    }
+
+
+_PROBE_SCHEMA = "q_id long, q_vec array<float>, k int, cell int, label string, n long"
+
+
+def _probe_fn(bc, second_round: bool):
+    """Per batch of questions: bounds to every centroid by one matrix product,
+    then only the groups a question must probe are emitted.
+
+    Round 1: groups in ascending bound order until k members are covered.
+    Round 2: the remaining groups whose bound does not exceed the k-th
+    distance of round 1 (all remaining ones when round 1 found fewer than k).
+    """
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        t = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            qv = np.stack(pdf["q_vec"].to_numpy()).astype(np.float64)
+            cent = t["centroids"]
+            d2 = (qv * qv).sum(1)[:, None] - 2 * qv @ cent.T + (cent * cent).sum(1)[None, :]
+            dc = np.sqrt(np.maximum(d2, 0.0))[:, t["cpos"]]
+            gap = np.maximum(dc - t["radius"][None, :], 0.0)
+            lb = gap * gap / 2
+            out = {"q_id": [], "q_vec": [], "k": [], "cell": [], "label": [], "n": []}
+            for i in range(len(pdf)):
+                eff = pdf["_eff"].iat[i]
+                allowed = np.ones(len(t["n"]), dtype=bool) if eff is None or pd.isna(eff) else (t["label"] == eff)
+                idx = np.nonzero(allowed)[0]
+                order = idx[np.lexsort((t["label"][idx].astype(str), t["cell"][idx], lb[i, idx]))]
+                k = int(pdf["k"].iat[i])
+                before = np.concatenate([[0], np.cumsum(t["n"][order])[:-1]])
+                first = order[before < k]
+                if not second_round:
+                    chosen = first
+                else:
+                    rest = order[before >= k]
+                    dk, got = pdf["_dk"].iat[i], pdf["_got"].iat[i]
+                    if dk is None or pd.isna(dk) or got < k:
+                        chosen = rest
+                    else:
+                        chosen = rest[lb[i, rest] <= float(dk) + BOUND_SLACK]
+                for g in chosen:
+                    out["q_id"].append(int(pdf["q_id"].iat[i]))
+                    out["q_vec"].append(pdf["q_vec"].iat[i])
+                    out["k"].append(k)
+                    out["cell"].append(int(t["cell"][g]))
+                    out["label"].append(t["label"][g])
+                    out["n"].append(int(t["n"][g]))
+            if out["q_id"]:
+                yield pd.DataFrame(out)
+    return run
 
 
 # bounded work per task: at most this many corpus rows and questions per block
@@ -193,20 +260,13 @@ def search(questions: DataFrame, index: VectorIndex, top_k: int = 5, focus_col:
         "q_id", F.col("q_vec"),
         (F.col(k_col).cast("int") if k_col else F.lit(top_k)).alias("k"),
         (F.col(focus_col) if focus_col else F.lit(None).cast("string")).alias("focus"))
-    q = effective_focus(q, index.groups)
-    bounds = _group_bounds(q, index.groups)
-    # round 1: smallest bounds first until k members are covered
-    w = Window.partitionBy("q_id").orderBy("lb", "cell", "label")
-    covered = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    bounds = bounds.withColumn("_before", F.coalesce(covered, F.lit(0)))
-    first = bounds.filter(F.col("_before") < F.col("k"))
+    q = effective_focus(q, index.groups).select("q_id", "q_vec", "k", "_eff")
+    bc = q.sparkSession.sparkContext.broadcast(_group_table(index.groups))
+    first = q.mapInPandas(_probe_fn(bc, second_round=False), _PROBE_SCHEMA)
     r1 = _top_k(_candidates(first, index.rows))
     kth = r1.groupBy("q_id").agg(F.max("distance").alias("_dk"), F.count(F.lit(1)).alias("_got"))
-    # round 2: every other group whose bound could still beat the k-th distance
-    rest = (bounds.filter(F.col("_before") >= F.col("k"))
-            .join(kth, "q_id", "left")
-            .filter(F.col("_dk").isNull() | (F.col("_got") < F.col("k"))
-                    | (F.col("lb") <= F.col("_dk") + F.lit(BOUND_SLACK))))
+    q2 = q.join(kth, "q_id", "left").select("q_id", "q_vec", "k", "_eff", "_dk", "_got")
+    rest = q2.mapInPandas(_probe_fn(bc, second_round=True), _PROBE_SCHEMA)
     r2 = _candidates(rest, index.rows)
     final = _top_k(r1.drop("rank").unionByName(r2))
     return final.select("q_id", "rank", "row_id", "label", "distance")
