@@ -84,3 +84,39 @@ def test_model_save_load(spark):
 def test_index_round_trip_requires_all_parts(spark):
     with pytest.raises(FileNotFoundError):
         io.read_index(spark, tempfile.mkdtemp(prefix="idx-"))
+
+
+def test_baseline_job_writes_artifacts(spark):
+    from revscope.operators import compare as cmp
+    from revscope.operators import model as md
+
+    rows = []
+    words = {0: "bad awful broken", 1: "fine okay plain", 2: "good great lovely"}
+    for i in range(90):
+        split = ["train", "train", "train", "validation", "test"][i % 5]
+        rows.append((i, f"<b>{words[i % 3]}</b> w{i % 4}", i % 3, ["negative", "neutral", "positive"][i % 3], split))
+    reviews = spark.createDataFrame(rows, "id long, text string, label int, label_text string, split string")
+    out = tempfile.mkdtemp(prefix="baseline-")
+    res = md.run_baseline(reviews, md.BaselineConfig(feature_mode="word", max_iter=60), out_dir=out, track=True)
+    acc = {r.split: r.accuracy for r in res["metrics"].collect()}
+    assert set(acc) == {"validation", "test"} and acc["test"] > 0.9
+    for part in ("errors", "confusion_matrix", "classification_report", "metrics", "model/classifier", "run_log"):
+        assert os.path.exists(os.path.join(out, part)), part
+    assert spark.read.parquet(os.path.join(out, "run_log")).filter("kind = 'metric'").count() == 2
+
+    e = spark.createDataFrame([("baseline", 0)], "model string, ord int")
+    m = spark.createDataFrame([("baseline", "multiclass", 0.9, 0.9, None)],
+                              "model string, task string, accuracy double, f1_macro double, report map<string, struct<`f1-score`: double>>")
+    md_ = spark.createDataFrame([], "model string, label_mode string")
+    fb = spark.createDataFrame([], "model string, source string, task string, accuracy double, f1_macro double")
+    rows_df = cmp.compare_runs(e, m, md_, fb)
+    summ = cmp.summary(rows_df, cmp.missing_runs(e, m, fb))
+    lines = cmp.report_rows(rows_df).select(F.concat_ws(" ", "model", "f1_macro").alias("value"))
+    io.write_comparison(out, rows_df, summ, lines)
+    back = spark.read.json(os.path.join(out, "model_comparison_json")).first()
+    assert back.summary.best_model == "baseline" and len(back.rows) == 1
+    io.write_records(reviews.select("text", F.col("label").alias("label_id"), F.col("label_text").alias("label"), "split"),
+                     os.path.join(out, "records"))
+    assert io.read_records(spark, os.path.join(out, "records")).count() == 90
+    io.write_history(spark.createDataFrame([(1.0, 0.5)], "epoch double, val_f1_macro double"), os.path.join(out, "history"))
+    assert spark.read.json(os.path.join(out, "history")).count() == 1
