@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revscope.constants import MIN_QUESTION_CHARS, TRUNCATE_LIMIT
+from revscope.constants import TRUNCATE_LIMIT
 
 # The whitespace set of Python's ``str.isspace`` written as an explicit class:
 # Java's ``\s`` lacks \x1c-\x1f, \x85 and the Unicode spaces, RE2's lacks \x0b.
@@ -142,9 +142,6 @@ def remove_stop_words(tokens, stop_words) -> Column:
     return F.filter(a, lambda t: ~F.array_contains(stop, t))
 
 
-def has_digit(c) -> Column:
-    return _col(c).rlike(r"\p{Nd}")
-
 
 def infer_focus(question, lexicon: list[tuple[str, str, int]]) -> Column:
     """STR3: first focus (by priority) whose marker occurs in the question."""
@@ -169,12 +166,6 @@ def blank_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-def question_ok(c) -> Column:
-    return F.coalesce(F.length(_col(c)) >= MIN_QUESTION_CHARS, F.lit(False))
-
-
-def format_score(c, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", _col(c))
 
 
 def fixed4(c) -> F.Column:

@@ -8,11 +8,14 @@ its member count and radius (largest distance of a member to the centroid).
 Search is exact without comparing every question with every corpus row:
 for unit vectors ``cos_dist = ‖q−x‖²/2`` and the triangle inequality gives a
 lower bound ``max(0, ‖q−c‖ − r)²/2`` for any member of a group. Round 1
-joins each question with the groups of smallest bound until at least k
-members are covered and takes the k best; round 2 joins exactly the groups
-whose bound does not exceed that k-th distance. Everything is an equi-join on
-``(cell, label)``; the question×group bound table has one row per question
-and group (bounded by the number of cells × labels, a parameter).
+probes, per question, the groups of smallest bound until at least k members
+are covered and keeps the k best; round 2 probes exactly the remaining groups
+whose bound does not exceed that k-th distance. Bounds come from one matrix
+product per batch of questions against the broadcast group table (bounded by
+cells × labels); only the probed (question, group) pairs become rows.
+Candidates are scored per (cell, label, sub-block, question chunk) with a
+numpy matrix product in a co-grouped ``applyInPandas``; only each question's
+k best rows leave a block.
 
 Focus (FLT5): a question's focus filters on ``label = lower(focus)``; when no
 corpus row has that label the question falls back to an unfiltered search.
