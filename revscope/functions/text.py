@@ -166,8 +166,6 @@ def blank_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-
-
 def fixed4(c) -> F.Column:
     """'%.4f' of a non-negative value with at most 6 decimals, half-even,
     by integer arithmetic (the same digits in every engine)."""
