@@ -150,33 +150,39 @@ def _probe_fn(bc, second_round: bool):
             dc = np.sqrt(np.maximum(d2, 0.0))[:, t["cpos"]]
             gap = np.maximum(dc - t["radius"][None, :], 0.0)
             lb = gap * gap / 2
-            out = {"q_id": [], "q_vec": [], "k": [], "cell": [], "label": [], "n": []}
-            for i in range(len(pdf)):
-                eff = pdf["_eff"].iat[i]
-                allowed = np.ones(len(t["n"]), dtype=bool) if eff is None or pd.isna(eff) else (t["label"] == eff)
-                idx = np.nonzero(allowed)[0]
-                order = idx[np.lexsort((t["label"][idx].astype(str), t["cell"][idx], lb[i, idx]))]
-                k = int(pdf["k"].iat[i])
-                before = np.concatenate([[0], np.cumsum(t["n"][order])[:-1]])
-                first = order[before < k]
-                if not second_round:
-                    chosen = first
-                else:
-                    rest = order[before >= k]
-                    dk, got = pdf["_dk"].iat[i], pdf["_got"].iat[i]
-                    if dk is None or pd.isna(dk) or got < k:
-                        chosen = rest
-                    else:
-                        chosen = rest[lb[i, rest] <= float(dk) + BOUND_SLACK]
-                for g in chosen:
-                    out["q_id"].append(int(pdf["q_id"].iat[i]))
-                    out["q_vec"].append(pdf["q_vec"].iat[i])
-                    out["k"].append(k)
-                    out["cell"].append(int(t["cell"][g]))
-                    out["label"].append(t["label"][g])
-                    out["n"].append(int(t["n"][g]))
-            if out["q_id"]:
-                yield pd.DataFrame(out)
+            # disallowed groups (other labels under a focus) never get probed
+            eff = pdf["_eff"].to_numpy(dtype=object)
+            focused = np.array([e is not None and not (isinstance(e, float) and np.isnan(e)) for e in eff])
+            allowed = ~focused[:, None] | (t["label"][None, :] == eff[:, None])
+            key = np.where(allowed, lb, np.inf)
+            # groups are stored in (cell, label) order, so a stable sort breaks
+            # bound ties the same way everywhere
+            order = np.argsort(key, axis=1, kind="stable")
+            n_sorted = np.where(np.take_along_axis(allowed, order, axis=1), t["n"][order], 0)
+            before = np.cumsum(n_sorted, axis=1) - n_sorted
+            ks = pdf["k"].to_numpy(dtype=np.int64)
+            first_sorted = (before < ks[:, None]) & np.take_along_axis(allowed, order, axis=1)
+            first = np.zeros_like(allowed)
+            np.put_along_axis(first, order, first_sorted, axis=1)
+            if not second_round:
+                chosen = first
+            else:
+                dk = pdf["_dk"].to_numpy(dtype=np.float64)
+                got = pdf["_got"].fillna(0).to_numpy(dtype=np.float64)
+                open_all = np.isnan(dk) | (got < ks)
+                within = lb <= (np.nan_to_num(dk, nan=np.inf) + BOUND_SLACK)[:, None]
+                chosen = allowed & ~first & (open_all[:, None] | within)
+            qi, gi = np.nonzero(chosen)
+            if len(qi) == 0:
+                continue
+            yield pd.DataFrame({
+                "q_id": pdf["q_id"].to_numpy(dtype=np.int64)[qi],
+                "q_vec": pdf["q_vec"].to_numpy()[qi],
+                "k": ks[qi].astype(np.int32),
+                "cell": t["cell"][gi],
+                "label": t["label"][gi],
+                "n": t["n"][gi],
+            })
     return run
 
 
