@@ -86,16 +86,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("q") / (1 + F.col("q")) * bins)))
         .drop("p", "u"), "ranked")
 
+    # a bin lies before its source's limit, holds it, or lies behind
     sums = ranked.filter("q IS NOT NULL").groupBy("src", "bin", "wanted").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("src").orderBy("bin")
-    cut = (sums.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words"))
-           .filter("end >= wanted AND start < wanted")  # one bin of a source holds its limit
-           .select(F.col("src").alias("s"), F.col("bin").alias("limit_bin"), F.col("start").alias("before")))
-    rows = ranked.join(cut, F.col("src").eqNullSafe(F.col("s")), "left").drop("s")
-    drawn = F.coalesce((F.col("q").isNotNull() & (F.col("limit_bin").isNull() | (F.col("bin") < F.col("limit_bin")))).cast("int"), F.lit(0))
+    state = F.when(F.col("end") < F.col("wanted"), F.lit(1)).when(F.col("before") < F.col("wanted"), F.lit(0)).otherwise(F.lit(-1))
+    places = (sums.withColumn("end", F.sum("words").over(upto)).withColumn("before", F.col("end") - F.col("words"))
+              .select(F.col("src").alias("s"), F.col("bin").alias("b"), "before", state.alias("state")))
+    rows = ranked.join(places, F.col("src").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")), "left").drop("s", "b")
+    drawn = F.coalesce((F.col("state") > 0).cast("int"), F.lit(0))
     out = ["doc_id", "src", "digest", "size", "source_size", "target"]
-    at_limit = F.coalesce(F.col("bin") == F.col("limit_bin"), F.lit(False))
-    order = Window.partitionBy("src").orderBy("q", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    at_limit = F.coalesce(F.col("state") == 0, F.lit(False))
+    order = Window.partitionBy("src", "bin").orderBy("q", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     edge = (rows.filter(at_limit).withColumn("reached", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
             .select(*out, (F.col("certain") + (F.col("reached") + F.col("size") / 2 <= F.col("wanted")).cast("long")).alias("copies")))
     return rows.filter(~at_limit).select(*out, (F.col("certain") + drawn).alias("copies")).union(edge)
