@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,11 +104,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray =
     after[-1:], after[:-1] = False, inside[1:]
     after[edge - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return start, end, span_hashes(data, start, end), np.searchsorted(start, offsets)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: differences of one running polynomial."""
+    size = len(data)
     up, down = _POWERS.take(size + 1)
     total = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return start, end, h, np.searchsorted(start, offsets)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,16 +130,45 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     left = first[1:][row] - np.arange(n)
     short = np.flatnonzero((count > 0) & (count < k))
     for r in short:
-        x = words[first[r]]
+        x = words[first[r]:first[r] + 1]
         for j in range(first[r] + 1, first[r + 1]):
-            x = x * np.uint64(_ODD) + words[j]
-        h[first[r]] = x
+            x = words[j:j + 1] + x * np.uint64(_ODD)
+        h[first[r]] = x[0]
     keep = left >= k
     keep[first[:-1][short]] = True
     at = np.flatnonzero(keep)
     return mix(h[at]), at
 
 
+def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str) -> DataFrame:
+    """Verified links (a, b) between nodes (node, sketch) that share an entry of their sketches.
+
+    In a bucket (entry number, value) every node is paired with one hub, the
+    smallest node; ``verify`` takes pairs (a, b) and returns those that hold.
+    Nodes that do not match their hub meet again in smaller buckets, split by
+    a further entry, with hubs of their own, until no bucket has two nodes. So
+    n copies of one thing cost n pairs, and a bucket of unlike things is taken
+    apart instead of paired off.
+    """
+    members = (nodes.select("node", F.posexplode("sketch").alias("j", "value"))
+               .select(F.xxhash64("j", "value").alias("key"), "j", "node"))
+    again, found, tested = 1, None, None
+    while True:
+        hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
+        met = stored(members.join(hubs, "key").filter("node != hub"), f"{name}-met")
+        pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
+        good = stored(verify(pairs), f"{name}-links")
+        found = good if found is None else found.union(good)
+        tested = pairs if tested is None else tested.union(pairs)
+        apart = met.join(found.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
+        entry = F.element_at("sketch", (F.pmod(F.col("j") + again, F.lit(n_sketch)) + 1).cast("int"))
+        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", entry).alias("key"), "j", "node"), f"{name}-members")
+        again += 1
+        if not members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").limit(1).count():
+            return found
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected links (a, b): (node, component), the smallest node.
 

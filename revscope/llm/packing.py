@@ -18,83 +18,124 @@ empty table gives no rows. A piece never crosses a sequence.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import stored
+from revscope.llm.common import span_hashes, stored, text_blocks
 from revscope.session import table_path
 
-#: Distinct space-separated words whose ids one worker remembers.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids one worker remembers; beyond, it starts anew.
+CACHE_WORDS = 2_000_000
 #: Pieces ranked together: buckets are as many as hold about so many documents.
 BUCKET_ROWS = 100_000
 _MAX_RANK = 1 << 40
 
 
+# Bytes between which a text may be cut without changing its ids: white space goes, and an
+# ASCII letter and ASCII punctuation never share a token. The apostrophe (of 's, 't, ...) and the
+# signs of the special tokens stay with the letters beside them.
+_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
+_LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
+_MARK = np.array([32 < i < 127 and not chr(i).isalnum() and chr(i) not in "'<|>" for i in range(256)])
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
 class WordEncoder:
-    """Ids of whole texts, through a cache of the ids of space-separated words.
+    """Ids of whole texts, through a table of the ids of their words.
 
-    The vocabulary's normaliser and splitter never look across a space or a
-    line feed, so a text's ids are its words' ids one after another.
+    A block's words are hashed and looked up together; only words not seen
+    before reach the tokenizer.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = tuple(e.ids)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out.append(np.array(ids, np.uint32))
-        return out
-
-
-def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > limit:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's rows one after another, and where each row's begin and end."""
+        raw = data.tobytes()
+        inside = ~_SPACE[data]
+        cut = (_LETTER[data[:-1]] & _MARK[data[1:]]) | (_MARK[data[:-1]] & _LETTER[data[1:]])
+        edge = offsets[(offsets > 0) & (offsets < len(data))]
+        new = np.ones(len(data), bool)
+        new[1:] = ~inside[:-1] | cut
+        new[edge] = True
+        start = np.flatnonzero(inside & new)
+        last = np.ones(len(data), bool)
+        last[:-1] = new[1:] | ~inside[1:]
+        end = np.flatnonzero(inside & last) + 1
+        # letters fold as the vocabulary's normaliser does, unless special tokens may be meant
+        hashes = span_hashes(data if b"<|" in raw else _LOWER[data], start, end)
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        if not known.all():
+            if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
+                self._empty()
+                known[:] = False
+            miss = np.flatnonzero(~known)
+            self._learn(keys[miss], [raw[start[i]:end[i]].decode("utf-8", "replace") for i in first[miss]])
+            at = np.searchsorted(self.keys, keys)
+        begin, n = self.start[at][inverse], self.length[at][inverse].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(start, offsets)]
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, counts = [], []
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            where = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(begin, where, "right") - 1, minlength=len(part)))
+        found, n = np.concatenate(ids), np.concatenate(counts)
+        while self.used + len(found) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(found)] = found
+        begin = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.used += len(found)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start = np.insert(self.keys, at, keys), np.insert(self.start, at, begin)
+        self.length = np.insert(self.length, at, n.astype(np.int32))
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def tokenised(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """Per document: doc_id, doc_tokens, and the CRC-32 of each window of its ids."""
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             tokens, crcs = [], []
-            for run in _runs([t or "" for t in batch.column("text").to_pylist()]):
-                for ids in encoder.encode(run):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    tokens.append(len(ids))
-                    crcs.append([zlib.crc32(ids[i:i + window].tobytes()) for i in range(0, len(ids), window)])
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                ids, at = encoder.encode_block(data, offsets)
+                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
+                    tokens.append(len(own))
+                    crcs.append([zlib.crc32(own[i:i + window]) for i in range(0, len(own), window)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
                 ["doc_id", "doc_tokens", "crcs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
