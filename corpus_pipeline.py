@@ -1,14 +1,35 @@
-"""The corpus pipeline: documents from raw text to packed sequences."""
+"""The corpus pipeline: documents from raw text to packed sequences.
+
+Each stage reads what its predecessor has written and returns the columns of
+``documents``; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from revscope.llm import mixing, packing
+from revscope.llm import langid, mixing, neardup, packing, passages
 from revscope.llm.common import stored
 from revscope.session import table_path
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model tells; texts without letters and those it cannot place go."""
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.accepted(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.deduplicated(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds."""
+    return passages.without_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -19,9 +40,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, packing.default_vocabulary())
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("passages", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-#: Tokenising cannot be said in SQL; tests/llm checks every stage by brute force.
+#: Models and alignments cannot be said in SQL; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 

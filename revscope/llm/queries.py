@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from revscope.llm import mixing, packing, warc
+from revscope.llm import forest, htmlmain, langid, mixing, neardup, packing, passages, topk, toxicity, warc
 from revscope.session import ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,14 @@ def _with_scratch(fn: QueryFn) -> QueryFn:
 
 def queries() -> dict[str, QueryFn]:
     found: dict[str, QueryFn] = {
+        "op1_neardup": neardup.op1_neardup,
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_forest": forest.op3_forest,
         "op4_warc": warc.op4_warc,
+        "op5_topk": topk.op5_topk,
+        "op6_html": htmlmain.op6_html,
+        "op7_langid": langid.op7_langid,
+        "op8_passages": passages.op8_passages,
         "op9_packing": packing.op9_packing,
         "op10_mixing": mixing.op10_mixing,
         "pipeline": corpus_pipeline.run,
@@ -32,4 +39,4 @@ def queries() -> dict[str, QueryFn]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
+    return {"op4_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL}
