@@ -188,7 +188,7 @@ def _text_names(b: Block, place: int, n: int) -> list[str]:
     share = b.linked / len(b.text)
     stops = sum(b.text.count(c) for c in ".!?;")
     return ["bias", f"words:{min(7, words.bit_length())}", f"links:{0 if not share else 1 + int(share * 3)}", f"stops:{min(3, stops)}",
-            f"commas:{min(3, b.text.count(','))}", f"end:{b.text[-1] in '.!?…»”)'}", f"sign:{any(c in b.text for c in '©®|»›')}",
+            f"commas:{min(3, b.text.count(','))}", f"end:{b.text[-1] in '.!?…»”)'}", f"sign:{any(c in b.text for c in '©®»›')}",
             f"first:{min(place, 3)}", f"last:{min(n - 1 - place, 2)}", f"digits:{sum(c.isdigit() for c in b.text[:200]) * 5 > min(200, len(b.text))}"]
 
 

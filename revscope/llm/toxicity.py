@@ -40,7 +40,7 @@ from revscope.session import table_path
 SAMPLE_ROWS = 10_000
 #: Documents of label 1 that must hold a lexicon word; lexicon words kept, the strongest.
 MIN_DOCS, LEXICON_WORDS = 4, 50_000
-PREFIX_BYTES = (4, 5)
+PREFIX_BYTES = (4, 5, 6)
 #: Characters the model knows: space, a to z and what Latin-1 and Latin Extended-A have as small letters.
 ALPHABET = " " + "".join(c for c in map(chr, range(97, 0x180)) if c.isalpha() and c == c.lower())
 _N = len(ALPHABET) + 1  # and one for all others
@@ -51,7 +51,7 @@ _SEPARATORS = " .-_*~,"
 _KEEP, _SUBSTITUTE, _NOISE = log(0.95), log(0.45), log(0.02)
 _DISGUISED = re.compile(
     r"(?<![^\W_])[^\W\d_](?:[ .\-_*~][^\W\d_]){2,}(?![^\W_])"  # single letters set apart
-    r"|[0-9@$!|+(€£¢¡]*[^\W\d_]+(?:[.\-_*~]?[0-9@$!|+(€£¢¡.\-_*~][.\-_*~]?[^\W\d_]+)+[0-9@$|€£]*"  # signs within
+    r"|[0-9@$!|+(€£¢¡]*[^\W\d_]+(?:[.\-_*~]?[0-9@$!|+(€£¢¡]{1,3}[.\-_*~]?[^\W\d_]+)+[0-9@$|€£]*"  # signs within
     r"|[0-9@$!|€£¢¡][^\W\d_]{2,}"  # a sign before
     r"|[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")  # drawn out
 
@@ -141,8 +141,9 @@ def count_trigrams(docs: DataFrame) -> np.ndarray:
             _TABLE.append(_codes())
         total = np.zeros(_N**3, np.int64)
         for batch in batches:
-            for _, _, data, _ in text_blocks(batch.column("text")):
-                units = np.frombuffer((" " + data.tobytes().decode("utf-8", "replace") + " ").encode("utf-16-le", "surrogatepass"), np.uint16)
+            for _, _, data, offsets in text_blocks(batch.column("text")):
+                apart = np.insert(data, offsets[1:-1], 32).tobytes().decode("utf-8", "replace")
+                units = np.frombuffer(f" {apart} ".encode("utf-16-le", "surrogatepass"), np.uint16)
                 c = _TABLE[0][units]
                 c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]].astype(np.int32)  # one space at a time
                 if len(c) > 2:
@@ -169,9 +170,10 @@ class Decoder:
         """(row, restored text) for every disguised place of a block."""
         self.model = self.model or CharModel(self.counts)
         out = []
-        for row in np.unique(np.searchsorted(offsets, _suspects(data), "right") - 1):
-            text = data[offsets[row]:offsets[row + 1]].tobytes().decode("utf-8", "replace")
-            for m in _DISGUISED.finditer(text):
+        breaks = np.union1d(np.flatnonzero(data == 10) + 1, offsets)  # lines, and rows
+        for line in np.unique(np.searchsorted(breaks, _suspects(data), "right") - 1):
+            row = int(np.searchsorted(offsets, breaks[line], "right")) - 1
+            for m in _DISGUISED.finditer(data[breaks[line]:breaks[line + 1]].tobytes().decode("utf-8", "replace")):
                 seen = m.group()
                 found = self.memo.get(seen)
                 if found is None:
@@ -180,30 +182,29 @@ class Decoder:
                         self.memo.clear()
                     if len(seen) < 64:
                         self.memo[seen] = found
-                out.append((int(row), found))
+                out.append((row, found))
         return out
 
     def __getstate__(self) -> dict:
         return {"counts": self.counts, "model": None, "memo": {}}
 
 
-_IS_LETTER = np.array([(i >= 0xC3) or chr(i).isalpha() and i < 128 for i in range(256)])
+_IS_LETTER = np.array([i >= 0x80 or chr(i).isalpha() for i in range(256)])
 _IS_SIGN = np.isin(np.arange(256), [ord(c) for c in LEET if ord(c) < 128] + [0xA3, 0xA2, 0xAC, 0xA1])
 _IS_GAP = np.isin(np.arange(256), [ord(c) for c in " .-_*~"])
 
 
 def _suspects(data: np.ndarray) -> np.ndarray:
-    """Bytes where something disguised may begin; the pattern decides."""
+    """Bytes in lines where something disguised may stand; the pattern decides."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
     letter, sign, gap = _IS_LETTER[data], _IS_SIGN[data], _IS_GAP[data]
     drawn = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     beside = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    single = letter & ~np.r_[False, letter[:-1]] & ~np.r_[letter[1:], False]
     found = [np.flatnonzero(drawn), np.flatnonzero(beside)]
-    marks = letter[:-2] & gap[1:-1] & (data[1:-1] != 32) & letter[2:]  # a.b
-    found.append(np.flatnonzero(marks))
     if len(data) > 4:
-        found.append(np.flatnonzero(letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:]))
+        found.append(np.flatnonzero(single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:]))
     return np.concatenate(found)
 
 
