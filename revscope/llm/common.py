@@ -123,7 +123,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     """
     n = len(words)
     h = words.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, n)):
         h[:n - j] = h[:n - j] * np.uint64(_ODD) + words[j:]
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)

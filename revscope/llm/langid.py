@@ -188,12 +188,14 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 
 def _sample(train: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of about ``rows`` training rows, as many of each language, in a fixed order."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    train = train.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     counts = train.groupBy("lang").count()
     most = rows // max(1, counts.count())
     part = counts.select(F.col("lang").alias("l"), (F.lit(float(max(1, most))) / F.col("count") * (1 << 30)).alias("most"))
-    drawn = (train.withColumn("key", key).join(part, F.col("lang") == F.col("l"))
-             .filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30)) < F.col("most")).select("lang", "key", "text"))
+    keys = (train.select("key", "lang").join(part, F.col("lang") == F.col("l"))
+            .filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 30)) < F.col("most")).select("key").distinct())
+    # about as many keys as sample rows, whatever the corpus
+    drawn = train.join(F.broadcast(keys), "key").select("lang", "key", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
