@@ -28,8 +28,9 @@ def normalize(a) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    """MTH4: ``1 - cos`` for unit vectors (the distance a cosine index reports)."""
-    return F.lit(1.0) - dot(a, b)
+    """MTH4: ``1 - cos`` of any two vectors (1 when one of them is zero)."""
+    n = l2norm(a) * l2norm(b)
+    return F.lit(1.0) - F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
 def softmax(logits) -> Column:
@@ -47,11 +48,6 @@ def argmax(values) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def round_half_even(c, digits: int) -> Column:
-    """MTH1: banker's rounding like Python's ``round``."""
-    return F.bround(_col(c), digits)
-
-
 def score_map(names, probs, digits: int = 6) -> Column:
     """MAP1: {label name: rounded probability}."""
     return F.map_from_arrays(_col(names), F.transform(_col(probs), lambda p: F.bround(p, digits)))

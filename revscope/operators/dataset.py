@@ -10,14 +10,13 @@ from revscope.constants import LABEL_MODES
 from revscope.functions.text import clean_text
 
 REVIEW_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("text", T.StringType()),
-    T.StructField("label", T.IntegerType()),
+    T.StructField("label", T.LongType()),
     T.StructField("label_text", T.StringType()),
     T.StructField("split", T.StringType()),
 ])
 SPLITS = ("train", "validation", "test")
-ROWS_PER_BUCKET = 1_000_000
 
 
 def check_review_shape(df: DataFrame) -> DataFrame:
@@ -31,8 +30,7 @@ def check_review_shape(df: DataFrame) -> DataFrame:
 def load_reviews(df: DataFrame) -> DataFrame:
     """SRC1: the review columns in their fixed order."""
     check_review_shape(df)
-    cols = [c for c in ("id", "text", "label", "label_text", "split") if c in df.columns]
-    return df.select(*cols)
+    return df.select(*[f.name for f in REVIEW_SCHEMA if f.name in df.columns])
 
 
 def prepare_classification(df: DataFrame, keep_label_text: bool = False,
@@ -58,7 +56,7 @@ def label_view(df: DataFrame, label_mode: str, text_col: str = "text",
     cleaned (and the filter reaches the scan when the label is stored).
     """
     if label_mode not in LABEL_MODES:
-        raise ValueError("label_mode must be one of: multiclass, binary_polarity")
+        raise ValueError(f"unknown label mode, expected one of {LABEL_MODES}")
     lab = F.col(label_col).cast("int")
     if label_mode == "binary_polarity":
         df = df.filter(lab != 1)
@@ -94,38 +92,26 @@ def union_splits(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def global_row_ids(df: DataFrame, order_cols: list[str] | None = None, key_col: str = "id",
-                   split_col: str = "split", split_order: tuple[str, ...] = SPLITS,
-                   buckets: int = 1024) -> DataFrame:
-    """WIN5: consecutive row ids in (split order, key) order without a
-    single-partition window.
+def global_row_ids(df: DataFrame, order_cols: tuple[str, ...] = ("id",), split_col: str = "split",
+                   split_order: tuple[str, ...] = SPLITS) -> DataFrame:
+    """WIN5: consecutive row ids in (split order, order columns) order.
 
-    Rows are cut into key-range buckets per split; the bucket counts (a small
-    table) give each bucket's offset, and a row's id is its offset plus its
-    rank inside the bucket. Every window is bounded by one bucket.
+    Rows are range-partitioned on the order, whatever its types and however
+    its values are spread, sorted inside the partitions and written once; a
+    row's id is its place in its partition plus the rows of the partitions
+    before it (one number for each partition).
     """
     split_ord = F.lit(len(split_order))
     for i, s in reversed(list(enumerate(split_order))):
         split_ord = F.when(F.col(split_col) == s, F.lit(i)).otherwise(split_ord)
-    df = df.withColumn("_split_ord", split_ord)
-    bounds = df.agg(F.min(key_col).alias("_kmin"), F.max(key_col).alias("_kmax"),
-                    F.count(F.lit(1)).alias("_cnt"))
-    # enough buckets that one holds about ROWS_PER_BUCKET rows on average
-    n_buckets = F.greatest(F.lit(buckets), F.ceil(F.col("_cnt") / F.lit(ROWS_PER_BUCKET)))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_kmax") - F.col("_kmin") + 1) / n_buckets))
-    df = (df.withColumn("_g", F.lit(0))
-          .join(F.broadcast(bounds.withColumn("_g", F.lit(0))), "_g")
-          .withColumn("_bucket", F.floor((F.col(key_col) - F.col("_kmin")) / width).cast("long"))
-          .drop("_g", "_kmin", "_kmax", "_cnt"))
-    counts = df.groupBy("_split_ord", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # the running sum runs over the bucket counts only (≤ splits × buckets rows)
-    offsets = counts.withColumn(
-        "_offset",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_split_ord", "_bucket")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).drop("_n")
-    ranked = df.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_split_ord", "_bucket").orderBy(key_col)))
-    out = ranked.join(F.broadcast(offsets), ["_split_ord", "_bucket"])
-    return out.withColumn("row_id", (F.col("_offset") + F.col("_rank") - 1).cast("long")) \
-        .drop("_split_ord", "_bucket", "_offset", "_rank")
+    order = ["_split_ord", *order_cols]
+    placed = (df.withColumn("_split_ord", split_ord).repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_part", F.spark_partition_id())
+              # the lower 33 bits number the rows of a partition
+              .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+              .drop("_split_ord").checkpoint(eager=True))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    return (placed.join(F.broadcast(offsets), "_part")  # one row for each partition
+            .withColumn("row_id", (F.col("_offset") + F.col("_place")).cast("long")).drop("_part", "_place", "_offset"))

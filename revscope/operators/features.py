@@ -10,9 +10,9 @@ Plan shape (one shuffle of raw text, one of terms):
   reuse that partitioning — no shuffle of the (much larger) gram rows;
 * the vocabulary is a ``groupBy(term)`` with map-side partial aggregation
   (a hot term collapses to one row per task), cut to ``min_df`` and then to
-  the ``max_features`` most frequent terms by a top-k (TakeOrdered); its size
-  is bounded by ``max_features``, which is what makes it safe to broadcast
-  into the weighting join.
+  the ``max_features`` most frequent terms by the histogram of their counts;
+  whether the weighting join broadcasts it is left to the engine, which knows
+  its size by then.
 """
 
 from __future__ import annotations
@@ -32,9 +32,6 @@ from revscope.constants import (
 )
 from revscope.functions import text as tx
 
-# A vocabulary above this many entries is joined by shuffle instead of broadcast.
-BROADCAST_VOCAB_LIMIT = 2_000_000
-
 
 @dataclass(frozen=True)
 class TermSpec:
@@ -83,27 +80,17 @@ def fit_vocabulary(tf: DataFrame, n_docs: int, spec: TermSpec, id_col: str = "id
     any term) — a scalar, so idf is a plain projection.
     """
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.filter(F.col("df") >= spec.min_df)
-    if spec.max_features is not None:
-        kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(spec.max_features)
-    # the index window spans the vocabulary only (≤ max_features rows)
-    kept = kept.withColumn("index", (F.row_number().over(Window.orderBy(F.desc("cf"), F.asc("term"))) - 1).cast("int"))
+    kept = frequency_index(stats.filter(F.col("df") >= spec.min_df), "cf", "term", spec.max_features)
     idf = F.log((F.lit(1.0) + F.lit(float(n_docs))) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return kept.select("term", "df", "cf", idf.alias("idf"), "index")
 
 
-def _vocab_side(vocab: DataFrame, spec: TermSpec) -> DataFrame:
-    v = vocab.select("term", "idf", "index")
-    bound = spec.max_features if spec.max_features is not None else None
-    return F.broadcast(v) if bound is not None and bound <= BROADCAST_VOCAB_LIMIT else v
-
-
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, spec: TermSpec, id_col: str = "id",
                   group_cols: tuple[str, ...] = ()) -> DataFrame:
     """MTH3 + JOIN4: (group..., id, term, index, weight), L2-normalised per
     document over the vocabulary terms; unseen terms are ignored."""
     tfw = (F.lit(1.0) + F.log(F.col("tf"))) if spec.sublinear_tf else F.col("tf").cast("double")
-    joined = tf.join(_vocab_side(vocab, spec), "term").withColumn("_w", tfw * F.col("idf"))
+    joined = tf.join(vocab.select("term", "idf", "index"), "term").withColumn("_w", tfw * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*group_cols, id_col)))
     return joined.select(*group_cols, id_col, "term", "index", (F.col("_w") / norm).alias("weight"))
 
@@ -142,29 +129,47 @@ PAD_ID = 0
 UNK_ID = 1
 
 
-def fit_token_vocabulary(train: DataFrame, max_vocab: int, text_col: str = "text") -> DataFrame:
+def fit_token_vocabulary(train: DataFrame, max_vocab: int | None = None, text_col: str = "text") -> DataFrame:
     """Frequency vocabulary of word tokens: (token, token_id) with ids from 2
-    (0 = padding, 1 = unknown); count desc, token asc; ≤ max_vocab entries."""
+    (0 = padding, 1 = unknown); count desc, token asc; all train tokens, or
+    the ``max_vocab`` most frequent."""
     counts = (train.select(F.explode(tx.word_tokens(F.col(text_col))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max_vocab)
-    return top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token"))) + 1)
-                      .cast("int").alias("token_id"))
+    ranked = frequency_index(counts, "n", "token", max_vocab)
+    return ranked.select("token", (F.col("index") + 2).cast("int").alias("token_id"))
+
+
+def frequency_index(terms: DataFrame, count_col: str, term_col: str, most: int | None = None) -> DataFrame:
+    """Number terms from 0 by count descending, term ascending, and keep the first ``most``.
+
+    The histogram of counts (one row per distinct count, and term initial to
+    split the counts that most terms share) gives every group its first
+    number; only terms of one group are ranked together, so no window holds
+    the vocabulary. Groups that begin beyond ``most`` are never ranked.
+    """
+    grouped = terms.withColumn("_initial", F.substring(term_col, 1, 2))
+    sizes = grouped.groupBy(count_col, "_initial").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(F.desc(count_col), F.asc("_initial")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    if most is not None:
+        starts = starts.filter(F.col("_first") < most)
+    inside = Window.partitionBy(count_col, "_initial").orderBy(term_col)
+    out = (grouped.join(starts, [count_col, "_initial"])
+           .withColumn("index", (F.col("_first") + F.row_number().over(inside) - 1).cast("int")).drop("_first", "_initial"))
+    return out if most is None else out.filter(F.col("index") < most)
 
 
 def encode_tokens(docs: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "id",
-                  text_col: str = "text") -> DataFrame:
-    """FEA5: token ids of the whole text (unknown → 1), truncated to
-    max_length, attention mask of ones. The vocabulary is bounded by
-    ``max_vocab`` and broadcast."""
-    pos = docs.select(id_col, F.posexplode(tx.word_tokens(F.col(text_col))).alias("pos", "token"))
-    ids = pos.join(F.broadcast(vocab), "token", "left").select(
-        id_col, "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("tid"))
-    grouped = ids.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("_p"))
-    enc = grouped.select(id_col, F.slice(F.transform("_p", lambda s: s["tid"]), 1, max_length).alias("input_ids"))
-    # documents without any token keep an empty encoding
-    out = docs.select(id_col).join(enc, id_col, "left").withColumn(
-        "input_ids", F.coalesce(F.col("input_ids"), F.array().cast("array<int>")))
+                  text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """FEA5: token ids (unknown → 1) of the first ``max_length`` words,
+    attention mask of ones. The words are cut before they are looked up; a
+    document's ids are gathered under its id and the columns in ``keep``."""
+    words = F.slice(tx.word_tokens(F.col(text_col)), 1, max_length)
+    pos = docs.select(id_col, *keep, F.posexplode_outer(words).alias("pos", "token"))
+    ids = pos.join(vocab, "token", "left").select(
+        id_col, *keep, F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("tid"))).alias("p"))
+    grouped = ids.groupBy(id_col, *keep).agg(F.array_sort(F.collect_list("p")).alias("_p"))
+    out = grouped.select(id_col, *keep, F.transform("_p", lambda s: s["tid"]).alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

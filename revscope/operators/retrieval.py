@@ -1,259 +1,145 @@
-"""Vector index and exact k-nearest-neighbour search (IDX1, IDX2, SRCH,
-JOIN5, TOP1, WIN3, FLT5, MTH4).
-
-Index (IDX2): corpus vectors are grouped into k-means cells
-(``pyspark.ml.clustering.KMeans``). Per (cell, label) group the index keeps
-its member count and radius (largest distance of a member to the centroid).
-
-Search is exact without comparing every question with every corpus row:
-for unit vectors ``cos_dist = ‖q−x‖²/2`` and the triangle inequality gives a
-lower bound ``max(0, ‖q−c‖ − r)²/2`` for any member of a group. Round 1
-probes, per question, the groups of smallest bound until at least k members
-are covered and keeps the k best; round 2 probes exactly the remaining groups
-whose bound does not exceed that k-th distance. Bounds come from one matrix
-product per batch of questions against the broadcast group table (bounded by
-cells × labels); only the probed (question, group) pairs become rows.
-Candidates are scored per (cell, label, sub-block, question chunk) with a
-numpy matrix product in a co-grouped ``applyInPandas``; only each question's
-k best rows leave a block.
+"""Vector index, exact k-nearest-neighbour search and text encoder (IDX1,
+IDX2, SRCH, JOIN5, TOP1, WIN3, FLT5, MTH4).
+
+Index (IDX2): corpus vectors are brought to unit length and packed into
+tiles, matrices of at most about ``TILE_ROWS`` rows of one label. Tiles are
+numbered densely, label by label, so a label is a range of tile numbers.
+
+Search is complete: every question meets every tile it may match. Questions
+are packed into tiles too (``TILE_QUESTIONS`` with the same range), each
+question tile is sent to the tile numbers of its range, and an equi-join on
+the tile number brings the two matrices together. The kernel is one matrix
+product per pair of tiles, from which only each question's k best rows leave.
+So a vector is shipped once per opposite tile, not once per opposite vector,
+and the memory of a task is bounded by one pair of tiles.
+
+Distances are ``1 - cosine``, rounded to 6 places. A zero vector has cosine 0
+with everything. Rows or questions without a vector take no part; an empty
+corpus gives no hits.
 
 Focus (FLT5): a question's focus filters on ``label = lower(focus)``; when no
-corpus row has that label the question falls back to an unfiltered search.
-Each question goes down exactly one of the two branches (no second search).
+corpus row has that label the question is searched unfiltered. Rows without a
+label are found by unfiltered questions.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revscope.functions.vector import dot
+from revscope.functions.text import word_tokens
+from revscope.functions.vector import normalize
 
-# group-table rows above this are not broadcast (cells × labels)
-BROADCAST_GROUPS_LIMIT = 500_000
-MAX_CELLS = 4096
+TILE_ROWS, TILE_QUESTIONS = 4096, 1024
 DIST_DIGITS = 6
-BOUND_SLACK = 2e-6
+
+TILE_SCHEMA = "tile long, label string, n long, ids binary, matrix binary"
+LABEL_SCHEMA = "label string, n long, parts long, first long"
 
 
 @dataclass
 class VectorIndex:
-    rows: DataFrame     # row_id, label, cell, vec (+ payload columns)
-    groups: DataFrame   # cell, label, centroid, radius, n
-
-
-def _euclid(a, b) -> F.Column:
-    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(diff, F.lit(0.0).cast("double"), lambda s, x: s + x))
+    rows: DataFrame    # row_id, label, vec (unit length), payload columns
+    tiles: DataFrame   # TILE_SCHEMA: packed ids and matrices
+    labels: DataFrame  # LABEL_SCHEMA: rows, number of tiles and first tile of every label
+    metadata: dict = field(default_factory=dict)
 
 
 def build_index(corpus: DataFrame, vec_col: str = "embedding", label_col: str = "label",
-                id_col: str = "row_id", cells: int | None = None, seed: int = 42,
-                max_iter: int = 10, payload: tuple[str, ...] = (), materialize: bool = True) -> VectorIndex:
-    """IDX2: k-means cells over the corpus vectors and per-group radii."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    base = corpus.select(F.col(id_col).alias("row_id"), F.col(label_col).alias("label"),
-                         F.col(vec_col).alias("vec"), *payload)
-    if cells is None:
-        n = base.count()
-        cells = max(1, min(MAX_CELLS, int(round(math.sqrt(max(n, 1))))))
-    spark = corpus.sparkSession
-    if cells < 2:
-        # one cell: the origin as its centre (every group is always probed)
-        dim = base.select(F.size("vec").alias("d")).first()["d"]
-        cents = spark.createDataFrame([(0, [0.0] * dim)], "cell int, centroid array<double>")
-        rows = base.withColumn("cell", F.lit(0))
-    else:
-        feats = base.withColumn("_features", array_to_vector(F.col("vec")))
-        model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="_features",
-                       predictionCol="cell", initMode="k-means||").fit(feats)
-        centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        # at most MAX_CELLS centroids: a bounded table
-        cents = spark.createDataFrame(centers, "cell int, centroid array<double>")
-        rows = model.transform(feats).drop("_features").withColumn("cell", F.col("cell").cast("int"))
+                id_col: str = "row_id", payload: tuple[str, ...] = (), materialize: bool = True,
+                tile_rows: int = TILE_ROWS) -> VectorIndex:
+    """IDX2: unit vectors packed into tiles of one label."""
+    rows = corpus.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("string").alias("label"),
+        normalize(vec_col).alias("vec"), *payload)
     if materialize:
         rows = rows.checkpoint(eager=True)
-    with_c = rows.join(F.broadcast(cents), "cell")
-    groups = (with_c.groupBy("cell", "label")
-              .agg(F.max(_euclid(F.col("vec"), F.col("centroid"))).alias("radius"),
-                   F.count(F.lit(1)).alias("n"))
-              .join(F.broadcast(cents), "cell"))
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / tile_rows))
+    # one row per label passes through this window
+    before = Window.orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    labels = counts.withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0)))
     if materialize:
-        groups = groups.checkpoint(eager=True)
-    return VectorIndex(rows=rows, groups=groups)
-
-
-def effective_focus(questions: DataFrame, index_labels: DataFrame, focus_col: str = "focus") -> DataFrame:
-    """FLT5: lower(focus) when some corpus row has that label, else null."""
-    labels = index_labels.select(F.col("label").alias("_eff")).distinct()
-    q = questions.withColumn("_lf", F.lower(F.col(focus_col)))
-    # the label domain is tiny; broadcast it
-    return q.join(F.broadcast(labels), F.col("_lf") == F.col("_eff"), "left").drop("_lf")
-
-
-def _distance(q, x) -> F.Column:
-    d = F.round(F.lit(1.0) - dot(q, x), DIST_DIGITS)
-    return d + F.lit(0.0)
-
-
-def _group_table(groups: DataFrame):
-    """The (cell, label) group table as numpy arrays for a broadcast.
-
-    Size is bounded by cells × labels (cells ≤ MAX_CELLS), which is what makes
-    shipping it to every task safe."""
-    import numpy as np
-
-    g = groups.select("cell", "label", "radius", "n", "centroid").orderBy("cell", "label").collect()
-    if len(g) > BROADCAST_GROUPS_LIMIT:
-        raise ValueError(f"index has {len(g)} groups, above the broadcast bound {BROADCAST_GROUPS_LIMIT}")
-    cells = sorted({r["cell"] for r in g})
-    pos = {c: i for i, c in enumerate(cells)}
-    by_cell = {r["cell"]: r["centroid"] for r in g}
-    cent = np.array([by_cell[c] for c in cells], dtype=np.float64)
-    return {
-        "cell": np.array([r["cell"] for r in g], dtype=np.int32),
-        "cpos": np.array([pos[r["cell"]] for r in g], dtype=np.int64),
-        "label": np.array([r["label"] for r in g], dtype=object),
-        "radius": np.array([r["radius"] for r in g], dtype=np.float64),
-        "n": np.array([r["n"] for r in g], dtype=np.int64),
-        "centroids": cent,
-    }
-
-
-_PROBE_SCHEMA = "q_id long, q_vec array<float>, k int, cell int, label string, n long"
-
-
-def _probe_fn(bc, second_round: bool):
-    """Per batch of questions: bounds to every centroid by one matrix product,
-    then only the groups a question must probe are emitted.
-
-    Round 1: groups in ascending bound order until k members are covered.
-    Round 2: the remaining groups whose bound does not exceed the k-th
-    distance of round 1 (all remaining ones when round 1 found fewer than k).
-    """
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        t = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            qv = np.stack(pdf["q_vec"].to_numpy()).astype(np.float64)
-            cent = t["centroids"]
-            d2 = (qv * qv).sum(1)[:, None] - 2 * qv @ cent.T + (cent * cent).sum(1)[None, :]
-            dc = np.sqrt(np.maximum(d2, 0.0))[:, t["cpos"]]
-            gap = np.maximum(dc - t["radius"][None, :], 0.0)
-            lb = gap * gap / 2
-            # disallowed groups (other labels under a focus) never get probed
-            eff = pdf["_eff"].to_numpy(dtype=object)
-            focused = np.array([e is not None and not (isinstance(e, float) and np.isnan(e)) for e in eff])
-            allowed = ~focused[:, None] | (t["label"][None, :] == eff[:, None])
-            key = np.where(allowed, lb, np.inf)
-            # groups are stored in (cell, label) order, so a stable sort breaks
-            # bound ties the same way everywhere
-            order = np.argsort(key, axis=1, kind="stable")
-            n_sorted = np.where(np.take_along_axis(allowed, order, axis=1), t["n"][order], 0)
-            before = np.cumsum(n_sorted, axis=1) - n_sorted
-            ks = pdf["k"].to_numpy(dtype=np.int64)
-            first_sorted = (before < ks[:, None]) & np.take_along_axis(allowed, order, axis=1)
-            first = np.zeros_like(allowed)
-            np.put_along_axis(first, order, first_sorted, axis=1)
-            if not second_round:
-                chosen = first
-            else:
-                dk = pdf["_dk"].to_numpy(dtype=np.float64)
-                got = pdf["_got"].fillna(0).to_numpy(dtype=np.float64)
-                open_all = np.isnan(dk) | (got < ks)
-                within = lb <= (np.nan_to_num(dk, nan=np.inf) + BOUND_SLACK)[:, None]
-                chosen = allowed & ~first & (open_all[:, None] | within)
-            qi, gi = np.nonzero(chosen)
-            if len(qi) == 0:
-                continue
-            yield pd.DataFrame({
-                "q_id": pdf["q_id"].to_numpy(dtype=np.int64)[qi],
-                "q_vec": pdf["q_vec"].to_numpy()[qi],
-                "k": ks[qi].astype(np.int32),
-                "cell": t["cell"][gi],
-                "label": t["label"][gi],
-                "n": t["n"][gi],
-            })
-    return run
-
-
-# bounded work per task: at most this many corpus rows and questions per block
-BLOCK_ROWS = 4096
-BLOCK_QUESTIONS = 2048
-_CAND_SCHEMA = "q_id long, k int, row_id long, label string, distance double"
-
-
-def _block_top_k(key, pq, px):
-    """One (cell, label, sub-block, question-chunk) block: distances of all
-    its questions to all its rows with one matrix product, and per question
-    only the k best (distance rounded to 6 places, row_id on ties) leave."""
-    import numpy as np
-    import pandas as pd
-
-    if len(pq) == 0 or len(px) == 0:
-        return pd.DataFrame({"q_id": pd.Series([], dtype="int64"), "k": pd.Series([], dtype="int32"),
-                             "row_id": pd.Series([], dtype="int64"), "label": pd.Series([], dtype=object),
-                             "distance": pd.Series([], dtype="float64")})
-    q = np.stack(pq["q_vec"].to_numpy()).astype(np.float64)
-    x = np.stack(px["vec"].to_numpy()).astype(np.float64)
-    ids = px["row_id"].to_numpy(dtype=np.int64)
-    by_id = np.argsort(ids, kind="stable")
-    x, ids = x[by_id], ids[by_id]
-    d = np.floor((1.0 - q @ x.T) * 1e6 + 0.5) / 1e6 + 0.0
-    ks = pq["k"].to_numpy(dtype=np.int64)
-    kmax = int(min(ks.max(), x.shape[0]))
-    if x.shape[0] > 4 * kmax:
-        part = np.argpartition(d, kmax - 1, axis=1)[:, :kmax]
-        # ties at the cut: keep every column equal to the k-th value
-        kth = np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True)
-        mask = d <= kth
-    else:
-        mask = np.ones_like(d, dtype=bool)
-    rows_q, cols = np.nonzero(mask)
-    sel = pd.DataFrame({"r": rows_q, "c": cols, "d": d[rows_q, cols], "id": ids[cols]})
-    sel = sel.sort_values(["r", "d", "id"], kind="stable")
-    sel["rank"] = sel.groupby("r").cumcount() + 1
-    sel = sel[sel["rank"] <= ks[sel["r"].to_numpy()]]
-    return pd.DataFrame({
-        "q_id": pq["q_id"].to_numpy(dtype=np.int64)[sel["r"].to_numpy()],
-        "k": ks[sel["r"].to_numpy()].astype(np.int32),
-        "row_id": sel["id"].to_numpy(dtype=np.int64),
-        "label": np.asarray([key[1]] * len(sel), dtype=object),
-        "distance": sel["d"].to_numpy(dtype=np.float64),
-    })
-
-
-def _candidates(probes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per probed group, the k best rows of each question, computed in
-    bounded blocks: groups larger than BLOCK_ROWS are split into sub-blocks
-    (rows by hash of row_id), the questions probing a group into chunks of
-    BLOCK_QUESTIONS; every (sub-block, chunk) pair is one co-grouped task."""
-    keys = ["cell", "label"]
-    n_sub = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK_ROWS))).cast("int")
-    load = probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"), F.max("n").alias("n"))
-    plan = load.select(*keys, n_sub.alias("_nsub"),
-                       F.greatest(F.lit(1), F.ceil(F.col("_nq") / F.lit(BLOCK_QUESTIONS))).cast("int").alias("_nqc"))
-    # one row per probed group: at most (cells × labels) rows
-    plan = F.broadcast(plan)
-    p = (probes.join(plan, keys)
-         .withColumn("_qc", F.pmod(F.xxhash64("q_id"), F.col("_nqc")).cast("int"))
-         .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
-         .select(*keys, "_sub", "_qc", "q_id", "q_vec", "k"))
-    r = (rows.select(*keys, "row_id", "vec").join(plan, keys)
-         .withColumn("_sub", F.pmod(F.xxhash64("row_id"), F.col("_nsub")).cast("int"))
-         .withColumn("_qc", F.explode(F.sequence(F.lit(0), F.col("_nqc") - 1)))
-         .select(*keys, "_sub", "_qc", "row_id", "vec"))
-    block = keys + ["_sub", "_qc"]
-    return p.groupBy(*block).cogroup(r.groupBy(*block)).applyInPandas(_block_top_k, _CAND_SCHEMA)
+        labels = labels.checkpoint(eager=True)
+    place = labels.select(F.col("label").alias("_label"), "parts", "first")
+    placed = (rows.select("row_id", "label", "vec").join(place, F.col("label").eqNullSafe(F.col("_label")))
+              .select((F.col("first") + F.pmod(F.xxhash64("row_id"), F.col("parts"))).alias("tile"), "label", "row_id", "vec"))
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        ids, matrix = _packed(table.column("row_id"), table.column("vec"))
+        return pa.Table.from_arrays(
+            [pa.array([key[0].as_py()], pa.int64()), pa.array([table.column("label")[0].as_py()], pa.string()),
+             pa.array([table.num_rows], pa.int64()), pa.array([ids], pa.binary()), pa.array([matrix], pa.binary())],
+            ["tile", "label", "n", "ids", "matrix"])
+
+    tiles = placed.groupBy("tile").applyInArrow(gather, TILE_SCHEMA)
+    if materialize:
+        tiles = tiles.checkpoint(eager=True)
+    return VectorIndex(rows=rows, tiles=tiles, labels=labels)
+
+
+def _packed(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[bytes, bytes]:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids.to_numpy().astype("<i8").tobytes(), flat.astype("<f8").tobytes()
+
+
+def effective_focus(questions: DataFrame, labels: DataFrame, focus_col: str = "focus") -> DataFrame:
+    """FLT5: lower(focus) as ``_eff`` when some corpus row has that label, else null."""
+    known = labels.select(F.col("label").alias("_eff")).distinct()
+    return questions.withColumn("_lf", F.lower(F.col(focus_col))).join(known, F.col("_lf") == F.col("_eff"), "left").drop("_lf")
+
+
+def _question_tiles(q: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tile, q_ids, q_ks, q_matrix): question tiles, once for every corpus tile of their range."""
+    x = labels.agg(F.coalesce(F.sum("parts"), F.lit(0)).alias("tiles")).first()
+    spans = labels.select(F.col("label").alias("_eff"), "first", "parts").filter("_eff IS NOT NULL")
+    ranged = (q.join(spans, "_eff", "left")
+              .select("q_id", "k", "vec", F.coalesce("first", F.lit(0)).alias("first"),
+                      F.coalesce("parts", F.lit(x.tiles)).alias("parts")))
+    chunks = max(1, -(-ranged.count() // TILE_QUESTIONS))
+    ranged = ranged.withColumn("chunk", F.pmod(F.xxhash64("q_id"), F.lit(chunks)))
+
+    def gather(key: tuple, table: pa.Table) -> pa.Table:
+        ids, matrix = _packed(table.column("q_id"), table.column("vec"))
+        ks = table.column("k").to_numpy().astype("<i8").tobytes()
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.int64())]
+                                    + [pa.array([b], pa.binary()) for b in (ids, ks, matrix)],
+                                    ["first", "parts", "q_ids", "q_ks", "q_matrix"])
+
+    tiles = ranged.groupBy("first", "parts", "chunk").applyInArrow(
+        lambda key, table: gather(key[:2], table), "first long, parts long, q_ids binary, q_ks binary, q_matrix binary")
+    return tiles.filter("parts > 0").select(
+        F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"), "q_ids", "q_ks", "q_matrix")
+
+
+def _best_of_pair(q_ids: bytes, q_ks: bytes, q_matrix: bytes, ids: bytes, matrix: bytes) -> tuple[np.ndarray, ...]:
+    """Of one pair of tiles each question's k best rows (smaller row_id on ties)."""
+    qi, ks, xi = (np.frombuffer(b, "<i8") for b in (q_ids, q_ks, ids))
+    q = np.frombuffer(q_matrix, "<f8").reshape(len(qi), -1)
+    x = np.frombuffer(matrix, "<f8").reshape(len(xi), -1)
+    by_id = np.argsort(xi, kind="stable")
+    x, xi = x[by_id], xi[by_id]
+    out = []
+    for a in range(0, len(qi), 128):
+        d = np.floor((1.0 - q[a:a + 128] @ x.T) * 1e6 + 0.5) / 1e6 + 0.0
+        k = ks[a:a + 128]
+        most = int(min(k.max(), len(xi)))
+        if len(xi) > 4 * most:
+            kth = np.partition(d, most - 1, axis=1)[:, most - 1:most]
+            row, col = np.nonzero(d <= kth)
+        else:
+            row, col = (i.ravel() for i in np.indices(d.shape))
+        order = np.lexsort((col, d[row, col], row))
+        row, col = row[order], col[order]
+        start = np.searchsorted(row, np.arange(len(k)))
+        keep = np.arange(len(row)) - start[row] < k[row]
+        row, col = row[keep], col[keep]
+        out.append((qi[a:a + 128][row], k[row], xi[col], d[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _top_k(c: DataFrame) -> DataFrame:
@@ -265,63 +151,62 @@ def search(questions: DataFrame, index: VectorIndex, top_k: int = 5, focus_col:
            k_col: str | None = None) -> DataFrame:
     """SRCH: (q_id, rank, row_id, label, distance), ranks 1..k by ascending
     cosine distance (rounded to 6 places), row_id breaking ties."""
-    q = questions.select(
-        "q_id", F.col("q_vec"),
-        (F.col(k_col).cast("int") if k_col else F.lit(top_k)).alias("k"),
-        (F.col(focus_col) if focus_col else F.lit(None).cast("string")).alias("focus"))
-    q = effective_focus(q, index.groups).select("q_id", "q_vec", "k", "_eff")
-    bc = q.sparkSession.sparkContext.broadcast(_group_table(index.groups))
-    first = q.mapInPandas(_probe_fn(bc, second_round=False), _PROBE_SCHEMA)
-    r1 = _top_k(_candidates(first, index.rows))
-    kth = r1.groupBy("q_id").agg(F.max("distance").alias("_dk"), F.count(F.lit(1)).alias("_got"))
-    q2 = q.join(kth, "q_id", "left").select("q_id", "q_vec", "k", "_eff", "_dk", "_got")
-    rest = q2.mapInPandas(_probe_fn(bc, second_round=True), _PROBE_SCHEMA)
-    r2 = _candidates(rest, index.rows)
-    final = _top_k(r1.drop("rank").unionByName(r2))
-    return final.select("q_id", "rank", "row_id", "label", "distance")
-
-
-def contexts(hits: DataFrame, corpus: DataFrame, payload: tuple[str, ...] = ("text", "label_id", "split")) -> DataFrame:
-    """Attach the corpus payload to each hit (equi-join on row_id)."""
-    c = corpus.select("row_id", *payload)
-    return hits.join(c, "row_id")
+    q = questions.filter(F.col("q_vec").isNotNull() & F.col("q_id").isNotNull()).select(
+        F.col("q_id").cast("long").alias("q_id"), normalize("q_vec").alias("vec"),
+        (F.col(k_col) if k_col else F.lit(top_k)).cast("long").alias("k"),
+        (F.col(focus_col) if focus_col else F.lit(None).cast("string")).alias("focus")).filter("k > 0")
+    asked = _question_tiles(effective_focus(q, index.labels), index.labels)
+    columns = ["q_ids", "q_ks", "q_matrix", "ids", "matrix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                qi, k, xi, d = _best_of_pair(*[batch.column(c)[i].as_py() for c in columns])
+                label = pa.array([batch.column("label")[i].as_py()] * len(qi), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(k, pa.int32()), pa.array(xi), label, pa.array(d)],
+                                                 ["q_id", "k", "row_id", "label", "distance"])
+
+    found = asked.join(index.tiles, "tile").select(*columns, "label").mapInArrow(
+        run, "q_id long, k int, row_id long, label string, distance double")
+    return _top_k(found).select("q_id", "rank", "row_id", "label", "distance")
 
 
 # ---- IDX1: encoders ----------------------------------------------------------------------
 
-def embed_texts(df: DataFrame, text_col: str = "text", dim: int = 256, out_col: str = "embedding") -> DataFrame:
-    """IDX1 (default in-engine encoder): hashed word counts → IDF →
-    unit length, as a dense ``array<float>``. Fitted on the given rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+@dataclass
+class TextEncoder:
+    """Hashed word counts times IDF, unit length: fitted once, used for corpus and questions."""
+
+    dim: int
+    idf: list[float]
 
-    from revscope.functions.text import word_tokens
 
-    toks = df.withColumn("_toks", word_tokens(F.col(text_col)))
-    pipe = Pipeline(stages=[HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim),
-                            IDF(inputCol="_tf", outputCol="_idf"),
-                            Normalizer(inputCol="_idf", outputCol="_unit", p=2.0)])
-    out = pipe.fit(toks).transform(toks)
-    return out.withColumn(out_col, vector_to_array("_unit", "float32")).drop("_toks", "_tf", "_idf", "_unit")
+def _buckets(text_col: str, dim: int) -> F.Column:
+    """Bucket of every word: 32 bits of its MD5 modulo the dimension."""
+    return F.transform(word_tokens(F.col(text_col)),
+                       lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def embed_with(df: DataFrame, encoder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
-    """IDX1 (pluggable encoder): ``encoder(list[str]) -> list[list[float]]``
-    called once per Arrow batch inside the executors."""
-    import pandas as pd
+def fit_encoder(docs: DataFrame, text_col: str = "text", dim: int = 256) -> TextEncoder:
+    """IDX1: smooth IDF of every bucket over the documents (``dim`` numbers)."""
+    buckets = docs.select(F.array_distinct(F.coalesce(_buckets(text_col, dim), F.array().cast("array<int>"))).alias("b"))
+    rows = buckets.select(F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df")).collect()
+    df = {r["b"]: r["df"] for r in rows}
+    n = df.get(-1, 0)
+    return TextEncoder(dim, [float(np.log((1 + n) / (1 + df.get(i, 0))) + 1) for i in range(dim)])
 
-    cols = df.columns
 
-    def run(batches):
-        for pdf in batches:
-            vecs = encoder(pdf[text_col].fillna("").tolist())
-            pdf = pdf.copy()
-            pdf[out_col] = pd.Series([list(map(float, v)) for v in vecs], index=pdf.index)
-            yield pdf
+def encode(docs: DataFrame, encoder: TextEncoder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
+    """IDX1: the documents with their vector; a text without words has the zero vector."""
+    @F.pandas_udf("array<float>")
+    def vector(buckets):
+        import pandas as pd
 
-    from pyspark.sql import types as T
+        idf, out = np.array(encoder.idf), []
+        for b in buckets:
+            v = np.bincount(b, minlength=encoder.dim) * idf if b is not None and len(b) else np.zeros(encoder.dim)
+            norm = np.sqrt((v * v).sum())
+            out.append((v / norm if norm else v).astype(np.float32))
+        return pd.Series(out)
 
-    schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
-                          + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
-    return df.select(*cols).mapInPandas(run, schema)
+    return docs.withColumn(out_col, vector(_buckets(text_col, encoder.dim)))

@@ -2,8 +2,8 @@
 
 Questions are every embedding row (its vector asks for its nearest corpus
 rows); the corpus is the embeddings joined with their documents. The Spark
-side searches through the k-means cell index with exact pruning; the oracle
-is brute force over all pairs in DuckDB.
+side searches tile against tile; the oracle is brute force over all pairs in
+DuckDB.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from revscope.constants import NO_HITS_MESSAGE, STOP_WORDS, marker_lexicon
 from revscope.functions import text as tx
 from revscope.operators import qa, retrieval
+from revscope.plans.q_features import SQL_TOKENS
 from revscope.plans.q_text import _sql_focus
 from revscope.plans.registry import query
-from revscope.plans.sqlviews import SQL_WS, with_views
+from revscope.plans.sqlviews import SQL_WS, sql_clean, with_views
 from revscope.session import scratch_path
 from revscope.sources import testdata as td
 
@@ -23,17 +24,24 @@ K = 5
 _LEX = marker_lexicon()
 
 
-def _sql_hits(use_focus: bool) -> str:
+_SQL_NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+
+def sql_hits(use_focus: bool, k: str = str(K), corpus: str = "corpus", questions: str = "questions", views: str | None = None) -> str:
+    """Brute force over all pairs: ``hits`` of every question, by true cosine."""
     eff = ("(SELECT l.label FROM labels l WHERE l.label = lower(q.sentiment_focus))"
            if use_focus else "CAST(NULL AS VARCHAR)")
-    return with_views("corpus", "questions") + f"""
-, labels AS (SELECT DISTINCT label FROM corpus)
-, qf AS (SELECT q.*, coalesce(nullif(q.focus, ''), {_sql_focus("q.question", _LEX)}) AS sentiment_focus FROM questions q)
-, q AS (SELECT q.*, {eff} AS eff FROM qf q)
-, pairs AS (SELECT q.q_id, c.row_id, c.label, round(1 - list_dot_product(q.q_vec, c.embedding), 6) + 0.0 AS distance
-            FROM q JOIN corpus c ON (q.eff IS NULL OR c.label = q.eff))
-, hits AS (SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, row_id) AS INTEGER) AS rank,
-                  row_id, label, distance FROM pairs QUALIFY rank <= {K})"""
+    norm = lambda v: f"nullif({_SQL_NORM.format(v=v)}, 0)"
+    return (views if views is not None else with_views("corpus", "questions")) + f"""
+, labels AS (SELECT DISTINCT label FROM {corpus})
+, qf AS (SELECT q.*, coalesce(nullif(q.focus, ''), {_sql_focus("q.question", _LEX)}) AS sentiment_focus FROM {questions} q)
+, q AS (SELECT q.*, {eff} AS eff, {norm("q.q_vec")} AS norm FROM qf q)
+, c AS (SELECT *, {norm("embedding")} AS norm FROM {corpus})
+, pairs AS (SELECT q.q_id, {k} AS k, c.row_id, c.label,
+                   round(1 - coalesce(list_dot_product(q.q_vec, c.embedding) / (q.norm * c.norm), 0), 6) + 0.0 AS distance
+            FROM q JOIN c ON (q.eff IS NULL OR c.label = q.eff))
+, hits AS (SELECT q_id, CAST(rank AS INTEGER) AS rank, row_id, label, distance FROM (
+             SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, row_id) AS rank FROM pairs) WHERE rank <= k)"""
 
 
 def _questions(spark, sf):
@@ -52,17 +60,17 @@ def _hits(spark, sf, use_focus: bool = True):
     return hits.checkpoint(eager=True), index.rows.select("row_id", "text", "label_id", "split")
 
 
-@query("search_topk", _sql_hits(False) + "\nSELECT * FROM hits", headline=True)
+@query("search_topk", sql_hits(False) + "\nSELECT * FROM hits", headline=True)
 def search_topk(spark, sf):
     return _hits(spark, sf, use_focus=False)[0]
 
 
-@query("search_filtered", _sql_hits(True) + "\nSELECT * FROM hits", headline=True)
+@query("search_filtered", sql_hits(True) + "\nSELECT * FROM hits", headline=True)
 def search_filtered(spark, sf):
     return _hits(spark, sf)[0]
 
 
-@query("search_ivf", _sql_hits(True) + "\nSELECT * FROM hits")
+@query("search_ivf", sql_hits(True) + "\nSELECT * FROM hits")
 def search_ivf(spark, sf):
     """Build the index, persist it (SNK5) with its metadata, reopen it (SRC9), search."""
     from revscope.sources import io
@@ -76,13 +84,40 @@ def search_ivf(spark, sf):
     return retrieval.search(_questions(spark, sf), reopened, K, focus_col="sentiment_focus")
 
 
-@query("context_label_mix", _sql_hits(True) + """
+_SCALED = f"""
+, scaled AS (SELECT row_id, text, split, label_id, CASE WHEN row_id % 7 <> 0 THEN CAST(label_id AS VARCHAR) END AS label,
+                    list_transform(embedding, lambda x: x * (row_id % 5)) AS embedding FROM corpus)
+, asked AS (SELECT q_id, question, list_transform(q_vec, lambda x: x * (1 + q_id % 3)) AS q_vec,
+                   CASE q_id % 4 WHEN 0 THEN '0' WHEN 1 THEN '2' WHEN 2 THEN 'none' END AS focus FROM questions)"""
+
+
+@query("search_scaled", sql_hits(True, corpus="scaled", questions="asked", views=with_views("corpus", "questions") + _SCALED) + """
+SELECT * FROM hits""")
+def search_scaled(spark, sf):
+    """Vectors of any length (some zero), null and numeric-looking labels, through a stored and reopened index."""
+    from revscope.sources import io
+
+    scale = F.pmod(F.col("row_id"), F.lit(5)).cast("double")
+    corpus = (td.corpus(spark, sf)
+              .withColumn("label", F.when(F.pmod(F.col("row_id"), F.lit(7)) != 0, F.col("label_id").cast("string")))
+              .withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * scale)))
+    path = scratch_path(spark, "index")
+    io.write_index(retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split")), path, {})
+    m = F.pmod(F.col("q_id"), F.lit(4))
+    q = td.questions(spark, sf).select(
+        "q_id", "question", F.transform("q_vec", lambda x: x.cast("double") * (1 + F.pmod(F.col("q_id"), F.lit(3)))).alias("q_vec"),
+        F.when(m == 0, F.lit("0")).when(m == 1, F.lit("2")).when(m == 2, F.lit("none")).alias("focus"))
+    q = q.withColumn("focus", F.coalesce("focus", tx.infer_focus("question", _LEX)))
+    return retrieval.search(q, io.read_index(spark, path), K, focus_col="focus")
+
+
+@query("context_label_mix", sql_hits(True) + """
 SELECT q_id, label, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY q_id, label""")
 def context_label_mix(spark, sf):
     return qa.label_mix(_hits(spark, sf)[0])
 
 
-@query("dominant_label", _sql_hits(True) + """
+@query("dominant_label", sql_hits(True) + """
 , mix AS (SELECT q_id, label, count(*) AS n, min(rank) AS first_rank FROM hits GROUP BY q_id, label)
 SELECT q_id, label AS dominant_label, n AS dominant_n, k_found FROM (
   SELECT *, sum(n) OVER (PARTITION BY q_id) AS k_found,
@@ -113,7 +148,7 @@ _PHRASES_SQL = f"""
     WHERE NOT regexp_matches(term, '{qa.DIGIT_CLASS}')) WHERE rank <= 5)"""
 
 
-@query("keyphrases", _sql_hits(True) + _PHRASES_SQL + "\nSELECT * FROM phrases")
+@query("keyphrases", sql_hits(True) + _PHRASES_SQL + "\nSELECT * FROM phrases")
 def keyphrases(spark, sf):
     hits, corpus = _hits(spark, sf)
     ctx = hits.join(corpus.select("row_id", "text"), "row_id")
@@ -130,7 +165,7 @@ def _sql_truncate(t: str, n: int) -> str:
             f"regexp_replace(substr({t}, 1, {n - 3}), '{SQL_WS}+$', '') || '...' END")
 
 
-_ANSWER_SQL = _sql_hits(True) + _PHRASES_SQL + f"""
+_ANSWER_TAIL = _PHRASES_SQL + f"""
 , hc AS (SELECT h.*, c.text, c.split, c.label_id FROM hits h JOIN corpus c ON h.row_id = c.row_id)
 , agg AS (SELECT q_id, count(*) AS k, list(text ORDER BY rank) AS texts,
                  list('[' || rank || '] label=' || label || '; split=' || split || '; score=' || {_sql_fixed4("distance")}
@@ -156,6 +191,12 @@ _ANSWER_SQL = _sql_hits(True) + _PHRASES_SQL + f"""
       CASE WHEN len(phr) > 0 THEN 'Recurring themes: ' || array_to_string(phr[1:5], ', ') || '.' END,
       'Example evidence: ' || array_to_string(list_transform(texts[1:2], lambda t: {_sql_truncate("t", 120)}), '; '))
     END AS answer FROM a)"""
+_ANSWER_SQL = sql_hits(True) + _ANSWER_TAIL
+
+
+def answer_sql() -> str:
+    """The CTEs from ``hits`` and ``qf`` to ``ans``, one answer per question."""
+    return _ANSWER_TAIL
 
 
 @query("extractive_answer", _ANSWER_SQL + "\nSELECT q_id, answer FROM ans")
@@ -169,8 +210,7 @@ def _answers(spark, sf, generator=None, config=None):
     return qa.answer(q, hits, corpus, config or qa.GeneratorConfig(), generator=generator)
 
 
-@query("compose_prompt", _ANSWER_SQL + """
-SELECT q_id, array_to_string(list_concat([
+_PROMPT_SQL = """array_to_string(list_concat([
     'Answer in the language of the reviews, using only the evidence listed below.',
     'Say so when the evidence is thin and the conclusion only approximate.',
     'Question: ' || question,
@@ -178,15 +218,17 @@ SELECT q_id, array_to_string(list_concat([
     'Key phrases: ' || CASE WHEN len(phr) > 0 THEN array_to_string(phr, ', ') ELSE 'none' END,
     'Label distribution: ' || distribution_text,
     'Evidence:'], coalesce(lines, []::VARCHAR[]),
-    ['Reply with a short answer and then two to four findings in one paragraph.']), chr(10)) AS prompt
-FROM a""")
+    ['Reply with a short answer and then two to four findings in one paragraph.']), chr(10))"""
+
+
+@query("compose_prompt", _ANSWER_SQL + f"\nSELECT q_id, {_PROMPT_SQL} AS prompt FROM a")
 def compose_prompt(spark, sf):
     a = _answers(spark, sf)
     return a.select("q_id", qa.compose_prompt(F.col("question"), F.col("contexts"), F.col("sentiment_focus"),
                                               F.col("keyphrases"), F.col("distribution_text")).alias("prompt"))
 
 
-@query("context_caption", _sql_hits(True) + f"""
+@query("context_caption", sql_hits(True) + f"""
 , hc AS (SELECT h.*, c.split FROM hits h JOIN corpus c ON h.row_id = c.row_id)
 SELECT q_id, rank, label || ' · ' || split || ' · score ' || {_sql_fixed4("distance")} AS caption FROM hc""")
 def context_caption(spark, sf):
@@ -217,7 +259,10 @@ def _stub_generator(prompt: str) -> str:
     return f"Generated summary over {sum(1 for x in lines if x.startswith('['))} reviews."
 
 
-@query("generated_answer")
+@query("generated_answer", _ANSWER_SQL + f"""
+, p AS (SELECT q_id, k, answer, {_PROMPT_SQL} AS prompt FROM ans)
+SELECT q_id, CASE WHEN length(prompt) % 7 = 0 THEN 'extractive' ELSE 'llm' END AS generation_mode, length(prompt) % 7 <> 0 AS llm_used,
+       CASE WHEN length(prompt) % 7 = 0 THEN answer ELSE 'Generated summary over ' || k || ' reviews.' END AS answer FROM p""")
 def generated_answer(spark, sf):
     cfg = qa.GeneratorConfig(mode="llm", model="stub", base_url="http://localhost:8080/v1")
     a = _answers(spark, sf, generator=_stub_generator, config=cfg)
@@ -249,10 +294,38 @@ def generation_mode(spark, sf):
     return q.select("conv_id", "turn", qa.mode_for(req, model, url, key).alias("generation_mode"))
 
 
-@query("embed_corpus")
-def embed_corpus(spark, sf):
-    docs = td.all_docs(spark, sf).select("id", tx.clean_text("text").alias("text"))
-    e = retrieval.embed_texts(docs, "text", dim=64)
-    from revscope.functions.vector import l2norm
+def _sql_embed(name: str, docs: str, dim: int) -> str:
+    """Counts of the hash buckets of the words of (id, text) rows."""
+    return f"""
+, {name}_t AS (SELECT id, unnest(list_transform({SQL_TOKENS}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim})) AS b FROM {docs})
+, {name}_c AS (SELECT id, b, count(*) AS tf FROM {name}_t GROUP BY id, b)"""
 
-    return e.select("id", F.size("embedding").alias("dim"), F.round(l2norm("embedding"), 6).alias("norm"))
+
+@query("embed_corpus", with_views("all_docs") + f"""
+, emb_docs AS (SELECT id, {sql_clean("text")} AS text FROM all_docs)""" + _sql_embed("e", "emb_docs", 64) + """
+, idf AS (SELECT b, ln((1 + (SELECT count(*) FROM emb_docs)) / (1 + count(*))) + 1 AS idf FROM e_c GROUP BY b)
+, w AS (SELECT id, e_c.b, tf * idf AS w FROM e_c JOIN idf ON e_c.b = idf.b)
+, n AS (SELECT id, sqrt(sum(w * w)) AS norm, count(*) AS buckets, max(w) AS top, sum(w * (b + 1)) AS place FROM w GROUP BY id)
+SELECT d.id, 64 AS dim, coalesce(n.buckets, 0)::INTEGER AS buckets, round(coalesce(n.top / n.norm, 0), 4) AS top, round(coalesce(n.place / n.norm, 0), 2) AS place
+FROM emb_docs d LEFT JOIN n ON d.id = n.id""")
+def embed_corpus(spark, sf):
+    """Fit the encoder on all documents and embed them; facts that pin every component."""
+    docs = td.all_docs(spark, sf).select("id", tx.clean_text("text").alias("text")).checkpoint()
+    e = retrieval.encode(docs, retrieval.fit_encoder(docs, dim=64))
+    place = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return e.select("id", F.size("embedding").alias("dim"), F.size(F.filter("embedding", lambda x: x != 0)).alias("buckets"),
+                    F.round(F.array_max("embedding").cast("double"), 4).alias("top"), F.round(place, 2).alias("place"))
+
+
+@query("ask_text")
+def ask_text(spark, sf):
+    """Questions as text: embedded by the corpus's encoder, searched and answered."""
+    from revscope.operators.ask import ask
+
+    docs = td.all_docs(spark, sf).select(
+        F.col("id").alias("row_id"), tx.clean_text("text").alias("text"), F.pmod(F.col("id"), F.lit(3)).cast("int").alias("label_id"),
+        td.label_name(F.pmod(F.col("id"), F.lit(3)).cast("int")).alias("label"), "split").checkpoint()
+    encoder = retrieval.fit_encoder(docs)
+    index = retrieval.build_index(retrieval.encode(docs, encoder), payload=("text", "label_id", "split"))
+    requests = td.question_text(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), "question")
+    return ask(requests, index, encoder).select("q_id", "answer", "sentiment_focus", F.size("contexts").alias("k"))

@@ -7,29 +7,46 @@ from pyspark.sql import functions as F
 
 from revscope.operators import dataset, retrieval
 from revscope.operators import model as md
+from revscope.plans.q_retrieval import answer_sql, sql_hits
 from revscope.plans.registry import query
+from revscope.plans.sqlviews import with_views
+from revscope.session import scratch_path
 from revscope.sources import testdata as td
 from revscope.streaming import jobs
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@query("stream_predict")
+def _folders(spark, name):
+    base = scratch_path(spark, name)
+    return {"out_dir": f"{base}/out", "dead_dir": f"{base}/dead", "checkpoint_dir": f"{base}/checkpoint"}
+
+
+@query("stream_predict", """
+SELECT doc_id AS id, text, true AS label_is_best, true AS scores_sum_to_one FROM documents WHERE length(text) >= 1""")
 def stream_predict(spark, sf):
+    """A fitted model has no SQL: the rows are scored texts and facts that hold for every score."""
     r = td.reviews(spark, sf)
     train = dataset.label_view(r.filter(F.col("split") == "train"), "multiclass", keep=("id",))
     model = md.fit_baseline(train, md.BaselineConfig(feature_mode="word"))
-    q, out, dead = jobs.stream_predict(spark, sf, DOC_SCHEMA, model, glob="documents.parquet",
-                                       id_col="doc_id", text_col="text")
-    q.awaitTermination()
-    return spark.read.parquet(out).select("id", "label_id", "label", "scores")
+    at = _folders(spark, "predict")
+    jobs.stream_predict(spark, sf, DOC_SCHEMA, model, **at, glob="documents.parquet",
+                        id_col="doc_id", text_col="text").awaitTermination()
+    return spark.read.parquet(at["out_dir"]).select("id", "text", *md.score_facts())
+
+
+_ASKED = """
+, asked AS (SELECT vec_id AS q_id, 'Which reviews resemble item ' || CAST(vec_id AS VARCHAR) || '?' AS question,
+                   CAST(embedding AS DOUBLE[]) AS q_vec,
+                   CASE vec_id % 4 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END AS focus,
+                   vec_id % 23 - 1 AS top_k FROM embeddings WHERE vec_id % 23 - 1 BETWEEN 1 AND 20)"""
 
 
-@query("stream_ask")
+@query("stream_ask", sql_hits(True, k="q.top_k", questions="asked", views=with_views("corpus") + _ASKED) + answer_sql() + """
+SELECT q_id, answer, 'extractive' AS generation_mode FROM ans""")
 def stream_ask(spark, sf):
     corpus = td.corpus(spark, sf)
     index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
-    corpus = index.rows.select("row_id", "text", "label_id", "split")
     schema = "vec_id long, embedding array<float>, label int"
 
     def to_requests(raw):
@@ -42,7 +59,6 @@ def stream_ask(spark, sf):
             F.when(m == 0, F.lit("negative")).when(m == 1, F.lit("positive")).alias("focus"),
             (F.pmod(F.col("vec_id"), F.lit(23)) - 1).cast("int").alias("top_k"))
 
-    q, out, dead = jobs.stream_ask(spark, sf, schema, index, corpus, glob="embeddings.parquet",
-                                   to_requests=to_requests)
-    q.awaitTermination()
-    return spark.read.parquet(out).select("q_id", "answer", "generation_mode")
+    at = _folders(spark, "ask")
+    jobs.stream_ask(spark, sf, schema, index, **at, glob="embeddings.parquet", to_requests=to_requests).awaitTermination()
+    return spark.read.parquet(at["out_dir"]).select("q_id", "answer", "generation_mode")

@@ -50,7 +50,7 @@ SELECT e.vec_id AS row_id, {sql_clean("d.text")} AS text,
        {sql_label_name("CAST(e.label % 3 AS INTEGER)")} AS label,
        {sql_split("e.vec_id")} AS split,
        CAST(e.embedding AS DOUBLE[]) AS embedding
-FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id"""),
+FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id"""),
     "questions": ((), """
 SELECT vec_id AS q_id,
        'Which reviews resemble item ' || CAST(vec_id AS VARCHAR) || '?' AS question,
@@ -60,7 +60,8 @@ SELECT vec_id AS q_id,
 FROM embeddings"""),
     "scored": ((), """
 SELECT vec_id AS pos, CAST(label % 3 AS INTEGER) AS label,
-       list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 10.0) AS logits
+       list_transform(range(3), lambda j: list_sum(list_transform(list_filter(range(len(embedding)), lambda i: i % 3 = j),
+                                                                  lambda i: CAST(embedding[i + 1] AS DOUBLE))) * 10.0) AS logits
 FROM embeddings"""),
     "history": (("predictions",), """
 SELECT CAST(id % 6 + 1 AS DOUBLE) AS epoch,

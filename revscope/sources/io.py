@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revscope.operators.dataset import REVIEW_SCHEMA, SPLITS, check_review_shape
+from revscope.operators.dataset import SPLITS, check_review_shape, load_reviews
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
@@ -47,9 +48,9 @@ METRICS_SCHEMA = T.StructType([
 # ---- sources ------------------------------------------------------------------------------
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: the materialised split collection (Parquet, partitioned by split)."""
-    df = spark.read.schema(REVIEW_SCHEMA).parquet(path)
-    return check_review_shape(df)
+    """SRC1: the materialised split collection (Parquet, partitioned by split);
+    the table's own columns are checked, not those of an imposed schema."""
+    return load_reviews(spark.read.parquet(path))
 
 
 def read_jsonl_splits(spark: SparkSession, base_dir: str, splits=SPLITS) -> DataFrame:
@@ -69,49 +70,52 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def ingest_or_reuse(spark: SparkSession, table_path: str, load_source, force: bool = False) -> DataFrame:
     """SRC3 + SNK1: reuse the materialised table unless forced; otherwise read
     the source and write it partitioned by split."""
-    if not force and _exists(spark, table_path):
+    if not force and path_exists(spark, table_path):
         return read_reviews(spark, table_path)
     src = check_review_shape(load_source())
     write_dataset(src, table_path)
     return read_reviews(spark, table_path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(jpath)
 
 
+def _run_name(file: str) -> F.Column:
+    """The run folder of an artifact, be it one file or a folder of that name."""
+    return F.regexp_extract(F.input_file_name(), rf"/([^/]+)/{file}(?:/[^/]*)?$", 1)
+
+
 def read_run_metrics(spark: SparkSession, runs_dir: str) -> DataFrame:
     """SRC5: one metrics.json per run directory; the run name is its folder."""
     df = spark.read.schema(METRICS_SCHEMA).option("multiLine", True).json(os.path.join(runs_dir, "*", "metrics.json"))
-    model = F.regexp_extract(F.input_file_name(), r"/([^/]+)/metrics\.json$", 1)
-    return df.withColumn("model", model).withColumnRenamed("report_dict", "report")
+    return df.withColumn("model", _run_name("metrics.json")).withColumnRenamed("report_dict", "report")
 
 
 def read_run_metadata(spark: SparkSession, runs_dir: str) -> DataFrame:
     """SRC7 input: model metadata (label_mode) per run directory."""
     schema = "label_mode string, model_family string"
     df = spark.read.schema(schema).option("multiLine", True).json(os.path.join(runs_dir, "*", "model_metadata.json"))
-    return df.withColumn("model", F.regexp_extract(F.input_file_name(), r"/([^/]+)/model_metadata\.json$", 1)) \
-        .select("model", "label_mode")
+    return df.withColumn("model", _run_name("model_metadata.json")).select("model", "label_mode")
 
 
 def read_fallback(spark: SparkSession, path: str | None) -> DataFrame:
     """SRC6: ``{model: {source?, task?, accuracy, f1_macro}}``; absent → empty;
     a non-object document or entry → ValueError."""
     schema = "model string, source string, task string, accuracy double, f1_macro double"
-    if path is None or not _exists(spark, path):
+    if path is None or not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     whole = spark.read.text(path, wholetext=True)
     kind = whole.select(F.expr("schema_of_variant(parse_json(value))").alias("t")).first()["t"]
     if not kind.startswith("OBJECT"):
-        raise ValueError("Fallback metrics file must contain a JSON object keyed by model name")
+        raise ValueError("the fallback file must hold one JSON object with an entry per model")
     entries = whole.selectExpr("explode(cast(parse_json(value) AS map<string, variant>)) AS (model, v)")
     bad = entries.filter(~F.expr("schema_of_variant(v)").startswith("OBJECT")).select("model").limit(1).collect()
     if bad:
-        raise ValueError(f"Fallback metrics for {bad[0]['model']} must be a JSON object")
+        raise ValueError(f"the fallback entry of {bad[0]['model']} is not a JSON object")
     return entries.select(
         "model",
         F.expr("try_variant_get(v, '$.source', 'string')").alias("source"),
@@ -157,13 +161,23 @@ def read_small_json(spark: SparkSession, path: str) -> dict:
     return json.loads(row["value"]) if row else {}
 
 
-def write_evaluation_artifacts(out_dir: str, *, metrics: DataFrame, confusion: DataFrame,
+def write_evaluation_artifacts(out_dir: str, *, task: str, metrics: DataFrame, confusion: DataFrame,
                                errors: DataFrame, report: DataFrame) -> None:
-    """SNK3: errors as a distributed CSV; the few-row tables as single files."""
+    """SNK3: errors as a distributed CSV; the few-row tables as single files.
+
+    ``metrics.json`` is the record of the test split with its per-class
+    report; the other splits' metrics go to ``split_metrics``."""
     errors.write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, "errors"))
     confusion.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, "confusion_matrix"))
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(os.path.join(out_dir, "classification_report"))
-    metrics.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "metrics"))
+    lines = report.orderBy("label").select(F.format_string("%-14s %9.4f %9.4f %9.4f %9d", "label", "precision", "recall", "f1_score", "support").alias("value"))
+    lines.coalesce(1).write.mode("overwrite").text(os.path.join(out_dir, "classification_report.txt"))
+    entry = F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), F.col("support").cast("double").alias("support"))
+    by_label = report.agg(F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("report_dict"))
+    record = (metrics.filter(F.col("split") == "test").select(F.lit(task).alias("task"), "accuracy", "f1_macro")
+              .join(by_label))  # one row beside one row
+    record.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "metrics.json"))
+    metrics.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "split_metrics"))
 
 
 def write_comparison(out_dir: str, rows: DataFrame, summary: DataFrame, report_lines: DataFrame) -> None:
@@ -178,29 +192,31 @@ def write_comparison(out_dir: str, rows: DataFrame, summary: DataFrame, report_l
 
 
 def write_index(index, path: str, meta: dict) -> None:
-    """SNK5: drop and rebuild; rows partitioned by label (a focus filter then
-    prunes partitions), group table, and a metadata record."""
-    index.rows.write.mode("overwrite").partitionBy("label").parquet(os.path.join(path, "rows"))
-    index.groups.write.mode("overwrite").parquet(os.path.join(path, "groups"))
+    """SNK5: write rows, tiles and label table to a new folder, then publish it
+    by the metadata record; a reader sees the old index or the new one."""
+    version = f"v-{uuid.uuid4().hex}"
+    index.rows.write.parquet(os.path.join(path, version, "rows"))
+    index.tiles.write.parquet(os.path.join(path, version, "tiles"))
+    index.labels.write.parquet(os.path.join(path, version, "labels"))
     spark = index.rows.sparkSession
-    size = index.rows.count()
-    write_small_json(spark, {"vector_store": "parquet", **meta, "size": size}, os.path.join(path, "metadata"))
+    size = spark.read.parquet(os.path.join(path, version, "rows")).count()
+    write_small_json(spark, {"vector_store": "parquet", **meta, "size": size, "version": version,
+                             "schema": index.rows.schema.jsonValue()}, os.path.join(path, "metadata"))
 
 
 def read_index(spark: SparkSession, path: str):
-    """SRC9: open an index; fail unless metadata, rows and groups all exist."""
-    from revscope.operators.retrieval import VectorIndex
-
-    parts = ["metadata", "rows", "groups"]
-    missing = [p for p in parts if not _exists(spark, os.path.join(path, p))]
-    if missing:
-        raise FileNotFoundError(f"Index is incomplete or missing in directory: {path} (missing {missing})")
-    meta = read_small_json(spark, os.path.join(path, "metadata"))
-    rows = spark.read.parquet(os.path.join(path, "rows"))
-    groups = spark.read.parquet(os.path.join(path, "groups"))
-    idx = VectorIndex(rows=rows, groups=groups)
-    idx.metadata = meta  # type: ignore[attr-defined]
-    return idx
+    """SRC9: open an index; fail unless metadata, rows, tiles and labels all exist."""
+    from revscope.operators import retrieval
+
+    meta = read_small_json(spark, os.path.join(path, "metadata")) if path_exists(spark, os.path.join(path, "metadata")) else {}
+    base = os.path.join(path, meta.get("version", "none"))
+    missing = [p for p in ("rows", "tiles", "labels") if not path_exists(spark, os.path.join(base, p))]
+    if not meta or missing:
+        raise FileNotFoundError(f"no complete index at {path}" + (f": {', '.join(missing)} not there" if meta else ": no metadata"))
+    rows = spark.read.schema(T.StructType.fromJson(meta["schema"])).parquet(os.path.join(base, "rows"))
+    tiles = spark.read.schema(retrieval.TILE_SCHEMA).parquet(os.path.join(base, "tiles"))
+    labels = spark.read.schema(retrieval.LABEL_SCHEMA).parquet(os.path.join(base, "labels"))
+    return retrieval.VectorIndex(rows=rows, tiles=tiles, labels=labels, metadata=meta)
 
 
 def write_history(history: DataFrame, path: str) -> None:

@@ -76,7 +76,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     label_id = F.pmod(F.col("label"), F.lit(3)).cast("int")
-    return (emb.join(docs, emb.vec_id == docs.doc_id)
+    return (emb.join(docs, emb.vec_id == docs.doc_id, "left")  # an embedding without a document has no text
             .select(F.col("vec_id").alias("row_id"),
                     clean_text(F.col("text")).alias("text"),
                     label_id.alias("label_id"),
@@ -111,13 +111,19 @@ def question_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scored evaluation set: 3 logits per embedding row (its first three
-    components, scaled), true label ``label % 3``, dense position ``vec_id``."""
+    """A scored evaluation set: 3 logits per embedding row (the scaled sums of
+    its components by position modulo 3), true label ``label % 3``, dense
+    position ``vec_id``."""
     emb = table(spark, sf_dir, "embeddings")
+
+    def logit(j):
+        own = F.filter("embedding", lambda x, i: F.pmod(i, F.lit(3)) == j)
+        return F.aggregate(own, F.lit(0.0), lambda s, x: s + x.cast("double")) * 10.0
+
     return emb.select(
         F.col("vec_id").alias("pos"),
         F.pmod(F.col("label"), F.lit(3)).cast("int").alias("label"),
-        F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 10.0).alias("logits"),
+        F.array(*[logit(j) for j in range(3)]).alias("logits"),
     )
 
 

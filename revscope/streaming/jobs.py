@@ -1,12 +1,14 @@
 """Structured Streaming jobs for the two request kinds (STM1-STM3).
 
-Both are stateless per request. Ranking windows and the model's joins are not
-allowed on a streaming plan, so each micro-batch is handled in
-``foreachBatch`` as a static DataFrame: valid requests are scored/answered
-and appended to the result table, rejected ones go to a dead-letter table
-with their reason. Sinks are Parquet folders (idempotent per batch id via
-``txnVersion``-free overwrite of a batch sub-folder), checkpoints live under
-the session's shared ``spark.checkpoint.dir``.
+Both are stateless per request. Ranking windows are not allowed on a
+streaming plan, so each micro-batch is handled in ``foreachBatch`` as a static
+DataFrame: valid requests are scored or answered and written to the result
+table, rejected ones to a dead-letter table with their reason.
+
+The checkpoint folder belongs to the result folders: it numbers the batches,
+and a batch writes the sub-folder of its number. A replayed batch replaces its
+own output; a job started again on the same folders and checkpoint goes on
+with the next number and leaves earlier output alone.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revscope.operators import qa, retrieval
 from revscope.operators import model as md
+from revscope.operators import qa, retrieval
+from revscope.operators.ask import ask
 from revscope.operators.requests import validate_ask, validate_predict
-from revscope.session import scratch_path
 
 
 def _batch_writer(out_dir: str, dead_dir: str, handle_valid):
@@ -28,7 +30,6 @@ def _batch_writer(out_dir: str, dead_dir: str, handle_valid):
         try:
             valid = batch.filter(F.col("valid")).drop("valid", "reason")
             bad = batch.filter(~F.col("valid"))
-            # one folder per batch id: a replayed batch overwrites its own output
             handle_valid(valid).write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id}"))
             bad.write.mode("overwrite").parquet(os.path.join(dead_dir, f"batch={batch_id}"))
         finally:
@@ -36,53 +37,39 @@ def _batch_writer(out_dir: str, dead_dir: str, handle_valid):
     return write
 
 
-def stream_predict(spark: SparkSession, source_dir: str, schema: str, model: md.BaselineModel | None,
-                   out_dir: str | None = None, dead_dir: str | None = None, glob: str | None = None,
+def _read(spark: SparkSession, source_dir: str, schema: str, glob: str | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(source_dir)
+
+
+def _start(checked: DataFrame, out_dir: str, dead_dir: str, checkpoint_dir: str, handle_valid, available_now: bool):
+    writer = (checked.writeStream.foreachBatch(_batch_writer(out_dir, dead_dir, handle_valid))
+              .option("checkpointLocation", checkpoint_dir))
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_predict(spark: SparkSession, source_dir: str, schema: str, model: md.BaselineModel | None, *,
+                   out_dir: str, dead_dir: str, checkpoint_dir: str, glob: str | None = None,
                    id_col: str = "id", text_col: str = "text", available_now: bool = True):
     """STM1 + STM3: score a stream of texts; empty texts go to dead letters.
 
-    A missing model fails the job before it starts (the 503 of the endpoint).
-    Returns (query, out_dir, dead_dir)."""
+    A missing model fails the job before it starts (the 503 of the endpoint)."""
     if model is None:
         raise FileNotFoundError("no scoring model is loaded")
-    out_dir = out_dir or scratch_path(spark, "predict-out")
-    dead_dir = dead_dir or scratch_path(spark, "predict-dead")
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    checked = validate_predict(stream, "text")
-    writer = (checked.writeStream.foreachBatch(_batch_writer(out_dir, dead_dir,
-                                                            lambda v: md.predict(model, v, "id", "text")))
-              .option("checkpointLocation", scratch_path(spark, "predict-ckpt")))
-    q = (writer.trigger(availableNow=True) if available_now else writer).start()
-    return q, out_dir, dead_dir
-
-
-def stream_ask(spark: SparkSession, source_dir: str, schema: str, index: retrieval.VectorIndex | None,
-               corpus: DataFrame, out_dir: str | None = None, dead_dir: str | None = None,
-               glob: str | None = None, config: qa.GeneratorConfig = qa.GeneratorConfig(),
-               available_now: bool = True, to_requests=None):
-    """STM2 + STM3: answer a stream of questions (q_id, question, q_vec,
-    focus, top_k) against a static index; invalid requests to dead letters."""
+    stream = _read(spark, source_dir, schema, glob).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return _start(validate_predict(stream, "text"), out_dir, dead_dir, checkpoint_dir,
+                  lambda v: md.predict(model, v, "text", keep=("id",)), available_now)
+
+
+def stream_ask(spark: SparkSession, source_dir: str, schema: str, index: retrieval.VectorIndex | None, *,
+               out_dir: str, dead_dir: str, checkpoint_dir: str, glob: str | None = None,
+               encoder: retrieval.TextEncoder | None = None, config: qa.GeneratorConfig = qa.GeneratorConfig(),
+               generator=None, available_now: bool = True, to_requests=None):
+    """STM2 + STM3: answer a stream of requests (q_id, question, top_k and,
+    where present, q_vec, focus, generation_mode) against a static index;
+    invalid requests go to dead letters."""
     if index is None:
         raise FileNotFoundError("no retrieval index is loaded")
-    out_dir = out_dir or scratch_path(spark, "ask-out")
-    dead_dir = dead_dir or scratch_path(spark, "ask-dead")
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.parquet(source_dir)
-    stream = validate_ask(to_requests(raw) if to_requests else raw)
-
-    def answer(valid: DataFrame) -> DataFrame:
-        q = valid.withColumn("sentiment_focus", F.coalesce(F.nullif(F.col("focus"), F.lit("")),
-                                                           F.lit(None).cast("string")))
-        # the batch's hits feed contexts, label mix and key phrases: write them once
-        hits = retrieval.search(q, index, focus_col="sentiment_focus", k_col="top_k").checkpoint(eager=True)
-        return qa.answer(q, hits, corpus, config)
-
-    writer = (stream.writeStream.foreachBatch(_batch_writer(out_dir, dead_dir, answer))
-              .option("checkpointLocation", scratch_path(spark, "ask-ckpt")))
-    q = (writer.trigger(availableNow=True) if available_now else writer).start()
-    return q, out_dir, dead_dir
+    raw = _read(spark, source_dir, schema, glob)
+    return _start(validate_ask(to_requests(raw) if to_requests else raw), out_dir, dead_dir, checkpoint_dir,
+                  lambda v: ask(v, index, encoder, config, generator), available_now)

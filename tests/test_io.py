@@ -19,7 +19,7 @@ def test_jsonl_splits_and_ingest(spark):
     assert sorted((r.split, r.c) for r in df.groupBy("split").agg(F.count("*").alias("c")).collect()) == \
         [("test", 2), ("train", 3), ("validation", 1)]
     table = os.path.join(d, "table")
-    src = df.select(F.monotonically_increasing_id().alias("id"), "text", F.col("label").cast("int"), "label_text", "split")
+    src = df
     calls = []
 
     def load():
@@ -29,8 +29,14 @@ def test_jsonl_splits_and_ingest(spark):
     a = io.ingest_or_reuse(spark, table, load)
     b = io.ingest_or_reuse(spark, table, load)
     assert a.count() == b.count() == 6 and len(calls) == 1
+    assert a.schema["id"].dataType.simpleString() == "string" and a.schema["label"].dataType.simpleString() == "bigint"
+    assert {r.id for r in a.collect()} == {"train0", "train1", "train2", "validation0", "test0", "test1"}
     io.ingest_or_reuse(spark, table, load, force=True)
     assert len(calls) == 2
+    other = os.path.join(d, "other")
+    spark.createDataFrame([(1, "x")], "number int, value string").write.parquet(other)
+    with pytest.raises(ValueError):
+        io.read_reviews(spark, other)
 
 
 def test_run_metrics_and_fallback(spark):
@@ -76,9 +82,28 @@ def test_model_save_load(spark):
     md.save_model(m, d)
     m2 = md.load_model(spark, d)
     assert m2.id2label == m.id2label and m2.sizes == m.sizes
-    a = {r.id: r.label_id for r in md.predict(m, df).collect()}
-    b = {r.id: r.label_id for r in md.predict(m2, df).collect()}
+    a = {r.id: r.label_id for r in md.predict(m, df, keep=("id",)).collect()}
+    b = {r.id: r.label_id for r in md.predict(m2, df, keep=("id",)).collect()}
     assert a == b
+    # without its metadata a model has the default map
+    bare = tempfile.mkdtemp(prefix="bare-")
+    m.classifier.write().overwrite().save(os.path.join(bare, "classifier"))
+    m.vocabs[0].write.parquet(os.path.join(bare, "vocab_0"))
+    m3 = md.load_model(spark, bare)
+    assert m3.id2label == {0: "negative", 1: "neutral", 2: "positive"} and m3.sizes == m.sizes
+
+
+def test_index_round_trip_keeps_numeric_looking_labels(spark):
+    from revscope.operators import retrieval
+
+    corpus = spark.createDataFrame([(1, "0", [1.0, 0.0]), (2, "1", [0.0, 1.0]), (3, None, [1.0, 1.0])], "row_id long, label string, embedding array<double>")
+    d = tempfile.mkdtemp(prefix="idx-")
+    for _ in range(2):  # written again, it is replaced
+        io.write_index(retrieval.build_index(corpus), d, {"collection_name": "c"})
+    idx = io.read_index(spark, d)
+    assert idx.metadata["size"] == 3 and idx.metadata["collection_name"] == "c"
+    q = spark.createDataFrame([(1, [0.0, 1.0], "0")], "q_id long, q_vec array<double>, focus string")
+    assert [(r.row_id, r.label) for r in retrieval.search(q, idx, 5).collect()] == [(1, "0")]
 
 
 def test_index_round_trip_requires_all_parts(spark):
@@ -100,21 +125,27 @@ def test_baseline_job_writes_artifacts(spark):
     res = md.run_baseline(reviews, md.BaselineConfig(feature_mode="word", max_iter=60), out_dir=out, track=True)
     acc = {r.split: r.accuracy for r in res["metrics"].collect()}
     assert set(acc) == {"validation", "test"} and acc["test"] > 0.9
-    for part in ("errors", "confusion_matrix", "classification_report", "metrics", "model/classifier", "run_log"):
+    for part in ("errors", "confusion_matrix", "classification_report", "classification_report.txt", "metrics.json", "split_metrics",
+                 "classifier", "model_metadata.json", "run_log"):
         assert os.path.exists(os.path.join(out, part)), part
-    assert spark.read.parquet(os.path.join(out, "run_log")).filter("kind = 'metric'").count() == 2
-
-    e = spark.createDataFrame([("baseline", 0)], "model string, ord int")
-    m = spark.createDataFrame([("baseline", "multiclass", 0.9, 0.9, None)],
-                              "model string, task string, accuracy double, f1_macro double, report map<string, struct<`f1-score`: double>>")
-    md_ = spark.createDataFrame([], "model string, label_mode string")
+    logged = {r.key for r in spark.read.parquet(os.path.join(out, "run_log")).filter("kind = 'metric'").collect()}
+    assert logged == {"test_accuracy", "test_f1_macro", "validation_accuracy", "validation_f1_macro"}
+    # a second run, then both are compared through the readers
+    runs = tempfile.mkdtemp(prefix="runs-")
+    for name, mode in (("full", "multiclass"), ("polar", "binary_polarity")):
+        md.run_baseline(reviews, md.BaselineConfig(label_mode=mode, feature_mode="word", max_iter=60), out_dir=os.path.join(runs, name))
+    e = spark.createDataFrame([("full", 0), ("polar", 1), ("gone", 2)], "model string, ord int")
+    m, meta = io.read_run_metrics(spark, runs), io.read_run_metadata(spark, runs)
     fb = spark.createDataFrame([], "model string, source string, task string, accuracy double, f1_macro double")
-    rows_df = cmp.compare_runs(e, m, md_, fb)
+    rows_df = cmp.compare_runs(e, m, meta, fb)
+    found = {r.model: r for r in rows_df.collect()}
+    assert set(found) == {"full", "polar"} and found["polar"].task == "binary_polarity" and found["polar"].f1_neutral is None
+    assert found["full"].f1_neutral is not None and found["full"].accuracy > 0.9
     summ = cmp.summary(rows_df, cmp.missing_runs(e, m, fb))
     lines = cmp.report_rows(rows_df).select(F.concat_ws(" ", "model", "f1_macro").alias("value"))
     io.write_comparison(out, rows_df, summ, lines)
     back = spark.read.json(os.path.join(out, "model_comparison_json")).first()
-    assert back.summary.best_model == "baseline" and len(back.rows) == 1
+    assert back.summary.best_model in found and len(back.rows) == 2
     io.write_records(reviews.select("text", F.col("label").alias("label_id"), F.col("label_text").alias("label"), "split"),
                      os.path.join(out, "records"))
     assert io.read_records(spark, os.path.join(out, "records")).count() == 90

@@ -16,7 +16,7 @@ def toy(spark):
 def test_fit_predict_separable(spark):
     df = toy(spark)
     m = md.fit_baseline(df, md.BaselineConfig(feature_mode="word", max_iter=200))
-    out = md.predict(m, spark.createDataFrame([(100, "great lovely"), (101, "awful broken")], "id long, text string"))
+    out = md.predict(m, spark.createDataFrame([(100, "great lovely"), (101, "awful broken")], "id long, text string"), keep=("id",))
     got = {r.id: (r.label, sorted(r.scores)) for r in out.collect()}
     assert got[100][0] == "positive" and got[101][0] == "negative"
     assert got[100][1] == ["negative", "neutral", "positive"]
@@ -32,14 +32,49 @@ def test_binary_and_bad_modes(spark):
         md.id2label_for_mode("other")
 
 
+def test_rows_that_share_an_id_are_scored_each_on_its_own(spark):
+    m = md.fit_baseline(toy(spark), md.BaselineConfig(feature_mode="word", max_iter=200))
+    rows = [(7, "great lovely"), (7, "awful broken"), (8, "okay plain"), (None, ""), (None, None), (8, "okay plain")]
+    got = md.predict(m, spark.createDataFrame(rows, "id long, text string"), keep=("id",)).collect()
+    assert len(got) == len(rows)
+    assert {r.text: r.label for r in got if r.text} == {"great lovely": "positive", "awful broken": "negative", "okay plain": "neutral"}
+    facts = md.predict(m, spark.createDataFrame(rows, "id long, text string")).select(*md.score_facts()).collect()
+    assert all(all(f) for f in facts)
+
+
+@pytest.mark.parametrize("mode", ["multiclass", "binary_polarity"])
+def test_scores_are_those_of_the_fitted_classifier(spark, mode):
+    from pyspark.ml.functions import vector_to_array
+
+    df = toy(spark)
+    if mode != "multiclass":
+        df = df.filter(F.col("label") != 1).withColumn("label", (F.col("label") == 2).cast("int"))
+    m = md.fit_baseline(df, md.BaselineConfig(label_mode=mode, max_iter=100))
+    w = md.feature_weights(df, m.vocabs, m.config.specs(), m.sizes)
+    vectors = md.stored_vectors(df, w, sum(m.sizes))
+    want = {r.id: r.p for r in m.classifier.transform(vectors).select("id", vector_to_array("probability").alias("p")).collect()}
+    for r in md.score_clean(m, df).collect():
+        assert [r.scores[m.id2label[i]] for i in sorted(m.id2label)] == pytest.approx(want[r.id], abs=1e-5)
+
+
 def test_feature_union_norm(spark):
     from revscope.operators import features as fe
 
     df = toy(spark)
-    cfg = md.BaselineConfig()
-    specs = cfg.specs()
+    specs = md.BaselineConfig().specs()
     vocabs = [fe.fit_tfidf(df, s) for s in specs]
     sizes = [v.count() for v in vocabs]
-    vec = md.feature_vectors(df, vocabs, specs, sizes).collect()
-    for r in vec:
-        assert r.features.norm(2) ** 2 == pytest.approx(2.0)
+    w = md.feature_weights(df, vocabs, specs, sizes)
+    for r in md.stored_vectors(df, w, sum(sizes)).collect():
+        assert r.features.norm(2) ** 2 == pytest.approx(2.0) and r.features.size == sum(sizes)
+
+
+def test_frequency_index_against_sorting(spark):
+    from revscope.operators import features as fe
+
+    rows = [(f"t{i:03d}" if i % 3 else f"é{i}", 1 + i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "term string, cf long")
+    want = sorted(rows, key=lambda r: (-r[1], r[0].encode()))
+    for most in (None, 1, 60, 500):
+        got = sorted((r["index"], r["term"]) for r in fe.frequency_index(df, "cf", "term", most).collect())
+        assert got == [(i, t) for i, (t, _) in enumerate(want[:most])]

@@ -38,22 +38,67 @@ def brute(xf, qf, lab, foci, k):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 9])
-def test_index_search_is_exact(spark, cells):
-    corpus, qs, xf, qf, lab, foci = make(spark)
-    idx = retrieval.build_index(corpus, cells=cells, materialize=False)
-    hits = retrieval.search(qs, idx, top_k=5).collect()
+def hits_of(rows):
     got = {}
-    for r in sorted(hits, key=lambda r: (r.q_id, r.rank)):
+    for r in sorted(rows, key=lambda r: (r.q_id, r.rank)):
         got.setdefault(r.q_id, []).append(r.row_id)
-    assert got == brute(xf, qf, lab, foci, 5)
+    return got
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 7])
+def test_index_search_is_exact(spark, tile_rows):
+    corpus, qs, xf, qf, lab, foci = make(spark)
+    idx = retrieval.build_index(corpus, tile_rows=tile_rows)
+    assert idx.tiles.count() >= (3 if tile_rows > 100 else 20)
+    assert hits_of(retrieval.search(qs, idx, top_k=5).collect()) == brute(xf, qf, lab, foci, 5)
 
 
 def test_k_larger_than_corpus(spark):
     corpus, qs, xf, qf, lab, foci = make(spark, n=12, q=5)
-    idx = retrieval.build_index(corpus, cells=3, materialize=False)
-    hits = retrieval.search(qs, idx, top_k=50).collect()
-    got = {}
-    for r in sorted(hits, key=lambda r: (r.q_id, r.rank)):
-        got.setdefault(r.q_id, []).append(r.row_id)
-    assert got == brute(xf, qf, lab, foci, 50)
+    idx = retrieval.build_index(corpus, materialize=False)
+    assert hits_of(retrieval.search(qs, idx, top_k=50).collect()) == brute(xf, qf, lab, foci, 50)
+
+
+def test_any_length_null_labels_and_zero_vectors(spark):
+    corpus = spark.createDataFrame([(1, None, [0.0, 3.0]), (2, "a", [5.0, 0.0]), (3, None, [0.0, 0.0]), (4, "a", [-1.0, -1.0]), (5, "a", None)],
+                                   "row_id long, label string, embedding array<double>")
+    qs = spark.createDataFrame([(1, [0.0, 0.5], None), (2, [9.0, 0.0], "A"), (3, [0.0, 0.0], "b"), (4, None, None)], "q_id long, q_vec array<double>, focus string")
+    got = retrieval.search(qs, retrieval.build_index(corpus), top_k=4).collect()
+    assert hits_of(got) == {1: [1, 2, 3, 4], 2: [2, 4], 3: [1, 2, 3, 4]}
+    by = {(r.q_id, r.row_id): r.distance for r in got}
+    assert by[1, 1] == 0 and by[1, 2] == 1 and by[1, 3] == 1 and by[1, 4] == pytest.approx(1.707107) and by[3, 2] == 1
+
+
+def test_empty_corpus_gives_no_hits(spark):
+    corpus = spark.createDataFrame([], "row_id long, label string, embedding array<double>")
+    qs = spark.createDataFrame([(1, [0.0, 0.5], "a")], "q_id long, q_vec array<double>, focus string")
+    assert retrieval.search(qs, retrieval.build_index(corpus), top_k=4).count() == 0
+
+
+def test_encoder_embeds_questions_like_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "red apples and pears"), (2, "fast cars on roads"), (3, None), (4, "apples pears plums")], "row_id long, text string")
+    enc = retrieval.fit_encoder(docs, dim=64)
+    rows = {r.row_id: r.embedding for r in retrieval.encode(docs, enc).collect()}
+    assert sum(x * x for x in rows[1]) == pytest.approx(1, abs=1e-5) and not any(rows[3])
+    labelled = retrieval.encode(docs, enc).selectExpr("row_id", "'x' AS label", "embedding", "text", "1 AS label_id", "'train' AS split")
+    idx = retrieval.build_index(labelled, payload=("text", "label_id", "split"))
+    from revscope.operators.ask import ask
+    from revscope.operators.qa import GeneratorConfig
+
+    asked = spark.createDataFrame([(1, "apples pears plums", 1, None), (2, "fast cars", 2, "llm")], "q_id long, question string, top_k int, generation_mode string")
+    got = {r.q_id: r for r in ask(asked, idx, enc).collect()}
+    assert [c.row_id for c in got[1].contexts] == [4] and got[2].contexts[0].row_id == 2 and len(got[2].contexts) == 2
+    cfg = GeneratorConfig(mode="extractive", model="m", base_url="http://h/v1")
+    got = {r.q_id: r for r in ask(asked, idx, enc, cfg, generator=lambda prompt: "G").collect()}
+    assert (got[1].generation_mode, got[2].generation_mode, got[2].answer) == ("extractive", "llm", "G")
+
+
+def test_focus_read_off_the_question_filters_the_search(spark):
+    corpus = spark.createDataFrame([(1, "positive", [1.0, 0.0], "good", 2, "train"), (2, "negative", [0.0, 1.0], "bad", 0, "train")],
+                                   "row_id long, label string, embedding array<double>, text string, label_id int, split string")
+    idx = retrieval.build_index(corpus, payload=("text", "label_id", "split"))
+    from revscope.operators.ask import ask
+
+    q = spark.createDataFrame([(1, "почему всё плохо?", [1.0, 0.0], 1)], "q_id long, question string, q_vec array<double>, top_k int")
+    r = ask(q, idx).first()
+    assert r.sentiment_focus == "negative" and [c.row_id for c in r.contexts] == [2] and "negative (1/1)" in r.answer

@@ -1,26 +1,51 @@
 import os
-import tempfile
+
+import pytest
 
 from revscope.operators import model as md
+from revscope.operators import retrieval
+from revscope.session import scratch_path
 from revscope.streaming import jobs
 
+SCHEMA = "id long, text string, label int"
+
+
+def folders(spark):
+    base = scratch_path(spark, "stream-test")
+    return base + "/in", {"out_dir": base + "/out", "dead_dir": base + "/dead", "checkpoint_dir": base + "/checkpoint"}
+
 
-def test_stream_predict_equals_batch(spark):
+def test_stream_predict_equals_batch_and_goes_on_after_a_restart(spark):
     rows = [(i, t, i % 3) for i, t in enumerate(["good great", "bad awful", "okay plain", "", "great good fine"] * 6)]
-    train = spark.createDataFrame(rows, "id long, text string, label int")
+    train = spark.createDataFrame(rows, SCHEMA)
     m = md.fit_baseline(train, md.BaselineConfig(feature_mode="word", max_iter=50))
-    src = tempfile.mkdtemp(prefix="req-")
-    spark.createDataFrame(rows, "id long, text string, label int").write.mode("overwrite").parquet(os.path.join(src, "in"))
-    q, out, dead = jobs.stream_predict(spark, os.path.join(src, "in"), "id long, text string, label int", m)
-    q.awaitTermination()
-    streamed = {r.id: r.label for r in spark.read.parquet(out).collect()}
-    batch = {r.id: r.label for r in md.predict(m, train.filter("length(text) > 0")).collect()}
-    assert streamed == batch
-    assert spark.read.parquet(dead).count() == 6
+    src, at = folders(spark)
+    train.write.parquet(os.path.join(src, "a"))
+    jobs.stream_predict(spark, src + "/*", SCHEMA, m, **at).awaitTermination()
+    batch = {r.id: r.label for r in md.predict(m, train.filter("length(text) > 0"), keep=("id",)).collect()}
+    assert {r.id: r.label for r in spark.read.parquet(at["out_dir"]).collect()} == batch
+    assert spark.read.parquet(at["dead_dir"]).count() == 6
+    # started again on the same folders: new requests are added, nothing is lost
+    spark.createDataFrame([(100, "good great", 2), (101, None, 2)], SCHEMA).write.parquet(os.path.join(src, "b"))
+    jobs.stream_predict(spark, src + "/*", SCHEMA, m, **at).awaitTermination()
+    assert {r.id for r in spark.read.parquet(at["out_dir"]).collect()} == set(batch) | {100}
+    assert spark.read.parquet(at["dead_dir"]).count() == 7
 
 
-def test_missing_model_fails_before_start(spark):
-    import pytest
+def test_stream_ask_uses_the_request_mode_and_the_focus_of_the_question(spark):
+    corpus = spark.createDataFrame([(1, "positive", [1.0, 0.0], "good", 2, "train"), (2, "negative", [0.0, 1.0], "bad", 0, "train")],
+                                   "row_id long, label string, embedding array<double>, text string, label_id int, split string")
+    idx = retrieval.build_index(corpus, payload=("text", "label_id", "split"))
+    schema = "q_id long, question string, q_vec array<double>, top_k int"
+    src, at = folders(spark)
+    spark.createDataFrame([(1, "почему всё плохо?", [1.0, 0.0], 1), (2, "any?", [1.0, 0.0], 99)], schema).write.parquet(os.path.join(src, "a"))
+    jobs.stream_ask(spark, src + "/*", schema, idx, **at).awaitTermination()
+    (r,) = spark.read.parquet(at["out_dir"]).collect()
+    assert r.sentiment_focus == "negative" and [c.row_id for c in r.contexts] == [2]
+    (d,) = spark.read.parquet(at["dead_dir"]).collect()
+    assert "top_k" in d.reason
+
 
+def test_missing_model_fails_before_start(spark):
     with pytest.raises(FileNotFoundError):
-        jobs.stream_predict(spark, "/nonexistent", "id long, text string", None)
+        jobs.stream_predict(spark, "/nonexistent", "id long, text string", None, out_dir="a", dead_dir="b", checkpoint_dir="c")
