@@ -18,16 +18,20 @@ from revscope.functions.vector import argmax, softmax
 
 
 def class_counts(df: DataFrame, true_col: str = "label", pred_col: str = "pred",
-                 by: list[str] | None = None) -> DataFrame:
+                 by: list[str] | None = None, weight_col: str | None = None) -> DataFrame:
     """Per class: support (true count), predicted count and true positives.
 
-    Classes are the union of labels seen in truth or prediction (SET3).
+    Classes are the union of labels seen in truth or prediction (SET3). With
+    ``weight_col`` a row stands for that many.
     """
     by = by or []
     t, p = F.col(true_col).cast("int"), F.col(pred_col).cast("int")
+    w = F.col(weight_col) if weight_col else F.lit(1)
+    zero = F.lit(0).cast("long")
+    w = w.cast("long")
     pairs = F.array(
-        F.struct(t.alias("cls"), F.lit(1).alias("s"), (t == p).cast("int").alias("tp"), F.lit(0).alias("pc")),
-        F.struct(p.alias("cls"), F.lit(0).alias("s"), F.lit(0).alias("tp"), F.lit(1).alias("pc")),
+        F.struct(t.alias("cls"), w.alias("s"), F.when(t == p, w).otherwise(zero).alias("tp"), zero.alias("pc")),
+        F.struct(p.alias("cls"), zero.alias("s"), zero.alias("tp"), w.alias("pc")),
     )
     exploded = df.select(*by, F.explode(pairs).alias("e"))
     return (exploded.groupBy(*by, F.col("e.cls").alias("cls"))
@@ -118,21 +122,22 @@ def attach_label_names(df: DataFrame, id_col: str, dim: DataFrame, out_col: str)
 
 def confusion_matrix(df: DataFrame, id2label: dict[int, str], true_col: str = "label",
                      pred_col: str = "pred") -> DataFrame:
-    """AGG8: rows = truth, columns = prediction, over the fixed label domain.
+    """AGG8: rows = truth, columns = prediction, over the label domain.
 
     Counts are aggregated first (a tiny table), then pivoted with an explicit
-    domain (no extra job to discover pivot values); classes that never occur
-    get zero rows/columns.
+    domain. Classes that never occur get zero rows and columns; classes
+    outside the domain get rows and columns of their own, named by their id
+    (``null`` for none), so every input row is counted.
     """
     spark = df.sparkSession
-    ids = sorted(id2label)
-    names = [id2label[i] for i in ids]
-    pairs = df.groupBy(F.col(true_col).cast("int").alias("t"), F.col(pred_col).cast("int").alias("p")).count()
-    piv = pairs.groupBy("t").pivot("p", ids).agg(F.first("count"))
-    domain = spark.createDataFrame([(i, n) for i, n in zip(ids, names)], "t int, true_label string")
-    out = F.broadcast(domain).join(piv, "t", "left")
-    return out.select("true_label", *[F.coalesce(F.col(str(i)), F.lit(0)).cast("long").alias(n)
-                                      for i, n in zip(ids, names)])
+    pairs = (df.groupBy(F.col(true_col).cast("int").cast("string").alias("t"), F.col(pred_col).cast("int").cast("string").alias("p")).count()
+             .na.fill("null", ["t", "p"]).checkpoint(eager=True))
+    seen = {r[0] for r in pairs.select("t").union(pairs.select("p")).distinct().collect()}  # one row per class
+    domain = [(str(i), id2label[i]) for i in sorted(id2label)]
+    domain += [(c, c) for c in sorted(seen - {i for i, _ in domain}, key=lambda c: (c == "null", len(c), c))]
+    piv = pairs.groupBy("t").pivot("p", [i for i, _ in domain]).agg(F.first("count"))
+    out = spark.createDataFrame(domain, "t string, true_label string").join(piv, "t", "left")
+    return out.select("true_label", *[F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("long").alias(n) for i, n in domain])
 
 
 def confusion_long(confusion: DataFrame, label_col: str = "true_label") -> DataFrame:

@@ -8,9 +8,9 @@ Scale notes
   number of distinct lengths, not by the number of rows, and it merges
   partially on the map side. ``approx=True`` switches to
   ``percentile_approx`` for unbounded numeric domains.
-* Duplicate detection groups by text with map-side partial aggregation (a hot
-  text collapses to one row per map task) and joins the few duplicate keys
-  back; AQE splits a skewed join partition.
+* Duplicate detection counts 256-bit digests with map-side partial aggregation
+  (a hot text collapses to one row per map task) and joins the few repeated
+  digests back; AQE splits a skewed join partition.
 * Seeded samples rank by ``md5(id-seed)``; the ``row_number() <= n`` filter
   is planned as a WindowGroupLimit, so each map task ships at most n rows
   per group into the shuffle.
@@ -29,11 +29,11 @@ PERCENTILE_NAMES = ("p50", "p90", "p95", "p99")
 
 
 def class_distribution(df: DataFrame, label_col: str = "label_text") -> DataFrame:
-    """AGG1 + WIN2: count per label (null is a group), share of the total."""
+    """AGG1 + WIN2: count per label (null is a group), share of the total; most frequent first."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("count"))
     # the window runs over the aggregated rows only (one row per label)
     total = F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("share", F.col("count") / total)
+    return counts.withColumn("share", F.col("count") / total).orderBy(F.desc("count"), F.asc_nulls_first(label_col))
 
 
 def text_length(c) -> F.Column:
@@ -79,14 +79,20 @@ def empty_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(is_empty_text(text_col))
 
 
+def text_digest(text_col) -> F.Column:
+    """A 256-bit digest that stands for a text when texts are compared; nulls are equal."""
+    c = F.col(text_col) if isinstance(text_col, str) else text_col
+    return F.coalesce(F.sha2(c, 256), F.lit("null"))
+
+
 def duplicated_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """WIN1: every row whose text occurs more than once (nulls are equal)."""
-    dup_keys = (df.groupBy(F.col(text_col).alias("_dup_text"))
-                .agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > 1)
-                .select("_dup_text"))
-    joined = df.join(dup_keys, F.col(text_col).eqNullSafe(F.col("_dup_text")), "left_semi")
-    return joined
+    """WIN1: every row whose text occurs more than once (nulls are equal), by text.
+
+    Digests are counted, not texts; the rows of the repeated digests are all
+    that is moved."""
+    repeated = df.select(text_digest(text_col).alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    rows = df.withColumn("_digest", text_digest(text_col)).join(repeated.select("_digest"), "_digest", "left_semi").drop("_digest")
+    return rows.orderBy(F.asc_nulls_first(text_col))
 
 
 def sample_key(id_col, seed: int = DEFAULT_SEED) -> F.Column:
@@ -147,20 +153,26 @@ def dataset_report(df: DataFrame, text_col: str = "text", label_col: str = "labe
     2 (half-even), empty rows, rows in duplicate groups. All splits in one
     pass of grouped aggregates.
     """
-    base = df.select(F.col(split_col).alias("split"), F.col(text_col).alias("text"),
-                     F.col(label_col).alias("label"))
-    lengths = base.withColumn("length", text_length("text"))
-    stats = _unpack_pct(lengths.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(is_empty_text("text")).alias("empty_texts"),
-        *length_aggs("length")))
+    # one pass over the (cleaned) texts: what the report needs of them, counted and written once
+    cells = (df.select(F.col(split_col).alias("split"), F.col(label_col).alias("label"), text_digest(text_col).alias("digest"),
+                       text_length(text_col).alias("length"), is_empty_text(text_col).alias("empty"))
+             .groupBy("split", "label", "digest", "length", "empty").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True))
+    x, n = F.col("length").cast("double"), F.col("n")
+    total, first, second = F.sum("n"), F.sum(x * n), F.sum(x * x * n)
+    stats = _unpack_pct(cells.groupBy("split").agg(
+        total.alias("rows"), F.coalesce(F.sum(F.when(F.col("empty"), n)), F.lit(0)).alias("empty_texts"),
+        total.cast("double").alias("count"), (first / total).alias("mean"),
+        F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), second - first * first / total) / (total - 1))).alias("std"),
+        F.min("length").cast("double").alias("min"),
+        F.percentile("length", F.array(*[F.lit(p) for p in PERCENTILES]), n).alias("_pct"),
+        F.max("length").cast("double").alias("max")))
     for c in ("count", "mean", "std", "min", *PERCENTILE_NAMES, "max"):
         stats = stats.withColumn(c, F.bround(F.col(c), 2))
     stats = stats.withColumnRenamed("count", "length_count")
-    dups = (base.groupBy("split", "text").agg(F.count(F.lit(1)).alias("n"))
+    dups = (cells.groupBy("split", "digest").agg(F.sum("n").alias("n"))
             .groupBy("split")
             .agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).cast("long").alias("duplicated_texts")))
-    mix = (base.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    mix = (cells.groupBy("split", "label").agg(F.sum("n").alias("n"))
            .groupBy("split")
            .agg(F.array_sort(F.collect_list(F.struct(
                (-F.col("n")).alias("neg_n"),

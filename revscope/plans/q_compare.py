@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revscope.constants import DEFAULT_TASK_COLOUR, TASK_COLOURS
 from revscope.operators import compare as cmp
 from revscope.plans.registry import query
 from revscope.plans.sqlviews import sql_class_scores, with_views
@@ -60,20 +61,25 @@ _RUNS = with_views("predictions") + """
 
 
 def _rows(spark, sf):
-    return cmp.compare_runs(runs.expected_runs(spark, sf), runs.run_metrics(spark, sf),
-                            runs.run_metadata(spark, sf), runs.run_fallback(spark, sf))
+    return _ranked(runs.run_cells(spark, sf))
+
+
+def _ranked(cells):
+    return cmp.compare_runs(runs.expected_runs(cells), runs.run_metrics(cells), runs.run_metadata(cells), runs.run_fallback(cells))
 
 
 @query("run_task", _RUNS + """
 SELECT model, rtask AS task FROM art""")
 def run_task(spark, sf):
-    return cmp.run_task(runs.run_metrics(spark, sf), runs.run_metadata(spark, sf)).select("model", "task")
+    cells = runs.run_cells(spark, sf)
+    return cmp.run_task(runs.run_metrics(cells), runs.run_metadata(cells)).select("model", "task")
 
 
 @query("run_rows", _RUNS + """
 SELECT * FROM cmp_rows WHERE source = 'artifact'""")
 def run_rows(spark, sf):
-    m = cmp.run_task(runs.run_metrics(spark, sf), runs.run_metadata(spark, sf))
+    cells = runs.run_cells(spark, sf)
+    m = cmp.run_task(runs.run_metrics(cells), runs.run_metadata(cells))
     return cmp.rows_from_metrics(m, "artifact")
 
 
@@ -86,8 +92,8 @@ def compare_models(spark, sf):
 @query("missing_models", _RUNS + """
 SELECT model, ord FROM missing""")
 def missing_models(spark, sf):
-    return cmp.missing_runs(runs.expected_runs(spark, sf), runs.run_metrics(spark, sf),
-                            runs.run_fallback(spark, sf))
+    cells = runs.run_cells(spark, sf)
+    return cmp.missing_runs(runs.expected_runs(cells), runs.run_metrics(cells), runs.run_fallback(cells))
 
 
 @query("best_by_task", _RUNS + """
@@ -104,9 +110,10 @@ SELECT (SELECT model FROM ranked WHERE rank = 1) AS best_model,
        (SELECT string_agg(model, ',' ORDER BY rank) FROM ranked) AS compared_models,
        (SELECT string_agg(model, ',' ORDER BY ord) FROM missing) AS missing_models""")
 def comparison_summary(spark, sf):
-    rows = _rows(spark, sf)
-    miss = cmp.missing_runs(runs.expected_runs(spark, sf), runs.run_metrics(spark, sf),
-                            runs.run_fallback(spark, sf))
+    cells = runs.run_cells(spark, sf)
+    # the ranked rows are one per run; written once, both results read them
+    rows = _ranked(cells).checkpoint(eager=True)
+    miss = cmp.missing_runs(runs.expected_runs(cells), runs.run_metrics(cells), runs.run_fallback(cells))
     return cmp.summary(rows, miss)
 
 
@@ -122,10 +129,13 @@ def comparison_report(spark, sf):
     return cmp.report_rows(_rows(spark, sf))
 
 
+_COLOURS = " ".join(f"WHEN '{t}' THEN '{c}'" for t, c in TASK_COLOURS.items()) + f" ELSE '{DEFAULT_TASK_COLOUR}'"
+
+
 @query("comparison_plot_rows", _RUNS + f"""
 SELECT row_number() OVER (ORDER BY f1_macro ASC NULLS FIRST, rank DESC) AS bar, model, task,
        model || ' (' || task || ')' AS caption,
-       CASE task WHEN 'binary_polarity' THEN '#1b7f5f' WHEN 'multiclass' THEN '#2f6f8f' ELSE '#5f6b7a' END AS colour,
+       CASE task {_COLOURS} END AS colour,
        f1_macro AS value, {_fmt("f1_macro").replace(" AS f1_macro", " AS value_text")}
 FROM ranked""")
 def comparison_plot_rows(spark, sf):
@@ -155,4 +165,4 @@ SELECT model, kind, key, value, num FROM params WHERE t <> 'NULL'
 UNION ALL
 SELECT model, kind, key, value, num FROM mets WHERE t IN ('BIGINT', 'UBIGINT', 'DOUBLE')""")
 def run_log_long(spark, sf):
-    return cmp.flatten_run_log(runs.run_log_records(spark, sf), "params", "metrics", "model")
+    return cmp.flatten_run_log(runs.run_log_records(runs.run_cells(spark, sf)), "params", "metrics", "model")

@@ -138,5 +138,4 @@ SELECT id, split, CAST(row_number() OVER (ORDER BY CASE split WHEN 'train' THEN
 FROM reviews""")
 def corpus_row_ids(spark, sf):
     r = td.reviews(spark, sf).select("id", "split")
-    return dataset.global_row_ids(r, order_cols=["_split_ord", "id"],
-                                  split_order=("train", "validation", "test"))
+    return dataset.global_row_ids(r)

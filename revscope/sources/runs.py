@@ -26,9 +26,18 @@ def _ord(c: str = "source") -> F.Column:
     return F.substring(F.col(c), 4, 100).cast("int")
 
 
-def expected_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return (td.all_docs(spark, sf).select(F.col("source").alias("model")).distinct()
-            .withColumn("ord", _ord("model")))
+def run_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """(model, ord, label, pred, n): documents of every source by true label
+    and prediction, null where unlabelled. One pass over the tables, written
+    once: every run table below is a few sums over these few rows."""
+    docs = td.table(spark, sf, "documents").select("doc_id", F.col("source").alias("model"))
+    labelled = td.predictions(spark, sf).select(F.col("id").alias("doc_id"), "label", "pred")
+    return (docs.join(labelled, "doc_id", "left").groupBy("model", "label", "pred").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("ord", _ord("model")).checkpoint(eager=True))
+
+
+def expected_runs(cells: DataFrame) -> DataFrame:
+    return cells.select("model", "ord").distinct()
 
 
 def _binary(ord_col) -> F.Column:
@@ -40,24 +49,22 @@ def metrics_from_predictions(p: DataFrame, binary_col: str = "binary") -> DataFr
     """Per run: accuracy, macro F1 and the per-class report map, computed on
     the run's task view (binary drops neutral truth and maps 2 → 1)."""
     b = F.col(binary_col)
-    rows = p.filter(~b | (F.col("label") != 1)).select(
-        "model",
+    rows = p.filter(F.col("label").isNotNull() & (~b | (F.col("label") != 1))).select(
+        "model", "n",
         F.when(b, (F.col("label") == 2).cast("int")).otherwise(F.col("label")).alias("y"),
         F.when(b, (F.col("pred") == 2).cast("int")).otherwise(F.col("pred")).alias("yp"))
-    scores = ev.per_class_scores(ev.class_counts(rows, "y", "yp", by=["model"]))
-    report = scores.groupBy("model").agg(
+    scores = ev.per_class_scores(ev.class_counts(rows, "y", "yp", by=["model"], weight_col="n"))
+    # accuracy: true positives of all classes over their supports
+    return scores.groupBy("model").agg(
         F.avg("f1").alias("f1_macro"),
         F.map_from_entries(F.collect_list(F.struct(
             F.col("cls").cast("string"),
-            F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")))).alias("report"))
-    acc = ev.accuracy(rows, "y", "yp", by=["model"])
-    return report.join(acc, "model")
+            F.struct("precision", "recall", F.col("f1").alias("f1-score"), "support")))).alias("report"),
+        (F.sum("tp") / F.sum("support")).alias("accuracy"))
 
 
-def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    p = (td.predictions(spark, sf).select(F.col("source").alias("model"), "label", "pred")
-         .withColumn("ord", _ord("model")).filter(F.pmod(F.col("ord"), F.lit(3)) != 0)
-         .withColumn("binary", _binary(F.col("ord"))))
+def run_metrics(cells: DataFrame) -> DataFrame:
+    p = cells.filter(F.pmod(F.col("ord"), F.lit(3)) != 0).withColumn("binary", _binary(F.col("ord")))
     m = metrics_from_predictions(p).withColumn("ord", _ord("model"))
     k = F.pmod(F.col("ord"), F.lit(4))
     task = (F.when(k == 1, F.lit("binary_polarity")).when(k == 2, F.lit("multiclass"))
@@ -65,29 +72,26 @@ def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("model", task.alias("task"), "accuracy", "f1_macro", "report")
 
 
-def run_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    e = expected_runs(spark, sf)
+def run_metadata(cells: DataFrame) -> DataFrame:
+    e = expected_runs(cells)
     k = F.pmod(F.col("ord"), F.lit(4))
     return (e.filter((F.pmod(F.col("ord"), F.lit(3)) != 0) & k.isin(2, 3))
             .select("model", F.when(k == 3, F.lit("binary_polarity")).otherwise(F.lit("multiclass"))
                     .alias("label_mode")))
 
 
-def run_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    p = (td.predictions(spark, sf).select(F.col("source").alias("model"), "label", "pred")
-         .withColumn("ord", _ord("model"))
-         .filter((F.pmod(F.col("ord"), F.lit(3)) == 0) & (F.pmod(F.col("ord"), F.lit(2)) == 0))
-         .withColumn("binary", F.lit(False)))
+def run_fallback(cells: DataFrame) -> DataFrame:
+    p = cells.filter((F.pmod(F.col("ord"), F.lit(3)) == 0) & (F.pmod(F.col("ord"), F.lit(2)) == 0)).withColumn("binary", F.lit(False))
     m = metrics_from_predictions(p).withColumn("ord", _ord("model"))
     src = F.when(F.pmod(F.col("ord"), F.lit(4)) == 0, F.lit("previous_run")).otherwise(F.lit(None).cast("string"))
     return m.select("model", src.alias("source"), F.lit(None).cast("string").alias("task"),
                     "accuracy", "f1_macro")
 
 
-def run_log_records(spark: SparkSession, sf: str) -> DataFrame:
+def run_log_records(cells: DataFrame) -> DataFrame:
     """One params JSON and one metrics JSON per artifact run (nulls, nested
     values, booleans and text included to exercise the flattening)."""
-    m = run_metrics(spark, sf).withColumn("ord", _ord("model"))
+    m = run_metrics(cells).withColumn("ord", _ord("model"))
     params = F.to_json(F.struct(
         F.lit("tfidf_logreg").alias("model_family"),
         F.col("model").alias("dataset_name"),

@@ -77,3 +77,12 @@ def test_best_epoch_first_on_ties_and_checkpoints(spark):
     b = ev.best_epoch(hist).first()
     assert (b.epoch, b.val_accuracy) == (5.0, 0.8)
     assert [r.epoch for r in ev.checkpoint_epochs(hist).orderBy("epoch").collect()] == [1.0, 2.0, 5.0]
+
+
+def test_classes_outside_the_domain_keep_their_rows_and_columns(spark):
+    df = spark.createDataFrame([(0, 0), (7, 1), (2, 9), (None, 1), (2, 2)], "label int, pred int")
+    cm = ev.confusion_matrix(df, MULTICLASS_ID2LABEL)
+    assert cm.columns == ["true_label", "negative", "neutral", "positive", "7", "9", "null"]
+    rows = {r.true_label: r for r in cm.collect()}
+    assert rows["7"].neutral == 1 and rows["positive"]["9"] == 1 and rows["null"].neutral == 1
+    assert sum(sum(r[c] for c in cm.columns[1:]) for r in rows.values()) == 5

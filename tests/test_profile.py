@@ -53,8 +53,25 @@ def test_prepare_and_binary_view(spark):
 
 def test_global_row_ids_are_dense(spark):
     df = spark.range(0, 300).select(F.col("id"), F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
-    got = dataset.global_row_ids(df, buckets=7).collect()
-    ids = sorted(r.row_id for r in got)
-    assert ids == list(range(300))
-    first = min(got, key=lambda r: r.row_id)
-    assert first.split == "train" and first.id == 1
+    # one outlying id, and ids as text
+    df = df.union(spark.createDataFrame([(10**15, "train")], "id long, split string"))
+    got = dataset.global_row_ids(df).collect()
+    want = sorted(((r.split == "test", r.id) for r in got))
+    assert [(r.split == "test", r.id) for r in sorted(got, key=lambda r: r.row_id)] == want
+    assert sorted(r.row_id for r in got) == list(range(301))
+    text = df.withColumn("id", F.col("id").cast("string"))
+    got = sorted(dataset.global_row_ids(text).collect(), key=lambda r: r.row_id)
+    assert [r.row_id for r in got] == list(range(301))
+    assert [(r.split == "test", r.id) for r in got] == sorted((r.split == "test", r.id) for r in got)
+
+
+def test_splits_and_model_inputs(spark):
+    a = spark.createDataFrame([(1, "<b>x</b> y", 0)], "id long, text string, label int")
+    b = spark.createDataFrame([(2, "z", 1, "neutral")], "id long, text string, label int, label_text string")
+    both = dataset.union_splits({"train": a, "test": b})
+    assert {(r.id, r.split, r.label_text) for r in both.collect()} == {(1, "train", None), (2, "test", "neutral")}
+    assert [r.text for r in dataset.split_frame(both, "train", clean=True).collect()] == ["x y"]
+    assert [r.text for r in dataset.split_frame(both, "train").collect()] == ["<b>x</b> y"]
+    enc = both.withColumn("input_ids", F.array(F.lit(1))).withColumn("attention_mask", F.array(F.lit(1)))
+    assert dataset.tokenizer_inputs(enc).columns == ["input_ids", "attention_mask", "labels"]
+    assert dataset.tokenizer_inputs(enc, keep_label_text=True, keep_text=True).columns == ["text", "input_ids", "attention_mask", "labels", "label_text"]
