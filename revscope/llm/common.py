@@ -140,33 +140,48 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.nda
     return mix(h[at]), at
 
 
+def possible(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 24, held: bool = True) -> DataFrame:
+    """Rows whose ``key`` may be among the ``key`` values of ``wanted``: all that are, and few others.
+
+    The wanted keys set bits of a bitmap of ``bits`` bits, at most 2 MB, which
+    is broadcast; so rows that are not wanted need no shuffle. Where keys
+    outnumber bits it lets more through, never less. ``held=False`` returns
+    the other rows.
+    """
+    bit = F.pmod(F.xxhash64(F.lit("bit"), F.col(key)), F.lit(bits))
+    bitmap = (wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits")))
+    rows = df.withColumn("_bit", bit).withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_place", F.bitmap_bit_position("_bit"))
+    byte = "cast(conv(hex(substring(_bits, cast(_place div 8 as int) + 1, 1)), 16, 10) as int)"
+    is_set = F.expr(f"(shiftright({byte}, cast(_place % 8 as int)) & 1) = 1")
+    marked = rows.join(F.broadcast(bitmap), "_bucket", "left")
+    return marked.filter(F.coalesce(is_set, F.lit(False)) == F.lit(held)).drop("_bit", "_bucket", "_place", "_bits")
+
+
 def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str) -> DataFrame:
     """Verified links (a, b) between nodes (node, sketch) that share an entry of their sketches.
 
     In a bucket (entry number, value) every node is paired with one hub, the
     smallest node; ``verify`` takes pairs (a, b) and returns those that hold.
     Nodes that do not match their hub meet again in smaller buckets, split by
-    a further entry, with hubs of their own, until no bucket has two nodes. So
-    n copies of one thing cost n pairs, and a bucket of unlike things is taken
+    further entries (one, two, four, ...), with hubs of their own, until no
+    bucket has two nodes. So n copies of one thing cost n pairs, and a bucket of unlike things is taken
     apart instead of paired off.
     """
     members = (nodes.select("node", F.posexplode("sketch").alias("j", "value"))
                .select(F.xxhash64("j", "value").alias("key"), "j", "node"))
-    again, found, tested = 1, None, None
+    again, found = 1, None
     while True:
         hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
         met = stored(members.join(hubs, "key").filter("node != hub"), f"{name}-met")
-        pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"{name}-pairs")
-        good = stored(verify(pairs), f"{name}-links")
-        found = good if found is None else found.union(good)
-        tested = pairs if tested is None else tested.union(pairs)
-        apart = met.join(found.select(F.col("a").alias("node"), F.col("b").alias("hub")), ["node", "hub"], "left_anti")
-        entry = F.element_at("sketch", (F.pmod(F.col("j") + again, F.lit(n_sketch)) + 1).cast("int"))
-        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", entry).alias("key"), "j", "node"), f"{name}-members")
-        again += 1
-        if not members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").limit(1).count():
+        if found is not None and not met.limit(1).count():
             return found
+        good = stored(verify(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links")
+        found = good if found is None else found.union(good)
+        apart = met.join(good.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
+        more = F.slice(F.concat("sketch", "sketch"), F.col("j") + F.lit(again + 1), F.lit(again))
+        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", more).alias("key"), "j", "node"), f"{name}-members")
+        again = min(2 * again, n_sketch)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -179,24 +194,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = lambda d: d.select("a", "b").union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a != b").distinct(), name)
-    while True:
+    while not _stars(edges):
         # large-star: every greater neighbour links to the smallest node around
         near = both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (near.filter("b > a").join(least, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
-        large = stored(large, name)
+        large = stored(near.filter("b > a").join(least, "a")
+                       .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), name)
         # small-star: a node and its smaller neighbours link to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
-        small = stored(small, name)
-        # done when every node hangs on a root that hangs on nothing
-        chained = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
-        twice = small.groupBy("a").count().filter("count > 1").limit(1).count()
-        edges = small
-        if not chained and not twice:
-            break
+        edges = stored(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                       .union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), name)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(roots.select("node", F.col("node").alias("component"))))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Does every node hang on one root, and every root on nothing?"""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0")
+    return not odd.limit(1).count()

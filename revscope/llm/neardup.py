@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, hub_links, mix, seeds, shingle_hashes, signed, stored, text_blocks, word_hashes
+from revscope.llm.common import components, hub_links, mix, possible, seeds, shingle_hashes, signed, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 K, PICKED, SKETCHES = 5, 2, 16
@@ -103,8 +103,8 @@ def _slide(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
 def edit_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """Edit distance of two sequences if it is ``most`` or less, else None.
 
-    Common ends are cut, a bound by word counts is tried, then diagonals of
-    few edits are followed, and what needs more is a banded alignment.
+    Common ends are cut, a bound by word counts is tried, and the rest is
+    aligned within a narrow band, then within the whole band of ``most``.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -112,53 +112,67 @@ def edit_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     a, b = a[same:], b[same:]
     same = _slide(a[::-1], b[::-1], 0, 0)
     a, b = a[:len(a) - same], b[:len(b) - same]
+    longest = max(len(a), len(b))
     if not len(a) or not len(b):
-        return max(len(a), len(b)) if max(len(a), len(b)) <= most else None
+        return longest if longest <= most else None
     _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     diff = np.bincount(at[:len(a)], minlength=at.max() + 1) - np.bincount(at[len(a):], minlength=at.max() + 1)
-    if max(diff[diff > 0].sum(), -diff[diff < 0].sum()) > most:
+    least = max(int(diff[diff > 0].sum()), int(-diff[diff < 0].sum()))
+    if least > most:
         return None
-    a, b = at[:len(a)].astype(np.int32), at[len(a):].astype(np.int32)
-    few = min(most, 24)
-    reach = {0: _slide(a, b, 0, 0)}  # by diagonal (place in b less place in a): the furthest place in a
-    goal = len(b) - len(a)
-    for e in range(1, few + 1):
-        new = {}
-        for d in range(max(-e, -len(a)), min(e, len(b)) + 1):
-            i = max(reach.get(d - 1, -1), reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1)
-            i = min(i, len(a), len(b) - d)
-            if i >= 0 and i + d >= 0:
-                new[d] = i + _slide(a, b, i, i + d)
-        reach = new
-        if reach.get(goal, -1) >= len(a):
-            return e
-    if few == most:
-        return None
-    return _banded(a, b, most)
+    x, y = at[:len(a)].tolist(), at[len(a):].tolist()
+    if len(x) < len(y):
+        x, y = y, x
+    for band in sorted({min(most, max(least, NARROW), longest - 1), min(most, longest - 1)}):
+        found = _banded(x, y, band)
+        if found is not None:
+            return found
+    return longest if longest <= most else None  # every word replaced
+
+
+#: Edits that the narrow band allows for.
+NARROW = 40
 
 
-def _banded(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Row by row over the diagonals -most..most; insertions within a row are a running minimum."""
-    far = most + 1
+def _banded(x: list[int], y: list[int], most: int) -> int | None:
+    """Edit distance within the diagonals -most..most, by bit-parallel columns.
+
+    ``x`` is the longer sequence and has more than ``most`` symbols. A column
+    is an integer of one bit for each cell of the band; its differences to the
+    cell above and to the column before follow by a dozen integer operations
+    (Myers 1999, Hyyro 2003). The cell followed runs down the lowest diagonal
+    and then along the last row.
+    """
+    if len(x) - len(y) > most:
+        return None
     width = 2 * most + 1
-    shift = np.arange(width)
-    padded = np.concatenate([np.full(most + 1, -1, np.int32), b, np.full(width + 1, -1, np.int32)])
-    place = shift - most  # of row 0: place in b
-    row = np.where((place >= 0) & (place <= len(b)), place, far)
-    for i in range(1, len(a) + 1):
-        # a cell is (i, j) with j = i + shift - most; its diagonal neighbour keeps the shift, the upper one has the next
-        symbols = padded[i:i + width]  # b[j - 1]
-        cell = row + (symbols != a[i - 1])
-        cell[:-1] = np.minimum(cell[:-1], row[1:] + 1)
-        j = i + place
-        cell[(j < 0) | (j > len(b))] = far
-        if 0 <= most - i < width:
-            cell[most - i] = min(cell[most - i], i)
-        row = np.minimum(np.minimum.accumulate(cell - shift) + shift, far)
-        if row.min() > most:
+    ones = (1 << width) - 1
+    where: dict[int, int] = {}
+    for i, s in enumerate(x):
+        where[s] = where.get(s, 0) | 1 << i
+    up, down = ((1 << (most + 1)) - 1) << most, 0  # differences +1 and -1 down the column
+    low, along = 1 << (width - 1), 1 << (width - 2) if width > 1 else 0
+    score, diagonal = most, len(x) - most
+    worst = most + len(y) - diagonal  # what the last row can still win back
+    for j, s in enumerate(y):
+        seen = where.get(s, 0)
+        match = (seen >> (j - most) if j >= most else seen << (most - j)) & ones
+        zero = ((((match & up) + up) & ones) ^ up) | match | down
+        plus, minus = down | (ones ^ (zero | up)), zero & up
+        if j < diagonal:
+            if not zero & low:
+                score += 1
+        else:
+            if plus & along:
+                score += 1
+            elif minus & along:
+                score -= 1
+            along >>= 1
+        if score > worst:
             return None
-    found = int(row[len(b) - len(a) + most])
-    return found if found <= most else None
+        shifted = zero >> 1
+        up, down = minus | (ones ^ (shifted | plus)), shifted & plus
+    return score if score <= most else None
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -181,8 +195,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), lists],
                                                  ["id", "node", "n", "sketch"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), _node(F.col("text")).alias("node"), F.lower(F.col("text").cast("string")).alias("text"))
-    return rows.mapInArrow(run, "id long, node long, n long, sketch array<long>")
+    return _rows(docs).mapInArrow(run, "id long, node long, n long, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,22 +225,26 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """id, node and lower-cased text of every document."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), _node(F.col("text")).alias("node"),
+                       F.lower(F.col("text").cast("string")).alias("text"))
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes (node, n, sketch) of colliding buckets."""
-    nodes = nodes.filter("n > 0").select("node", "n", "sketch")
+    """Verified links (a, b) between nodes (node, first_id, n, sketch) of colliding buckets."""
+    nodes = nodes.filter("n > 0")
     texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:  # the first pairs name all nodes that ever meet
+        if not texts:  # the first pairs name all nodes that ever meet; of a node's copies one text is fetched
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            texts.append(stored(docs.select(_node(F.col("text")).alias("node"), F.lower(F.col("text").cast("string")).alias("text"))
-                                .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts"))
-        size = nodes.select("node", "n")
-        near = (pairs.join(size.withColumnsRenamed({"node": "a", "n": "n_a"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "n_b"}), "b")
-                .filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * SIMILARITY).select("a", "b"))
-        return _verified(near, texts[0])
-
-    return hub_links(nodes, verify, SKETCHES, "documents")
+            wanted = stored(wanted.join(nodes.select("node", F.col("first_id").alias("id")), "node"), "wanted")
+            texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi")
+                                .groupBy("node", "id").agg(F.first("text").alias("text")).drop("id"), "texts"))
+        return _verified(pairs, texts[0])
+
+    return hub_links(nodes.select("node", "sketch"), verify, SKETCHES, "documents")
 
 
 def classes(docs: DataFrame) -> DataFrame:
