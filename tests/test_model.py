@@ -78,3 +78,18 @@ def test_frequency_index_against_sorting(spark):
     for most in (None, 1, 60, 500):
         got = sorted((r["index"], r["term"]) for r in fe.frequency_index(df, "cf", "term", most).collect())
         assert got == [(i, t) for i, (t, _) in enumerate(want[:most])]
+
+
+def test_any_scorer_is_loaded_once_and_gives_predictions(spark):
+    def load():
+        calls = []
+
+        def score(texts):
+            calls.append(1)
+            return [[float(len(t)), 3.0, float(len(calls) > 100)] for t in texts]
+        return score
+
+    docs = spark.createDataFrame([("abcd",), ("a",), (None,)], "text string")
+    got = md.predictions_from_logits(md.score_with(docs, load), md.id2label_for_mode("multiclass")).collect()
+    assert [(r.text, r.label) for r in got] == [("abcd", "negative"), ("a", "neutral"), (None, "neutral")]
+    assert all(sum(r.scores.values()) == pytest.approx(1, abs=1e-5) for r in got)
