@@ -18,10 +18,22 @@ _ODD = 0x9E3779B97F4A7C15
 _ASCII_WORD = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back (cuts the lineage)."""
+#: Rows of a written table of plain numbers that one task holds, about.
+TASK_ROWS = 500_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back (cuts the lineage).
+
+    ``rows``, a bound on its rows, is given for tables of a few numbers a row:
+    as many tasks write it as the rows fill, at least one for each core, so
+    that small tables are not spread over many files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+        df = df.coalesce(tasks) if tasks < shuffle_partitions(spark) else df
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -170,17 +182,19 @@ def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sket
     """
     members = (nodes.select("node", F.posexplode("sketch").alias("j", "value"))
                .select(F.xxhash64("j", "value").alias("key"), "j", "node"))
+    rows = n_sketch * nodes.count()
     again, found = 1, None
     while True:
         hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
-        met = stored(members.join(hubs, "key").filter("node != hub"), f"{name}-met")
-        if found is not None and not met.limit(1).count():
+        met = stored(members.join(hubs, "key").filter("node != hub"), f"{name}-met", rows)
+        rows = met.count()
+        if found is not None and not rows:
             return found
-        good = stored(verify(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links")
+        good = stored(verify(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links", rows)
         found = good if found is None else found.union(good)
         apart = met.join(good.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
         more = F.slice(F.concat("sketch", "sketch"), F.col("j") + F.lit(again + 1), F.lit(again))
-        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", more).alias("key"), "j", "node"), f"{name}-members")
+        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", more).alias("key"), "j", "node"), f"{name}-members", rows)
         again = min(2 * again, n_sketch)
 
 
@@ -194,16 +208,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = lambda d: d.select("a", "b").union(d.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .filter("a != b").distinct(), name)
+    rows = edges.count()  # a round never adds links
     while not _stars(edges):
         # large-star: every greater neighbour links to the smallest node around
         near = both(edges)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = stored(near.filter("b > a").join(least, "a")
-                       .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), name)
+                       .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), name, rows)
         # small-star: a node and its smaller neighbours link to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = stored(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                       .union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), name)
+                       .union(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct(), name, rows)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .union(roots.select("node", F.col("node").alias("component"))))

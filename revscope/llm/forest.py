@@ -147,6 +147,11 @@ def _rerank(k: int):
     return take
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    flat = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+
+
 def _search(base: DataFrame, k: int, is_query: Column, target_recall: float) -> DataFrame:
     """Search among rows (id, v) of one dimension."""
     spark = base.sparkSession
@@ -154,7 +159,9 @@ def _search(base: DataFrame, k: int, is_query: Column, target_recall: float) ->
     x = base.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.max(norm).alias("reach")).first()
     part = min(1.0, SAMPLE_ROWS / max(1, x.n))
     drawn = base.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < int(part * (1 << 30))).orderBy("id").select("v")
-    sample = np.array([r.v for r in drawn.collect()] or [r.v for r in base.limit(1).select("v").collect()], float)
+    sample = _matrix(drawn.toArrow())
+    if not len(sample):  # so few rows that none was drawn
+        sample = _matrix(base.limit(1).select("v").toArrow())
     forest = spark.sparkContext.broadcast(fit(sample, x.reach, k, target_recall))
 
     def vecs(batch: pa.RecordBatch) -> np.ndarray:

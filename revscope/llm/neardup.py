@@ -239,9 +239,8 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         if not texts:  # the first pairs name all nodes that ever meet; of a node's copies one text is fetched
             wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = stored(wanted.join(nodes.select("node", F.col("first_id").alias("id")), "node"), "wanted")
-            texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi")
-                                .groupBy("node", "id").agg(F.first("text").alias("text")).drop("id"), "texts"))
+            wanted = stored(wanted.join(nodes.select("node", F.col("first_id").alias("id")), "node"), "wanted", nodes.count())
+            texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi").select("node", "text"), "texts"))
         return _verified(pairs, texts[0])
 
     return hub_links(nodes.select("node", "sketch"), verify, SKETCHES, "documents")
@@ -250,10 +249,10 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): id, node, class_id and class_size; null ids are the largest number."""
     base = stored(sketched(docs), "sketches")
-    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", base.count())
     joined = components(links(nodes, docs))
     named = nodes.select("node", "first_id", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = stored(named, "named")
+    named = stored(named, "named", base.count())
     sizes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))
     by_node = named.select("node", "component").join(sizes, "component").select("node", "class_id", "class_size")
     return base.select("id", "node").join(by_node, "node")
