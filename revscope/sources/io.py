@@ -174,8 +174,9 @@ def write_evaluation_artifacts(out_dir: str, *, task: str, metrics: DataFrame, c
     lines.coalesce(1).write.mode("overwrite").text(os.path.join(out_dir, "classification_report.txt"))
     entry = F.struct("precision", "recall", F.col("f1_score").alias("f1-score"), F.col("support").cast("double").alias("support"))
     by_label = report.agg(F.map_from_entries(F.collect_list(F.struct("label", entry))).alias("report_dict"))
-    record = (metrics.filter(F.col("split") == "test").select(F.lit(task).alias("task"), "accuracy", "f1_macro")
-              .join(by_label))  # one row beside one row
+    test = metrics.filter(F.col("split") == "test").select("accuracy", "f1_macro").first()  # two numbers
+    record = by_label.select(F.lit(task).alias("task"), *[F.lit(test[c] if test else None).cast("double").alias(c) for c in ("accuracy", "f1_macro")],
+                             "report_dict")
     record.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "metrics.json"))
     metrics.coalesce(1).write.mode("overwrite").json(os.path.join(out_dir, "split_metrics"))
 
@@ -219,9 +220,11 @@ def read_index(spark: SparkSession, path: str):
     return retrieval.VectorIndex(rows=rows, tiles=tiles, labels=labels, metadata=meta)
 
 
-def write_history(history: DataFrame, path: str) -> None:
-    """SNK7: training history table."""
+def write_history(history: DataFrame, path: str, config: dict | None = None) -> None:
+    """SNK7: training history table, and the run's configuration beside it."""
     history.coalesce(1).write.mode("overwrite").json(path)
+    if config is not None:
+        write_small_json(history.sparkSession, config, path.rstrip("/") + "_config.json")
 
 
 def append_run_log(long_log: DataFrame, path: str, enabled: bool = True) -> None:

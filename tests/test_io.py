@@ -149,5 +149,8 @@ def test_baseline_job_writes_artifacts(spark):
     io.write_records(reviews.select("text", F.col("label").alias("label_id"), F.col("label_text").alias("label"), "split"),
                      os.path.join(out, "records"))
     assert io.read_records(spark, os.path.join(out, "records")).count() == 90
-    io.write_history(spark.createDataFrame([(1.0, 0.5)], "epoch double, val_f1_macro double"), os.path.join(out, "history"))
+    table = io.read_comparison_csv(spark, os.path.join(out, "model_comparison_csv"))
+    assert {(r.model, r.rank): r.f1_macro for r in table.collect()} == {(r.model, r.rank): r.f1_macro for r in rows_df.collect()}
+    io.write_history(spark.createDataFrame([(1.0, 0.5)], "epoch double, val_f1_macro double"), os.path.join(out, "history"), {"epochs": 3})
+    assert io.read_small_json(spark, os.path.join(out, "history_config.json")) == {"epochs": 3}
     assert spark.read.json(os.path.join(out, "history")).count() == 1
