@@ -32,6 +32,8 @@ from revscope.session import table_path
 HASH_BITS, ORDERS = 15, (1, 2, 3)
 #: Labelled rows that the weights are fitted on, at most about so many.
 SAMPLE_ROWS = 4_000
+#: Languages that a model tells, the most frequent ones; rarer labels are not learned.
+MAX_LANGUAGES = 400
 #: Characters of texts that one numpy step works on; a longer text is a step of its own.
 BLOCK_CHARS = 1 << 19
 UNKNOWN = "und"
@@ -189,7 +191,7 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
 def _sample(train: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of about ``rows`` training rows, as many of each language, in a fixed order."""
     train = train.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    counts = train.groupBy("lang").count()
+    counts = train.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
     most = rows // max(1, counts.count())
     part = counts.select(F.col("lang").alias("l"), (F.lit(float(max(1, most))) / F.col("count") * (1 << 30)).alias("most"))
     keys = (train.select("key", "lang").join(part, F.col("lang") == F.col("l"))
