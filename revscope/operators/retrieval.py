@@ -198,7 +198,7 @@ def fit_encoder(docs: DataFrame, text_col: str = "text", dim: int = 256) -> Text
 
 def encode(docs: DataFrame, encoder: TextEncoder, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """IDX1: the documents with their vector; a text without words has the zero vector."""
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def vector(buckets):
         import pandas as pd
 
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, encoder: TextEncoder, text_col: str = "text", out_co
         for b in buckets:
             v = np.bincount(b, minlength=encoder.dim) * idf if b is not None and len(b) else np.zeros(encoder.dim)
             norm = np.sqrt((v * v).sum())
-            out.append((v / norm if norm else v).astype(np.float32))
+            out.append(v / norm if norm else v)
         return pd.Series(out)
 
     return docs.withColumn(out_col, vector(_buckets(text_col, encoder.dim)))

@@ -16,7 +16,7 @@ from revscope.operators import qa, retrieval
 from revscope.plans.q_features import SQL_TOKENS
 from revscope.plans.q_text import _sql_focus
 from revscope.plans.registry import query
-from revscope.plans.sqlviews import SQL_WS, sql_clean, with_views
+from revscope.plans.sqlviews import SQL_WS, sql_clean, sql_label_name, with_views
 from revscope.session import scratch_path
 from revscope.sources import testdata as td
 
@@ -317,7 +317,31 @@ def embed_corpus(spark, sf):
                     F.round(F.array_max("embedding").cast("double"), 4).alias("top"), F.round(place, 2).alias("place"))
 
 
-@query("ask_text")
+_ASK_DIM = 256
+
+
+def _sql_vectors(name: str) -> str:
+    """Dense unit vectors of the counts ``{name}_c`` under the IDF of ``idf``; texts without known words have none."""
+    return f"""
+, {name}_w AS (SELECT c.id, c.b, c.tf * coalesce(idf.idf, (SELECT ln(1 + n) + 1 FROM docs_n)) AS w FROM {name}_c c LEFT JOIN idf ON c.b = idf.b)
+, {name}_v AS (SELECT id, list_transform(range({_ASK_DIM}), lambda i: coalesce(m[i], 0.0)) AS vec
+               FROM (SELECT id, map_from_entries(list((b, w))) AS m FROM {name}_w GROUP BY id))"""
+
+
+_ASK_VIEWS = with_views("all_docs", "question_text") + f"""
+, emb_docs AS (SELECT id, {sql_clean("text")} AS text, id % 3 AS label_id, split FROM all_docs)
+, asked AS (SELECT conv_id * 1000 + turn AS id, question AS text FROM question_text)
+, docs_n AS (SELECT count(*) AS n FROM emb_docs)""" + _sql_embed("d", "emb_docs", _ASK_DIM) + _sql_embed("a", "asked", _ASK_DIM) + """
+, idf AS (SELECT b, ln((1 + (SELECT n FROM docs_n)) / (1 + count(*))) + 1 AS idf FROM d_c GROUP BY b)""" + _sql_vectors("d") + _sql_vectors("a") + f"""
+, zero AS (SELECT list_transform(range({_ASK_DIM}), lambda i: 0.0::DOUBLE) AS vec)
+, corpus AS (SELECT d.id AS row_id, d.text, CAST(d.label_id AS INTEGER) AS label_id, {sql_label_name("d.label_id")} AS label, d.split,
+                    coalesce(v.vec, zero.vec) AS embedding FROM emb_docs d LEFT JOIN d_v v ON d.id = v.id, zero)
+, questions AS (SELECT a.id AS q_id, a.text AS question, coalesce(v.vec, zero.vec) AS q_vec, NULL::VARCHAR AS focus
+                FROM asked a LEFT JOIN a_v v ON a.id = v.id, zero)"""
+
+
+@query("ask_text", sql_hits(True, views=_ASK_VIEWS) + _ANSWER_TAIL + """
+SELECT q_id, answer, sentiment_focus, k::INTEGER AS k FROM ans""")
 def ask_text(spark, sf):
     """Questions as text: embedded by the corpus's encoder, searched and answered."""
     from revscope.operators.ask import ask
