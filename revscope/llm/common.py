@@ -35,6 +35,9 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
         df = df.coalesce(tasks) if tasks < shuffle_partitions(spark) else df
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files go once the driver has collected the plans of finished jobs; a chain of
+    # written tables would otherwise keep them all
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +84,13 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in small slices, of which one at a time becomes Python strings."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 class _Powers:
     """Powers of an odd number and of its inverse modulo 2**64, as long as a block needs."""
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revscope.llm.common import slices
 from revscope.session import table_path
 
 HASH_BITS, ORDERS = 15, (1, 2, 3)
@@ -170,8 +171,8 @@ def _frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequency of every feature over all training documents, and their number."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << HASH_BITS, np.int64), 0
-        for batch in batches:
-            for grams in ngram_rows(batch.column("text").to_pylist()):
+        for part in slices(batches):
+            for grams in ngram_rows(part.column("text").to_pylist()):
                 seen = np.zeros(1 << HASH_BITS, bool)
                 seen[grams] = True
                 df += seen
@@ -200,13 +201,13 @@ def _sample(train: DataFrame, rows: int) -> list[tuple[str, np.ndarray, np.ndarr
     drawn = train.join(F.broadcast(keys), "key").select("lang", "key", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in slices(batches):
             fs, tfs = [], []
-            for grams in ngram_rows(batch.column("text").to_pylist()):
+            for grams in ngram_rows(part.column("text").to_pylist()):
                 f, tf = counted(grams) if len(grams) else (np.zeros(0, np.int64), np.zeros(0))
                 fs.append(f.astype("<i4").tobytes())
                 tfs.append(tf.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array(fs, pa.binary()), pa.array(tfs, pa.binary())],
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array(fs, pa.binary()), pa.array(tfs, pa.binary())],
                                              ["lang", "key", "f", "tf"])
 
     found = drawn.mapInArrow(features, "lang string, key long, f binary, tf binary").collect()
@@ -237,9 +238,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = shared.value.predict(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+        for part in slices(batches):
+            names, scores = shared.value.predict(part.column("_text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              [*keep, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
