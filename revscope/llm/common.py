@@ -180,32 +180,93 @@ def possible(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 24, he
     return marked.filter(F.coalesce(is_set, F.lit(False)) == F.lit(held)).drop("_bit", "_bucket", "_place", "_bits")
 
 
-def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str) -> DataFrame:
-    """Verified links (a, b) between nodes (node, sketch) that share an entry of their sketches.
+#: Bits of the set that stands for a node's elements, and nodes of a bucket in one tile.
+SET_BITS, TILE = 1024, 256
+
+
+def set_bits(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Per row its elements (hashes ``h`` from ``first`` on) as a set of ``SET_BITS`` bits."""
+    out, bit = [], (h % np.uint64(SET_BITS)).astype(np.int64)
+    for lo in range(0, len(first) - 1, 1024):
+        edge = first[lo:lo + 1025]
+        dense = np.zeros((len(edge) - 1, SET_BITS), bool)
+        dense[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), bit[edge[0]:edge[-1]]] = True
+        out += [row.tobytes() for row in np.packbits(dense, axis=1)]
+    return out
+
+
+def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes of one bucket and of two components, but for those whose sets rule ``least`` out.
+
+    ``members`` has key, node, component and n, the nodes of the bucket. What
+    stands in one thing only is at most 1 - ``least`` of the larger one, so
+    two bits sets that differ by more are of unlike things. Buckets are cut
+    into tiles by the node's hash; a row holds two tiles of a bucket.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi, rows in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("rows"), strict=True):
+                tile, node, component, size, bits = rows.values.flatten()
+                tile, node, component, size = (np.asarray(c) for c in (tile, node, component, size))
+                bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(node), -1)
+                held = np.bitwise_count(bits).sum(1).astype(np.int64)
+                x, y = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+                for at, i in enumerate(x):
+                    other = y[at + 1:] if lo == hi else y
+                    other = other[component[other] != component[i]]
+                    most = ((1 - least) * np.maximum(size[other], size[i]) + 1e-9).astype(np.int64)
+                    other, most = (c[np.abs(size[other] - size[i]) <= most] for c in (other, most))
+                    apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1).astype(np.int64)
+                    other = other[apart + np.abs(held[other] - held[i]) <= 2 * most]
+                    a.append(np.maximum(node[other], node[i]))
+                    b.append(np.minimum(node[other], node[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rows = (members.join(nodes.select("node", F.col("size").cast("int").alias("size"), "bits"), "node").withColumn("tiles", tiles)
+            .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
+    pairs = (rows.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+             .agg(F.collect_list(F.struct("tile", "node", "component", "size", "bits")).alias("rows")))
+    return pairs.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
+
+
+def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float) -> DataFrame:
+    """Verified links (a, b) that join what all pairs of nodes (node, sketch, size, bits) that share a sketch entry would.
 
     In a bucket (entry number, value) every node is paired with one hub, the
-    smallest node; ``verify`` takes pairs (a, b) and returns those that hold.
-    Nodes that do not match their hub meet again in smaller buckets, split by
-    further entries (one, two, four, ...), with hubs of their own, until no
-    bucket has two nodes. So n copies of one thing cost n pairs, and a bucket of unlike things is taken
-    apart instead of paired off.
+    smallest node; ``verify`` takes pairs (a, b) and returns those that hold,
+    which must have ``least`` of their elements in common. Buckets that still
+    hold nodes of several components are paired with a second hub, the node
+    with most links so far. So n copies of one thing cost n pairs, and a thing
+    with many copies that are unlike each other 2 n. Of what is left all pairs
+    of two components are verified that their bit sets do not rule out.
     """
-    members = (nodes.select("node", F.posexplode("sketch").alias("j", "value"))
-               .select(F.xxhash64("j", "value").alias("key"), "j", "node"))
-    rows = n_sketch * nodes.count()
-    again, found = 1, None
-    while True:
-        hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
-        met = stored(members.join(hubs, "key").filter("node != hub"), f"{name}-met", rows)
+    members = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "node")
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
+    met = stored(members.join(hubs, "key"), f"{name}-met", n_sketch * nodes.count())
+    rows = met.count()
+    found = stored(verify(met.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links", rows)
+    for last in (False, True):
+        joined = components(found, f"{name}-classes")
+        state = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = stored(state, f"{name}-state", rows)
+        apart = (state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+                 .filter("lo != hi").select("key", "n"))
+        met = stored(state.join(apart, "key").select("key", "node", "component", "n"), f"{name}-apart", rows)
         rows = met.count()
-        if found is not None and not rows:
-            return found
-        good = stored(verify(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links", rows)
-        found = good if found is None else found.union(good)
-        apart = met.join(good.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"], "left_anti")
-        more = F.slice(F.concat("sketch", "sketch"), F.col("j") + F.lit(again + 1), F.lit(again))
-        members = stored(apart.join(nodes.select("node", "sketch"), "node").select(F.xxhash64("key", more).alias("key"), "j", "node"), f"{name}-members", rows)
-        again = min(2 * again, n_sketch)
+        if not rows:
+            break
+        if last:
+            pairs = stored(_tile_pairs(met, nodes, least), f"{name}-pairs")
+        else:
+            ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+            ranked = met.join(ends, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "component")).alias("hub"))
+            pairs = (met.join(ranked, "key").filter(F.col("component") != F.col("hub.component"))
+                     .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
+        found = found.union(stored(verify(pairs), f"{name}-links", rows))
+    return found
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -6,12 +6,13 @@ count. For each of ``SKETCHES`` hash functions the ``PICKED`` k-mers of least
 hash are kept in the order in which they stand in the text; equal picks in
 equal order make two documents collide, which is likely if few edits part them.
 
-Equal texts are one node from the start. In a bucket of colliding nodes every
-node is compared with the bucket's hub, the smallest node, and linked to it if
-the edit similarity of the word sequences, found by banded alignment, is 0.8 or
-more. Nodes that do not match their hub go on to smaller buckets, split by a
-further pick, with hubs of their own, until no bucket has two nodes. So a
-bucket of n copies costs n comparisons and one of unlike texts is taken apart.
+Equal texts are one node from the start. Every two nodes that collide are linked
+if the edit similarity of their word sequences, found by banded alignment, is
+0.8 or more. Pairs that other links join already are spared: in a bucket every
+node is first compared with a hub, the smallest node, then, where several
+components are left, with the node of most links, and then all pairs of two
+components are compared, but for those whose sets of words rule 0.8 out. So a
+bucket of n copies costs n comparisons.
 Links make components; a class is named by its smallest document id.
 
 Defined cases: null text counts as empty; a text without words equals only
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, hub_links, mix, possible, seeds, shingle_hashes, signed, stored, text_blocks, word_hashes
+from revscope.llm.common import components, hub_links, mix, possible, seeds, set_bits, shingle_hashes, signed, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 K, PICKED, SKETCHES = 5, 2, 16
@@ -186,16 +187,17 @@ def _node(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Per document: id, node (its text), number of words and sketch."""
+    """Per document: id, node (its text), number of words, sketch and set of words as bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column("text")):
                 n, sketch = sketches(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * SKETCHES, pa.int32()), pa.array(signed(sketch.ravel())))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), lists],
-                                                 ["id", "node", "n", "sketch"])
+                _, _, words, first = word_hashes(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), lists, pa.array(set_bits(words, first), pa.binary())],
+                                                 ["id", "node", "n", "sketch", "bits"])
 
-    return _rows(docs).mapInArrow(run, "id long, node long, n long, sketch array<long>")
+    return _rows(docs).mapInArrow(run, "id long, node long, n long, sketch array<long>, bits binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -232,7 +234,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes (node, first_id, n, sketch) of colliding buckets."""
+    """Verified links (a, b) between nodes (node, first_id, n, sketch, bits) of colliding buckets."""
     nodes = nodes.filter("n > 0")
     texts: list[DataFrame] = []
 
@@ -243,13 +245,13 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi").select("node", "text"), "texts"))
         return _verified(pairs, texts[0])
 
-    return hub_links(nodes.select("node", "sketch"), verify, SKETCHES, "documents")
+    return hub_links(nodes.select("node", "sketch", F.col("n").alias("size"), "bits"), verify, SKETCHES, "documents", SIMILARITY)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): id, node, class_id and class_size; null ids are the largest number."""
     base = stored(sketched(docs), "sketches")
-    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", base.count())
+    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes", base.count())
     joined = components(links(nodes, docs))
     named = nodes.select("node", "first_id", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named", base.count())

@@ -156,3 +156,42 @@ def test_query(spark, sf):
     got = neardup.op1_neardup(spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert got.filter("class_id > doc_id").count() == 0
+
+
+def test_stars_and_chains_against_all_colliding_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+
+    def edited(text, n):
+        out = list(text)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = rng.choice(vocabulary)
+        return out
+
+    texts = []
+    for _ in range(2):  # one original and copies that are unlike each other
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        texts += [base, *(edited(base, 24) for _ in range(200))]
+    step = [rng.choice(vocabulary) for _ in range(200)]
+    for _ in range(100):  # every text is an edited copy of the one before
+        texts.append(step)
+        step = edited(step, 16)
+    rows = [" ".join(t) for t in texts]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in rows]
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    sketch = [{(r, x) for r, x in enumerate(next(iter(neardup.sketches(d, np.array([0, len(d)]))[1])).tolist())} for d in raw]
+    hashed, root = [words(t) for t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sketch[i] & sketch[j] and find(i) != find(j) and neardup.similar(hashed[i], hashed[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    for i in range(len(rows)):  # at least what all colliding pairs give
+        assert got[i] == got[find(i)]
+    assert max(Counter(got[i] for i in range(201)).values()) > 150
