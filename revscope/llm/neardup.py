@@ -249,26 +249,25 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text): id, node, class_id and class_size; null ids are the largest number."""
+    """Per document (doc_id, text): id, node, component, class_id and class_size; null ids are the largest number."""
     base = stored(sketched(docs), "sketches")
     nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes", base.count())
     joined = components(links(nodes, docs))
     named = nodes.select("node", "first_id", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named", base.count())
     sizes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))
-    by_node = named.select("node", "component").join(sizes, "component").select("node", "class_id", "class_size")
+    by_node = named.select("node", "component").join(sizes, "component").select("node", "component", "class_id", "class_size")
     return base.select("id", "node").join(by_node, "node")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, one of each class: that with the smallest id."""
-    keep = classes(docs).filter("id = class_id").select("node", "id").distinct()
+    """The documents, one of each class: that with the smallest id, of equal ids (null ones, too) with the smallest node."""
+    keep = classes(docs).groupBy("component").agg(F.min(F.struct("id", "node")).alias("least")).select("least.*")
     # of equal rows with equal ids one stays
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _node(F.col("text")).alias("node"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))
-    one = keep.groupBy("id").agg(F.min("node").alias("node"))  # of different texts with one id, too
     turn = F.row_number().over(Window.partitionBy("node", "id").orderBy("node"))
-    return rows.join(one, ["node", "id"]).withColumn("turn", turn).filter("turn = 1").select("doc.*")
+    return rows.join(keep, ["node", "id"]).withColumn("turn", turn).filter("turn = 1").select("doc.*")
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,12 @@ def test_stars_and_chains_against_all_colliding_pairs(spark):
     for i in range(len(rows)):  # at least what all colliding pairs give
         assert got[i] == got[find(i)]
     assert max(Counter(got[i] for i in range(201)).values()) > 150
+
+
+def test_every_class_keeps_one_document_whatever_its_id(spark):
+    rng = random.Random(9)
+    unlike = [" ".join(f"n{rng.randrange(10_000)}" for _ in range(40)) for _ in range(5)]
+    rows = [(None, unlike[0]), (None, unlike[1]), (None, unlike[1]), (7, unlike[2]), (7, unlike[3]), (8, unlike[3]), (9, unlike[4])]
+    kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(unlike)
+    assert {r.text: r.doc_id for r in kept}[unlike[3]] == 7
