@@ -204,3 +204,24 @@ def test_every_class_keeps_one_document_whatever_its_id(spark):
     kept = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in kept) == sorted(unlike)
     assert {r.text: r.doc_id for r in kept}[unlike[3]] == 7
+
+
+def block_of(texts):
+    raw = [np.frombuffer(" ".join(t).encode(), np.uint8) for t in texts]
+    return np.concatenate(raw), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
+@pytest.mark.parametrize("length", [60, 200, 600])
+@pytest.mark.parametrize(("share", "least"), [(0.8, 0.95), (0.83, 0.97), (0.85, 0.98), (0.87, 0.99), (0.9, 0.99)])
+def test_recall_of_scattered_edits(length, share, least):
+    rng, left, right = random.Random(length), [], []
+    for _ in range(300):
+        text = [f"w{rng.randrange(50_000)}" for _ in range(length)]
+        left.append(text)
+        right.append(list(text))
+        for i in rng.sample(range(length), int((1 - share) * length + 1e-9)):
+            right[-1][i] = f"x{rng.randrange(50_000)}"
+    a, b = neardup.entries(*block_of(left))[1], neardup.entries(*block_of(right))[1]
+    found = (a == b).any(1).mean()
+    print(f"{length} words, similarity {share}: {found:.3f}, entries of {neardup.SHORT_K} words {(a == b)[:, neardup.SKETCHES:].mean():.3f}")
+    assert found >= least
