@@ -14,7 +14,8 @@ whose own markup names the article and the parts around it, and
 written; these vary the markup, so that the model does not hang on one tag.
 
 Defined cases: null or empty html has no blocks and the text is empty; a
-cut-off tag at the end is dropped; unclosed elements end with their parent;
+cut-off tag at the end is dropped; unclosed elements end with their parent, an unclosed head with
+what cannot stand in it;
 repeated rows get equal answers; extra columns are ignored.
 """
 
@@ -50,6 +51,8 @@ h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search
 #: Elements that the start of another of their kind (or of a block, for p) closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
+#: Elements that can stand in a head without ending it.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _SCOPE = frozenset("ul ol dl table div article section main body blockquote".split())
 _SPACE = re.compile(r"\s+")
 
@@ -73,6 +76,8 @@ class _Scan:
     silent: int = 0
 
     def text(self, raw: str) -> None:
+        if self.silent and raw.strip():
+            self.end_head("")
         if raw and not self.silent:
             t = unescape(raw) if "&" in raw else raw
             self.pieces.append(t)
@@ -91,7 +96,15 @@ class _Scan:
         self.links -= tag == "a"
         self.silent -= tag in _SILENT
 
+    def end_head(self, tag: str) -> None:
+        """What cannot stand in a head ends an open one, a body also what is open within it."""
+        if tag == "body" and any(t == "head" for t, _ in self.stack):
+            self.close("head")
+        elif self.stack and self.stack[-1][0] == "head" and tag not in _HEAD:
+            self.pop()
+
     def open(self, tag: str, attributes: str, closed: bool) -> None:
+        self.end_head(tag)
         if tag in _BLOCK:
             self.flush()
             self._imply_ends(tag)

@@ -107,3 +107,17 @@ def test_testdata_articles(spark):
     for p in pages:
         inside = p.html[p.html.index("<article>"):p.html.index("</article>")]
         assert got[p.page_id] == "\n\n".join(texts(inside))
+
+
+@pytest.mark.parametrize("start", ["<body>", "<body class=x>", ""])
+def test_head_without_its_end_tag(start):
+    head = "<!doctype html><html><head><meta charset=utf-8><link rel=x><title>no</title><style>p{}</style><script>no()</script>\n"
+    assert texts(head + start + "<p>a<p>b <b>c</b>") == ["a", "b c"]
+    assert texts(head + start + "plain <i>text</i>") == ["plain text"]
+    assert texts(head + "<noscript><link rel=y></noscript>" + start + "<div>a</div>") == ["a"]
+    assert texts(head + "<noscript><p>no</noscript><meta name=z></head>" + start + "<div>a</div>") == ["a"]
+
+
+def test_body_ends_what_is_open_in_a_head():
+    assert texts("<head><noscript><link rel=x><body><p>a</p>") == ["a"]
+    assert texts("<head><title>no</title></head><body><p>a<noscript>no</noscript>") == ["a"]
