@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from revscope.llm import forest, htmlmain, infill, langid, mixing, neardup, packing, passages, topk, toxicity, warc
+from revscope.llm import align, forest, htmlmain, infill, langid, mixing, neardup, packing, passages, topk, toxicity, warc
 from revscope.session import ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ def queries() -> dict[str, QueryFn]:
         "op8_passages": passages.op8_passages,
         "op9_packing": packing.op9_packing,
         "op10_mixing": mixing.op10_mixing,
+        "op11_align": align.op11_align,
         "op13_infill": infill.op13_infill,
         "pipeline": corpus_pipeline.run,
     }
@@ -41,4 +42,5 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL,
-            "op13_infill": infill.ORACLE_SQL}
+            "op11_align": align.op11_align,
+        "op13_infill": infill.ORACLE_SQL}
