@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from revscope.llm import align, forest, htmlmain, infill, langid, mixing, neardup, packing, passages, topk, toxicity, warc
+from revscope.llm import align, forest, htmlmain, infill, langid, mixing, neardup, packing, passages, suffix, topk, toxicity, warc
 from revscope.session import ensure_checkpoint_dir
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ def queries() -> dict[str, QueryFn]:
         "op9_packing": packing.op9_packing,
         "op10_mixing": mixing.op10_mixing,
         "op11_align": align.op11_align,
+        "op12_suffix": suffix.op12_suffix,
         "op13_infill": infill.op13_infill,
         "pipeline": corpus_pipeline.run,
     }
@@ -43,4 +44,5 @@ def queries() -> dict[str, QueryFn]:
 def oracle_sql() -> dict[str, str]:
     return {"op4_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL,
             "op11_align": align.op11_align,
+        "op12_suffix": suffix.op12_suffix,
         "op13_infill": infill.ORACLE_SQL}
