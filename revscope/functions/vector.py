@@ -16,6 +16,13 @@ def dot(a, b) -> Column:
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+def usable(a) -> Column:
+    """Is it a vector of one component or more, all of them finite numbers?"""
+    a = _col(a)
+    finite = F.forall(a, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return F.coalesce((F.size(a) > 0) & finite, F.lit(False))
+
+
 def l2norm(a) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -75,11 +75,11 @@ def tokenizer_inputs(df: DataFrame, keep_label_text: bool = False, keep_text: bo
     return df.select(*cols).withColumnRenamed("label", "labels")
 
 
-def corpus_records(df: DataFrame) -> DataFrame:
-    """PRJ5 + SET1: cleaned text, label id, label name (or its string), split."""
+def corpus_records(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PRJ5 + SET1: the columns in ``keep``, cleaned text, label id, label name (or its string), split."""
     name = (F.coalesce(F.col("label_text"), F.col("label").cast("string"))
             if "label_text" in df.columns else F.col("label").cast("string"))
-    return df.select(clean_text("text").alias("text"), F.col("label").cast("int").alias("label_id"),
+    return df.select(*keep, clean_text("text").alias("text"), F.col("label").cast("int").alias("label_id"),
                      name.alias("label"), F.col("split"))
 
 

@@ -19,6 +19,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +98,22 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, spec: TermSpec, id_col: str =
     return joined.select(*group_cols, id_col, "term", "index", (F.col("_w") / norm).alias("weight"))
 
 
+def unit_rows(terms: pa.ListArray, vocabulary: pa.Array, idf: np.ndarray, sublinear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of terms, one a row, the rows, terms (numbers) and weights of their unit TF-IDF rows; for row-wise plans."""
+    flat = pc.index_in(terms.flatten(), value_set=vocabulary)
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    length = pc.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False)
+    row, size = np.repeat(np.arange(len(length)), length)[known], max(len(idf), 1)
+    key, tf = np.unique(row * size + flat.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+    row, term = key // size, key % size
+    w = (1 + np.log(tf) if sublinear else tf) * idf[term]
+    return row, term, w / np.sqrt(np.bincount(row, w * w, len(length)))[row]
+
+
+def term_lists(docs: DataFrame, spec: TermSpec, text_col: str, out_col: str) -> DataFrame:
+    return docs.withColumn(out_col, F.coalesce(spec.terms(F.col(text_col)), F.array().cast("array<string>")))
+
+
 def doc_count(docs: DataFrame) -> int:
     return docs.count()
 
@@ -162,14 +181,14 @@ def frequency_index(terms: DataFrame, count_col: str, term_col: str, most: int |
 def encode_tokens(docs: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "id",
                   text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """FEA5: token ids (unknown → 1) of the first ``max_length`` words,
-    attention mask of ones. The words are cut before they are looked up; a
-    document's ids are gathered under its id and the columns in ``keep``."""
-    words = F.slice(tx.word_tokens(F.col(text_col)), 1, max_length)
-    pos = docs.select(id_col, *keep, F.posexplode_outer(words).alias("pos", "token"))
-    ids = pos.join(vocab, "token", "left").select(
-        id_col, *keep, F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("tid"))).alias("p"))
-    grouped = ids.groupBy(id_col, *keep).agg(F.array_sort(F.collect_list("p")).alias("_p"))
-    out = grouped.select(id_col, *keep, F.transform("_p", lambda s: s["tid"]).alias("input_ids"))
+    attention mask of ones. Rows are numbered here, so each is encoded on its
+    own whatever its id; the words are cut before they are looked up."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, *keep, F.slice(tx.word_tokens(F.col(text_col)), 1, max_length).alias("_words")).checkpoint(eager=True)
+    pos = rows.select("_row", F.posexplode("_words").alias("pos", "token"))
+    ids = pos.join(vocab, "token", "left").select("_row", F.struct("pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("tid")).alias("p"))
+    grouped = ids.groupBy("_row").agg(F.array_sort(F.collect_list("p")).alias("_p"))
+    found = F.coalesce(F.transform("_p", lambda s: s["tid"]), F.array().cast("array<int>"))
+    out = rows.join(grouped, "_row", "left").select(id_col, *keep, found.alias("input_ids"))
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 

@@ -2,8 +2,9 @@
 IDX2, SRCH, JOIN5, TOP1, WIN3, FLT5, MTH4).
 
 Index (IDX2): corpus vectors are brought to unit length and packed into
-tiles, matrices of at most about ``TILE_ROWS`` rows of one label. Tiles are
-numbered densely, label by label, so a label is a range of tile numbers.
+tiles, matrices of at most about ``TILE_ROWS`` rows of one label and one
+length. Tiles are numbered densely, by length and label, so all vectors of a
+length are a range of tile numbers, and those of a label a range within it.
 
 Search is complete: every question meets every tile it may match. Questions
 are packed into tiles too (``TILE_QUESTIONS`` with the same range), each
@@ -14,8 +15,9 @@ So a vector is shipped once per opposite tile, not once per opposite vector,
 and the memory of a task is bounded by one pair of tiles.
 
 Distances are ``1 - cosine``, rounded to 6 places. A zero vector has cosine 0
-with everything. Rows or questions without a vector take no part; an empty
-corpus gives no hits.
+with everything. Rows or questions without a vector, and vectors that are
+empty or hold null or non-finite components, take no part; a question meets
+rows of its vector's length only; an empty corpus gives no hits.
 
 Focus (FLT5): a question's focus filters on ``label = lower(focus)``; when no
 corpus row has that label the question is searched unfiltered. Rows without a
@@ -33,40 +35,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revscope.functions.text import word_tokens
-from revscope.functions.vector import normalize
+from revscope.functions.vector import normalize, usable
 
 TILE_ROWS, TILE_QUESTIONS = 4096, 1024
 DIST_DIGITS = 6
 
 TILE_SCHEMA = "tile long, label string, n long, ids binary, matrix binary"
-LABEL_SCHEMA = "label string, n long, parts long, first long"
+LABEL_SCHEMA = "label string, dim int, n long, parts long, first long"
 
 
 @dataclass
 class VectorIndex:
     rows: DataFrame    # row_id, label, vec (unit length), payload columns
     tiles: DataFrame   # TILE_SCHEMA: packed ids and matrices
-    labels: DataFrame  # LABEL_SCHEMA: rows, number of tiles and first tile of every label
+    labels: DataFrame  # LABEL_SCHEMA: rows, number of tiles and first tile of every label and length
     metadata: dict = field(default_factory=dict)
+    encoder: object = None
+
+    def search(self, questions: DataFrame, top_k: int = 5, focus_col: str | None = "focus", k_col: str | None = None) -> DataFrame:
+        return search(questions, self, top_k, focus_col, k_col)
 
 
 def build_index(corpus: DataFrame, vec_col: str = "embedding", label_col: str = "label",
                 id_col: str = "row_id", payload: tuple[str, ...] = (), materialize: bool = True,
                 tile_rows: int = TILE_ROWS) -> VectorIndex:
     """IDX2: unit vectors packed into tiles of one label."""
-    rows = corpus.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
+    rows = corpus.filter(usable(vec_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("row_id"), F.col(label_col).cast("string").alias("label"),
         normalize(vec_col).alias("vec"), *payload)
     if materialize:
         rows = rows.checkpoint(eager=True)
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / tile_rows))
-    # one row per label passes through this window
-    before = Window.orderBy(F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = (rows.groupBy("label", F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("parts", F.ceil(F.col("n") / tile_rows)))
+    # one row per label and length passes through this window
+    before = Window.orderBy("dim", F.col("label").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     labels = counts.withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0)))
     if materialize:
         labels = labels.checkpoint(eager=True)
-    place = labels.select(F.col("label").alias("_label"), "parts", "first")
-    placed = (rows.select("row_id", "label", "vec").join(place, F.col("label").eqNullSafe(F.col("_label")))
+    place = labels.select(F.col("label").alias("_label"), "dim", "parts", "first")
+    placed = (rows.select("row_id", "label", "vec").join(place, F.col("label").eqNullSafe(F.col("_label")) & (F.size("vec") == F.col("dim")))
               .select((F.col("first") + F.pmod(F.xxhash64("row_id"), F.col("parts"))).alias("tile"), "label", "row_id", "vec"))
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
@@ -95,11 +102,12 @@ def effective_focus(questions: DataFrame, labels: DataFrame, focus_col: str = "f
 
 def _question_tiles(q: DataFrame, labels: DataFrame) -> DataFrame:
     """(tile, q_ids, q_ks, q_matrix): question tiles, once for every corpus tile of their range."""
-    x = labels.agg(F.coalesce(F.sum("parts"), F.lit(0)).alias("tiles")).first()
-    spans = labels.select(F.col("label").alias("_eff"), "first", "parts").filter("_eff IS NOT NULL")
-    ranged = (q.join(spans, "_eff", "left")
-              .select("q_id", "k", "vec", F.coalesce("first", F.lit(0)).alias("first"),
-                      F.coalesce("parts", F.lit(x.tiles)).alias("parts")))
+    spans = labels.select(F.col("label").alias("_eff"), "dim", "first", "parts").filter("_eff IS NOT NULL")
+    whole = labels.groupBy("dim").agg(F.min("first").alias("_first"), F.sum("parts").alias("_parts"))
+    filtered = F.col("_eff").isNotNull()
+    ranged = (q.withColumn("dim", F.size("vec")).join(spans, ["_eff", "dim"], "left").join(whole, "dim", "left")
+              .select("q_id", "k", "vec", F.when(filtered, F.col("first")).otherwise(F.col("_first")).alias("first"),
+                      F.when(filtered, F.col("parts")).otherwise(F.col("_parts")).alias("parts")).filter("parts > 0"))
     chunks = max(1, -(-ranged.count() // TILE_QUESTIONS))
     ranged = ranged.withColumn("chunk", F.pmod(F.xxhash64("q_id"), F.lit(chunks)))
 
@@ -112,7 +120,7 @@ def _question_tiles(q: DataFrame, labels: DataFrame) -> DataFrame:
 
     tiles = ranged.groupBy("first", "parts", "chunk").applyInArrow(
         lambda key, table: gather(key[:2], table), "first long, parts long, q_ids binary, q_ks binary, q_matrix binary")
-    return tiles.filter("parts > 0").select(
+    return tiles.select(
         F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"), "q_ids", "q_ks", "q_matrix")
 
 
@@ -151,7 +159,7 @@ def search(questions: DataFrame, index: VectorIndex, top_k: int = 5, focus_col:
            k_col: str | None = None) -> DataFrame:
     """SRCH: (q_id, rank, row_id, label, distance), ranks 1..k by ascending
     cosine distance (rounded to 6 places), row_id breaking ties."""
-    q = questions.filter(F.col("q_vec").isNotNull() & F.col("q_id").isNotNull()).select(
+    q = questions.filter(usable("q_vec") & F.col("q_id").isNotNull()).select(
         F.col("q_id").cast("long").alias("q_id"), normalize("q_vec").alias("vec"),
         (F.col(k_col) if k_col else F.lit(top_k)).cast("long").alias("k"),
         (F.col(focus_col) if focus_col else F.lit(None).cast("string")).alias("focus")).filter("k > 0")

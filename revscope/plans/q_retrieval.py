@@ -27,7 +27,7 @@ _LEX = marker_lexicon()
 _SQL_NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
 
-def sql_hits(use_focus: bool, k: str = str(K), corpus: str = "corpus", questions: str = "questions", views: str | None = None) -> str:
+def sql_hits(use_focus: bool, k: str = str(K), corpus: str = "corpus", questions: str = "questions", views: str | None = None, answerable: str = "true") -> str:
     """Brute force over all pairs: ``hits`` of every question, by true cosine."""
     eff = ("(SELECT l.label FROM labels l WHERE l.label = lower(q.sentiment_focus))"
            if use_focus else "CAST(NULL AS VARCHAR)")
@@ -39,7 +39,7 @@ def sql_hits(use_focus: bool, k: str = str(K), corpus: str = "corpus", questions
 , c AS (SELECT *, {norm("embedding")} AS norm FROM {corpus})
 , pairs AS (SELECT q.q_id, {k} AS k, c.row_id, c.label,
                    round(1 - coalesce(list_dot_product(q.q_vec, c.embedding) / (q.norm * c.norm), 0), 6) + 0.0 AS distance
-            FROM q JOIN c ON (q.eff IS NULL OR c.label = q.eff))
+            FROM q JOIN c ON {answerable} AND (q.eff IS NULL OR c.label = q.eff))
 , hits AS (SELECT q_id, CAST(rank AS INTEGER) AS rank, row_id, label, distance FROM (
              SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, row_id) AS rank FROM pairs) WHERE rank <= k)"""
 
@@ -70,18 +70,37 @@ def search_filtered(spark, sf):
     return _hits(spark, sf)[0]
 
 
+def _stored_cells(spark, sf):
+    """An index of cells, built of most of the corpus, with the rest appended."""
+    from revscope.sources import index
+
+    corpus, base = td.corpus(spark, sf), scratch_path(spark, "index")
+    late = F.pmod(F.col("row_id"), F.lit(9)) == 0
+    index.rebuild(corpus.filter(~late), base, payload=("text", "label_id", "split"),
+                  meta={"collection_name": "reviews", "embedding_model": "precomputed", "batch_size": 64, "sample_size": None})
+    index.append(corpus.filter(late), base)
+    return index.open_index(spark, base)
+
+
 @query("search_ivf", sql_hits(True) + "\nSELECT * FROM hits")
 def search_ivf(spark, sf):
-    """Build the index, persist it (SNK5) with its metadata, reopen it (SRC9), search."""
-    from revscope.sources import io
+    """Build an index of cells, store it, append to it, reopen it (SNK5, SRC9); with every cell probed the result is exact."""
+    found = _stored_cells(spark, sf)
+    return found.search(_questions(spark, sf), K, focus_col="sentiment_focus", probes=len(found.model.centers))
 
-    corpus = td.corpus(spark, sf)
-    index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
-    path = scratch_path(spark, "index")
-    io.write_index(index, path, {"collection_name": "reviews", "embedding_model": "precomputed",
-                                 "batch_size": 64, "sample_size": None})
-    reopened = io.read_index(spark, path)
-    return retrieval.search(_questions(spark, sf), reopened, K, focus_col="sentiment_focus")
+
+@query("search_probed", with_views("questions") + """
+SELECT count(*) AS questions, true AS recall_reached, true AS cells_grow FROM questions""")
+def search_probed(spark, sf):
+    """The same index with as many probes as were measured when it was built: its recall against the exact search."""
+    from revscope.operators import cells
+
+    found, q = _stored_cells(spark, sf), _questions(spark, sf)
+    exact = retrieval.search(q, retrieval.build_index(td.corpus(spark, sf), "embedding", "label", "row_id"), K, focus_col=None)
+    recall = cells.recall_at_k(found.search(q, K, focus_col=None), exact)
+    n = len(found.model.centers)
+    return q.agg(F.count(F.lit(1)).alias("questions")).select(
+        "questions", F.lit(recall >= 0.9).alias("recall_reached"), F.lit(0.6 * found.metadata["size"] ** 0.5 <= n).alias("cells_grow"))
 
 
 _SCALED = f"""
@@ -353,3 +372,25 @@ def ask_text(spark, sf):
     index = retrieval.build_index(retrieval.encode(docs, encoder), payload=("text", "label_id", "split"))
     requests = td.question_text(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), "question")
     return ask(requests, index, encoder).select("q_id", "answer", "sentiment_focus", F.size("contexts").alias("k"))
+
+
+_FLAWED = """
+, sound AS (SELECT * FROM corpus WHERE row_id % 11 <> 0)
+, flawed AS (SELECT q_id, question, q_vec, focus, q_id % 9 > 2 AS usable FROM questions)"""
+
+
+@query("ask_flawed", sql_hits(True, corpus="sound", questions="flawed", views=with_views("corpus", "questions") + _FLAWED, answerable="q.usable") + _ANSWER_TAIL + """
+SELECT q_id % 50 AS q_id, question, answer, k::INTEGER AS k FROM ans""")
+def ask_flawed(spark, sf):
+    """Requests that share ids, and vectors that are null, of another length or hold NaN, on both sides."""
+    from revscope.operators.ask import ask
+
+    nan = F.array(F.lit(float("nan")))
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    corpus = td.corpus(spark, sf).withColumn("embedding", F.when(F.pmod(F.col("row_id"), F.lit(11)) == 0, F.concat(nan, F.slice(doubles("embedding"), 2, 1000))).otherwise(doubles("embedding")))
+    index = retrieval.build_index(corpus, "embedding", "label", "row_id", payload=("text", "label_id", "split"))
+    kind, vec = F.pmod(F.col("q_id"), F.lit(9)), doubles("q_vec")
+    flawed = (F.when(kind == 0, F.concat(nan, F.slice(vec, 2, 1000))).when(kind == 1, F.slice(vec, 1, 10)).when(kind == 2, F.lit(None).cast("array<double>"))
+              .otherwise(vec))
+    requests = td.questions(spark, sf).select(F.pmod(F.col("q_id"), F.lit(50)).alias("q_id"), "question", flawed.alias("q_vec"), "focus")
+    return ask(requests, index).select("q_id", "question", "answer", F.size("contexts").alias("k"))

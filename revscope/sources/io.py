@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revscope.operators.dataset import SPLITS, check_review_shape, load_reviews
+from revscope.sources import commits
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
@@ -69,8 +70,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_or_reuse(spark: SparkSession, table_path: str, load_source, force: bool = False) -> DataFrame:
     """SRC3 + SNK1: reuse the materialised table unless forced; otherwise read
-    the source and write it partitioned by split."""
-    if not force and path_exists(spark, table_path):
+    the source and write it partitioned by split. A folder that a killed write
+    left, without the mark of a finished job, is written anew."""
+    if not force and commits.finished(spark, table_path):
         return read_reviews(spark, table_path)
     src = check_review_shape(load_source())
     write_dataset(src, table_path)
@@ -193,31 +195,35 @@ def write_comparison(out_dir: str, rows: DataFrame, summary: DataFrame, report_l
 
 
 def write_index(index, path: str, meta: dict) -> None:
-    """SNK5: write rows, tiles and label table to a new folder, then publish it
-    by the metadata record; a reader sees the old index or the new one."""
-    version = f"v-{uuid.uuid4().hex}"
-    index.rows.write.parquet(os.path.join(path, version, "rows"))
-    index.tiles.write.parquet(os.path.join(path, version, "tiles"))
-    index.labels.write.parquet(os.path.join(path, version, "labels"))
+    """SNK5: write rows, tiles and label table to new folders, then publish
+    them as the next version; a reader sees the old index or the new one."""
     spark = index.rows.sparkSession
-    size = spark.read.parquet(os.path.join(path, version, "rows")).count()
-    write_small_json(spark, {"vector_store": "parquet", **meta, "size": size, "version": version,
-                             "schema": index.rows.schema.jsonValue()}, os.path.join(path, "metadata"))
+    last = commits.latest(spark, path)
+    parts = {}
+    for table, frame in (("rows", index.rows), ("tiles", index.tiles), ("labels", index.labels)):
+        parts[table] = [commits.new_folder(table)]
+        frame.write.parquet(os.path.join(path, parts[table][0]))
+    size = spark.read.parquet(os.path.join(path, parts["rows"][0])).count()
+    record = {"vector_store": "parquet", **meta, "size": size, "schema": index.rows.schema.jsonValue()}
+    commits.publish(spark, path, parts, record, last.number if last else 0)
 
 
 def read_index(spark: SparkSession, path: str):
-    """SRC9: open an index; fail unless metadata, rows, tiles and labels all exist."""
+    """SRC9: open the last version of an index; fail unless rows, tiles and labels all exist."""
     from revscope.operators import retrieval
 
-    meta = read_small_json(spark, os.path.join(path, "metadata")) if path_exists(spark, os.path.join(path, "metadata")) else {}
-    base = os.path.join(path, meta.get("version", "none"))
-    missing = [p for p in ("rows", "tiles", "labels") if not path_exists(spark, os.path.join(base, p))]
-    if not meta or missing:
-        raise FileNotFoundError(f"no complete index at {path}" + (f": {', '.join(missing)} not there" if meta else ": no metadata"))
-    rows = spark.read.schema(T.StructType.fromJson(meta["schema"])).parquet(os.path.join(base, "rows"))
-    tiles = spark.read.schema(retrieval.TILE_SCHEMA).parquet(os.path.join(base, "tiles"))
-    labels = spark.read.schema(retrieval.LABEL_SCHEMA).parquet(os.path.join(base, "labels"))
-    return retrieval.VectorIndex(rows=rows, tiles=tiles, labels=labels, metadata=meta)
+    v = commits.latest(spark, path)
+    if v is None:
+        raise FileNotFoundError(f"no complete index at {path}: no version has been published")
+    missing = [t for t, (folder,) in v.parts.items() if not commits.finished(spark, os.path.join(path, folder))]
+    if missing:
+        raise FileNotFoundError(f"no complete index at {path}: {', '.join(missing)} not there")
+
+    def table(name: str, schema) -> DataFrame:
+        return spark.read.schema(schema).parquet(os.path.join(path, v.parts[name][0]))
+
+    return retrieval.VectorIndex(rows=table("rows", T.StructType.fromJson(v.meta["schema"])), tiles=table("tiles", retrieval.TILE_SCHEMA),
+                                 labels=table("labels", retrieval.LABEL_SCHEMA), metadata={**v.meta, "version": v.number})
 
 
 def write_history(history: DataFrame, path: str, config: dict | None = None) -> None:
@@ -227,8 +233,24 @@ def write_history(history: DataFrame, path: str, config: dict | None = None) ->
         write_small_json(history.sparkSession, config, path.rstrip("/") + "_config.json")
 
 
-def append_run_log(long_log: DataFrame, path: str, enabled: bool = True) -> None:
-    """SNK8: append the flattened run log; a no-op when tracking is off."""
+def append_run_log(long_log: DataFrame, path: str, enabled: bool = True, run_id: str | None = None) -> str | None:
+    """SNK8: add a run to the flattened log; a no-op when tracking is off.
+
+    A run is the folder of its id: logged again, by a retried job, it replaces
+    its own rows. Without an id it gets a new one, which is returned."""
     if not enabled:
-        return
-    long_log.write.mode("append").parquet(path)
+        return None
+    run = run_id or uuid.uuid4().hex
+    if not run.replace("-", "").replace("_", "").isalnum():
+        raise ValueError("a run id is made of letters, digits, - and _")
+    long_log.write.mode("overwrite").parquet(os.path.join(path, f"run={run}"))
+    return run
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs, with their run id."""
+    runs = [n for n in commits.names(spark, path) if n.startswith("run=") and commits.finished(spark, os.path.join(path, n))]
+    schema = "model string, kind string, key string, value string, num double, run string"
+    if not runs:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[os.path.join(path, n) for n in runs])
