@@ -95,6 +95,10 @@ def duplicated_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.orderBy(F.asc_nulls_first(text_col))
 
 
+#: Bins of the histogram that finds where a sample ends.
+BINS = 1 << 16
+
+
 def sample_key(id_col, seed: int = DEFAULT_SEED) -> F.Column:
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.md5(F.concat(c.cast("string"), F.lit(f"-{seed}")))
@@ -102,11 +106,29 @@ def sample_key(id_col, seed: int = DEFAULT_SEED) -> F.Column:
 
 def sample_per_split(df: DataFrame, n: int | None, split_col: str = "split",
                      id_col: str = "id", seed: int = DEFAULT_SEED) -> DataFrame:
-    """LIM1: at most n rows per split, seeded, deterministic; n=None → all."""
+    """LIM1: at most n rows per split, seeded, deterministic; n=None → all.
+
+    The n rows of least (md5 key, id) of each split. A histogram of the keys'
+    first hex digits, ``BINS`` numbers a split, tells in which bin the n-th
+    row lies; rows of lower bins are taken as they are, and only those of that
+    bin are ranked, so n rows never meet in one task.
+    """
     if n is None:
         return df
-    w = Window.partitionBy(split_col).orderBy(sample_key(id_col, seed), F.col(id_col))
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    key = sample_key(id_col, seed)
+    digits = F.conv(F.substring(key, 1, 5), 16, 10).cast("long")
+    # null ids stand before all others
+    binned = df.withColumn("_bin", F.when(key.isNull(), F.lit(-1)).otherwise(F.floor(digits * BINS / (1 << 20))).cast("long"))
+    before = Window.partitionBy(split_col).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    limits = (binned.groupBy(split_col, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+              .filter((F.col("_before") < n)).groupBy(F.col(split_col).alias("_split"))
+              .agg(F.max_by(F.struct("_bin", "_before", "_n"), "_bin").alias("_last")))
+    placed = binned.join(limits, F.col(split_col).eqNullSafe(F.col("_split"))).filter(F.col("_bin") <= F.col("_last._bin"))
+    edge = (F.col("_bin") == F.col("_last._bin")) & (F.col("_last._before") + F.col("_last._n") > n)
+    w = Window.partitionBy(split_col).orderBy(key, F.col(id_col))
+    ranked = placed.filter(edge).withColumn("_rn", F.row_number().over(w)).filter(F.col("_last._before") + F.col("_rn") <= n)
+    return placed.filter(~edge).select(*df.columns).union(ranked.select(*df.columns))
 
 
 def sample_examples(df: DataFrame, *, label_value=None, label_col: str = "label_text",

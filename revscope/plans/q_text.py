@@ -106,3 +106,34 @@ def validate_requests(spark, sf):
         .otherwise((F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(23)) - 1).cast("int"))
     reqs = q.select("conv_id", "turn", "question", top_k.alias("top_k"))
     return rq.validate_ask(reqs)
+
+
+SQL_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
+
+
+@query("infer_focus_table", with_views("question_text", "all_docs") + f"""
+, words AS (SELECT DISTINCT unnest({SQL_WORDS}) AS marker FROM benchmark)
+, lexicon AS (SELECT marker, ['negative', 'neutral', 'positive'][length(marker) % 3 + 1] AS focus, CAST(length(marker) % 7 AS INTEGER) AS priority FROM words)
+, ranks AS (SELECT focus, min(priority) AS priority FROM lexicon GROUP BY focus)
+, found AS (SELECT q.conv_id, q.turn, min(struct_pack(p := r.priority, f := r.focus)) AS best
+            FROM question_text q JOIN lexicon l ON contains(lower(q.question), l.marker) JOIN ranks r ON l.focus = r.focus GROUP BY q.conv_id, q.turn)
+SELECT q.conv_id, q.turn, found.best.f AS focus FROM question_text q LEFT JOIN found ON q.conv_id = found.conv_id AND q.turn = found.turn""")
+def infer_focus_table(spark, sf):
+    """The focus of every question by a lexicon that is a table: all words of the benchmark texts."""
+    from revscope.operators import lexicon
+
+    words = td.table(spark, sf, "benchmark").select(F.explode(tx.word_tokens("text")).alias("marker")).distinct()
+    size = F.length("marker")
+    focus = F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (F.pmod(size, F.lit(3)) + 1).cast("int"))
+    table = words.select("marker", focus.alias("focus"), F.pmod(size, F.lit(7)).cast("int").alias("priority"))
+    return lexicon.infer_focus(td.question_text(spark, sf).select("conv_id", "turn", "question"), table).select("conv_id", "turn", "focus")
+
+
+@query("marker_counts", with_views("question_text") + f"""
+, words AS (SELECT DISTINCT unnest({SQL_WORDS}) AS marker FROM benchmark)
+SELECT w.marker, count(q.question) AS texts FROM words w LEFT JOIN question_text q ON contains(lower(q.question), w.marker) GROUP BY w.marker""")
+def marker_counts(spark, sf):
+    from revscope.operators import lexicon
+
+    words = td.table(spark, sf, "benchmark").select(F.explode(tx.word_tokens("text")).alias("marker"))
+    return lexicon.marker_counts(td.question_text(spark, sf), words)
