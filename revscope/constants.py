@@ -28,6 +28,7 @@ DEFAULT_SEED = 42
 DEFAULT_TOP_K = 5
 MAX_TOP_K = 20
 DEFAULT_GENERATION_MODE = "auto"
+DEFAULT_GENERATOR_TIMEOUT = 45.0
 GENERATION_MODES = ("auto", "extractive", "llm")
 KEYPHRASE_MAX_FEATURES = 1000
 KEYPHRASE_TOP_N = 5

@@ -169,18 +169,25 @@ def scored_from_logits(df: DataFrame, logits_col: str = "logits") -> DataFrame:
     return df.withColumn("probs", softmax(logits_col)).withColumn("pred", argmax(logits_col))
 
 
+#: The loss of a probability of 0, as binary cross-entropy clamps its logarithms.
+MAX_LOSS = 100.0
+
+
 def batched_log_loss(df: DataFrame, probs_col: str = "probs", label_col: str = "label",
                      pos_col: str = "pos", batch_size: int = 16, by: list[str] | None = None) -> DataFrame:
     """AGG14: mean of per-batch mean cross-entropy (a short last batch weighs
     the same as a full one) and the plain row mean.
 
-    ``pos`` is the dense 0-based position in evaluation order.
+    ``pos`` is the dense 0-based position in evaluation order. A true class of
+    probability 0 costs ``MAX_LOSS``; a row without a probability for its
+    label has no loss and counts in no mean.
     """
     by = by or []
-    ce = -F.log(F.try_element_at(F.col(probs_col), F.col(label_col).cast("int") + 1))
+    p = F.try_element_at(F.col(probs_col), F.col(label_col).cast("int") + 1)
+    ce = F.when(p > 0, F.least(-F.log(p), F.lit(MAX_LOSS))).when(p.isNotNull(), F.lit(MAX_LOSS))
     rows = df.select(*by, F.floor(F.col(pos_col) / batch_size).alias("batch"), ce.alias("ce"))
     per_batch = rows.groupBy(*by, "batch").agg(F.avg("ce").alias("b"), F.sum("ce").alias("s"),
-                                               F.count(F.lit(1)).alias("c"))
+                                               F.count("ce").alias("c"))
     aggs = [F.avg("b").alias("loss"), (F.sum("s") / F.sum("c")).alias("row_mean_loss"),
             F.count(F.lit(1)).alias("batches")]
     return per_batch.groupBy(*by).agg(*aggs) if by else per_batch.agg(*aggs)

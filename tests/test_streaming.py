@@ -32,6 +32,43 @@ def test_stream_predict_equals_batch_and_goes_on_after_a_restart(spark):
     assert spark.read.parquet(at["dead_dir"]).count() == 7
 
 
+def test_a_replayed_batch_adds_nothing(spark):
+    rows = [(i, t, i % 3) for i, t in enumerate(["good great", "bad awful", "okay plain", ""] * 6)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    m = md.fit_baseline(train, md.BaselineConfig(feature_mode="word", max_iter=20))
+    src, at = folders(spark)
+    train.write.parquet(os.path.join(src, "a"))
+    jobs.stream_predict(spark, src + "/*", SCHEMA, m, **at).awaitTermination()
+    # as after a crash between the sink's log and the checkpoint's: the batch is run again
+    for kind in ("scored", "rejected"):
+        folder = os.path.join(at["checkpoint_dir"], kind, "commits")
+        for name in os.listdir(folder):
+            os.remove(os.path.join(folder, name))
+    job = jobs.stream_predict(spark, src + "/*", SCHEMA, m, **at)
+    job.awaitTermination()
+    assert spark.read.parquet(at["out_dir"]).count() == 18 and spark.read.parquet(at["dead_dir"]).count() == 6
+    assert not job.isActive and job.exception() is None
+
+
+def test_scoring_moves_no_rows(spark):
+    train = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(["good great", "bad awful", "okay plain"] * 6)], SCHEMA)
+    m = md.fit_baseline(train, md.BaselineConfig(max_iter=20))
+    plan = md.predict(m, train, keep=("id",))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_stream_ask_answers_requests_that_share_an_id(spark):
+    corpus = spark.createDataFrame([(1, "positive", [1.0, 0.0], "good", 2, "train"), (2, "negative", [0.0, 1.0], "bad", 0, "train")],
+                                   "row_id long, label string, embedding array<double>, text string, label_id int, split string")
+    idx = retrieval.build_index(corpus, payload=("text", "label_id", "split"))
+    schema = "q_id long, question string, q_vec array<double>, top_k int"
+    src, at = folders(spark)
+    spark.createDataFrame([(7, "about good", [1.0, 0.0], 1), (7, "about bad", [0.0, 1.0], 1), (None, "any", [0.1, 1.0], 1)], schema).write.parquet(os.path.join(src, "a"))
+    jobs.stream_ask(spark, src + "/*", schema, idx, **at).awaitTermination()
+    got = {(r.q_id, r.question): r.contexts[0].text for r in spark.read.parquet(at["out_dir"]).collect()}
+    assert got == {(7, "about good"): "good", (7, "about bad"): "bad", (None, "any"): "bad"}
+
+
 def test_stream_ask_uses_the_request_mode_and_the_focus_of_the_question(spark):
     corpus = spark.createDataFrame([(1, "positive", [1.0, 0.0], "good", 2, "train"), (2, "negative", [0.0, 1.0], "bad", 0, "train")],
                                    "row_id long, label string, embedding array<double>, text string, label_id int, split string")
