@@ -34,13 +34,19 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         tasks = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
         df = df.coalesce(tasks) if tasks < shuffle_partitions(spark) else df
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files go once the driver has collected the plans of finished jobs; a chain of
-    # written tables would otherwise keep them all
-    spark.sparkContext._jvm.System.gc()
+    # the shuffle files of this write go as soon as it is done; a chain of written tables would keep them all
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -180,27 +186,58 @@ def possible(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 24, he
     return marked.filter(F.coalesce(is_set, F.lit(False)) == F.lit(held)).drop("_bit", "_bucket", "_place", "_bits")
 
 
-#: Bits of the set that stands for a node's elements, and nodes of a bucket in one tile.
+#: Least bits of the set that stands for a node's elements, and nodes of a bucket in one tile.
 SET_BITS, TILE = 1024, 256
 
 
 def set_bits(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Per row its elements (hashes ``h`` from ``first`` on) as a set of ``SET_BITS`` bits."""
-    out, bit = [], (h % np.uint64(SET_BITS)).astype(np.int64)
-    for lo in range(0, len(first) - 1, 1024):
-        edge = first[lo:lo + 1025]
-        dense = np.zeros((len(edge) - 1, SET_BITS), bool)
-        dense[np.repeat(np.arange(len(edge) - 1), np.diff(edge)), bit[edge[0]:edge[-1]]] = True
-        out += [row.tobytes() for row in np.packbits(dense, axis=1)]
+    """Per row its elements (hashes ``h`` from ``first`` on) as a set of bits.
+
+    A set has two bits for each element at least, and a power of two of them,
+    so that large sets can be ruled out as well as small ones.
+    """
+    count = np.diff(first)
+    width = np.maximum(SET_BITS, 1 << np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64))
+    out: list[bytes] = [b""] * len(count)
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        for lo in range(0, len(rows), step := max(1, (1 << 20) // w)):
+            some = rows[lo:lo + step]
+            n = count[some]
+            dense = np.zeros((len(some), w), bool)
+            at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            dense[np.repeat(np.arange(len(some)), n), (h[at] % np.uint64(w)).astype(np.int64)] = True
+            for r, packed in zip(some.tolist(), np.packbits(dense, axis=1, bitorder="little"), strict=True):
+                out[r] = packed.tobytes()
     return out
 
 
-def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+def edits_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Elements that stand in one of two sets only, at most, if ``least`` of a sequence is left by edits of one element each."""
+    return 2 * ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.int64)
+
+
+def jaccard_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Elements that stand in one of two sets only, at most, if their Jaccard similarity is ``least``."""
+    return ((1 - least) / (1 + least) * (a + b) + 1e-9).astype(np.int64)
+
+
+def _folded_sets(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Words of 64 bits of each set, and for each such number all larger sets folded to it (others are empty)."""
+    width = np.array([len(b) // 8 for b in bits])
+    folded = {}
+    for w in np.unique(width).tolist():
+        folded[w] = np.zeros((len(bits), w), np.uint64)
+        for i in np.flatnonzero(width >= w):
+            folded[w][i] = np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, w), axis=0)
+    return width, folded
+
+
+def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float, apart: Callable) -> DataFrame:
     """Pairs (a, b) of nodes of one bucket and of two components, but for those whose sets rule ``least`` out.
 
-    ``members`` has key, node, component and n, the nodes of the bucket. What
-    stands in one thing only is at most 1 - ``least`` of the larger one, so
-    two bits sets that differ by more are of unlike things. Buckets are cut
+    ``members`` has key, node, component and n, the nodes of the bucket.
+    ``apart`` says how many elements of two sets may differ. Buckets are cut
     into tiles by the node's hash; a row holds two tiles of a bucket.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,19 +245,19 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi, rows in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("rows"), strict=True):
                 tile, node, component, size, bits = rows.values.flatten()
-                tile, node, component, size = (np.asarray(c) for c in (tile, node, component, size))
-                bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(node), -1)
-                held = np.bitwise_count(bits).sum(1).astype(np.int64)
+                tile, node, component, size = (np.asarray(c).astype(np.int64) for c in (tile, node, component, size))
+                width, folded = _folded_sets(bits.to_pylist())
                 x, y = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
                 for at, i in enumerate(x):
-                    other = y[at + 1:] if lo == hi else y
-                    other = other[component[other] != component[i]]
-                    most = ((1 - least) * np.maximum(size[other], size[i]) + 1e-9).astype(np.int64)
-                    other, most = (c[np.abs(size[other] - size[i]) <= most] for c in (other, most))
-                    apart = np.bitwise_count(bits[other] ^ bits[i]).sum(1).astype(np.int64)
-                    other = other[apart + np.abs(held[other] - held[i]) <= 2 * most]
-                    a.append(np.maximum(node[other], node[i]))
-                    b.append(np.minimum(node[other], node[i]))
+                    others = y[at + 1:] if lo == hi else y
+                    others = others[component[others] != component[i]]
+                    others = others[np.abs(size[others] - size[i]) <= apart(size[others], size[i], least)]
+                    for w in np.unique(np.minimum(width[others], width[i])).tolist():
+                        some = others[np.minimum(width[others], width[i]) == w]
+                        differ = np.bitwise_count(folded[w][some] ^ folded[w][i]).sum(1).astype(np.int64)
+                        some = some[differ <= apart(size[some], size[i], least)]
+                        a.append(np.maximum(node[some], node[i]))
+                        b.append(np.minimum(node[some], node[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     tiles = F.ceil(F.col("n") / TILE).cast("int")
@@ -232,40 +269,43 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame
     return pairs.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float) -> DataFrame:
+def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float, apart: Callable) -> DataFrame:
     """Verified links (a, b) that join what all pairs of nodes (node, sketch, size, bits) that share a sketch entry would.
 
-    In a bucket (entry number, value) every node is paired with one hub, the
-    smallest node; ``verify`` takes pairs (a, b) and returns those that hold,
-    which must have ``least`` of their elements in common. Buckets that still
-    hold nodes of several components are paired with a second hub, the node
-    with most links so far. So n copies of one thing cost n pairs, and a thing
-    with many copies that are unlike each other 2 n. Of what is left all pairs
-    of two components are verified that their bit sets do not rule out.
+    In a bucket (entry number, value) every node is paired with a
+    representative; ``verify`` takes pairs (a, b) and returns those that hold,
+    whose sets differ as ``apart`` allows at most. The first representative is
+    the smallest node. In buckets that still hold several components the next
+    one is the node that shares the most such buckets with the most others: of
+    one original and its many copies, unlike each other, that is the original.
+    So n copies of one thing cost n pairs, and such a group 2 n. Of what is
+    left all pairs of two components are verified that their sets do not rule
+    out.
     """
     members = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "node")
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
     met = stored(members.join(hubs, "key"), f"{name}-met", n_sketch * nodes.count())
     rows = met.count()
-    found = stored(verify(met.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), f"{name}-links", rows)
+    # verification is the work: its tasks are as many as the pairs fill, the few links are gathered afterwards
+    found = stored(verify(met.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).hint("rebalance"), f"{name}-links")
     for last in (False, True):
         joined = components(found, f"{name}-classes")
         state = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         state = stored(state, f"{name}-state", rows)
-        apart = (state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-                 .filter("lo != hi").select("key", "n"))
-        met = stored(state.join(apart, "key").select("key", "node", "component", "n"), f"{name}-apart", rows)
+        several = (state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+                   .filter("lo != hi").select("key", "n"))
+        met = stored(state.join(several, "key").select("key", "node", "component", "n"), f"{name}-apart", rows)
         rows = met.count()
         if not rows:
             break
         if last:
-            pairs = stored(_tile_pairs(met, nodes, least), f"{name}-pairs")
+            pairs = stored(_tile_pairs(met, nodes, least, apart), f"{name}-pairs")
         else:
-            ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-            ranked = met.join(ends, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "component")).alias("hub"))
+            known = met.groupBy("node").agg(F.sum("n").alias("met"))
+            ranked = met.join(known, "node").groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("hub"))
             pairs = (met.join(ranked, "key").filter(F.col("component") != F.col("hub.component"))
                      .select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
-        found = found.union(stored(verify(pairs), f"{name}-links", rows))
+        found = found.union(stored(verify(pairs).hint("rebalance"), f"{name}-links"))
     return found
 
 

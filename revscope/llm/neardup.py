@@ -13,8 +13,8 @@ collide (tests/llm/test_neardup.py).
 Equal texts are one node from the start. Every two nodes that collide are linked
 if the edit similarity of their word sequences, found by banded alignment, is
 0.8 or more. Pairs that other links join already are spared: in a bucket every
-node is first compared with a hub, the smallest node, then, where several
-components are left, with the node of most links, and then all pairs of two
+node is first compared with the smallest node, then, where several components
+are left, with the node that meets most others, and then all pairs of two
 components are compared, but for those whose sets of words rule 0.8 out. So a
 bucket of n copies costs n comparisons.
 Links make components; a class is named by its smallest document id.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, hub_links, mix, possible, seeds, set_bits, shingle_hashes, signed, stored, text_blocks, word_hashes
+from revscope.llm.common import components, edits_apart, hub_links, mix, possible, seeds, set_bits, shingle_hashes, signed, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 K, PICKED, SKETCHES = 5, 2, 16
@@ -257,7 +257,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi").select("node", "text"), "texts"))
         return _verified(pairs, texts[0])
 
-    return hub_links(nodes.select("node", "sketch", F.col("n").alias("size"), "bits"), verify, ENTRIES, "documents", SIMILARITY)
+    return hub_links(nodes.select("node", "sketch", F.col("n").alias("size"), "bits"), verify, ENTRIES, "documents", SIMILARITY, edits_apart)
 
 
 def classes(docs: DataFrame) -> DataFrame:

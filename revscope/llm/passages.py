@@ -5,14 +5,18 @@ paragraphs of the small scale: a block begins where a word pair's hash is the
 least within ``RADIUS`` words to either side, so that a passage is cut alike
 wherever it stands. Words are runs of letters and digits.
 
-Blocks hold a dozen words, where a Jaccard similarity of 0.8 over five-word
-shingles leaves room for hardly any change; they have one band, the hash of
-all their words, and repeat if equal. Neighbouring repeated blocks form runs,
-and runs of ``MIN_WORDS`` words and more are repeated passages. Paragraphs
-that hold a repeated block are banded by MinHash: ``BANDS`` bands of ``ROWS``
-rows find a pair of similarity 0.8 with probability 1 - (1 - 0.8**3)**10 =
-0.9992; colliding paragraphs that no other links join are verified by their
-exact Jaccard similarity.
+Lines of fewer than ``K`` words go on with the line before them, so that verse
+and lists are cut as prose is. Blocks hold a dozen words, where a Jaccard
+similarity of 0.8 over five-word shingles leaves room for hardly any change;
+they have one band, the hash of all their words, and repeat if equal.
+Neighbouring repeated blocks form runs, and runs of ``MIN_WORDS`` words and
+more are repeated passages. Paragraphs of ``MIN_WORDS`` words are banded by
+MinHash: ``BANDS`` bands of ``ROWS`` rows find a pair of similarity 0.8 with
+probability 1 - (1 - 0.8**3)**10 = 0.9992. Only those are banded that hold a
+repeated block, or one of whose ``ANCHORS`` shingles of least hash another
+document has: a pair of similarity 0.8 has one in common with probability
+1 - 0.2**3 = 0.992. Colliding paragraphs that no other links join are verified
+by their exact Jaccard similarity.
 
 Runs and links make components, the passages. Of every repeated block the
 first instance (smallest document id, first place) is kept, and of every
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, hub_links, mix, possible, seeds, set_bits, shingle_hashes, signed, slices, stored, text_blocks, word_hashes
+from revscope.llm.common import components, hub_links, jaccard_apart, mix, possible, seeds, set_bits, shingle_hashes, signed, slices, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 RADIUS, K, MIN_WORDS = 4, 5, 16
@@ -41,6 +45,8 @@ BANDS, ROWS, SIMILARITY = 10, 3, 0.8
 _LAST = (1 << 63) - 1
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 _BLOCK = "key:long,line:int,start:int,end:int,words:int"
+#: Shingles of a line, each the least under a hash of its own, of which another document must have one for the line to be banded.
+ANCHORS = 3
 
 
 def _folded(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -82,27 +88,59 @@ class _Lines:
     def blocks(self) -> np.ndarray:
         """Index of the first word of every content-defined block."""
         n = len(self.h)
+        lines = np.flatnonzero(self.new_line)
+        # lines of fewer words go on with what stands before them
+        own = np.zeros(n, bool)
+        own[lines] = np.diff(np.append(lines, n)) >= K
+        own[self.first[:-1][np.diff(self.first) > 0]] = True
         pair = self.h.copy()
-        pair[:-1] += np.where(self.new_line[1:], np.uint64(0), self.h[1:] * np.uint64(0x9E3779B97F4A7C15))
+        pair[:-1] += np.where(own[1:], np.uint64(0), self.h[1:] * np.uint64(0x9E3779B97F4A7C15))
         v = mix(pair)
         least = np.ones(n, bool)
-        number = np.cumsum(self.new_line)
+        number = np.cumsum(own)
         for s in range(1, min(RADIUS, n - 1) + 1):
             together = number[s:] == number[:-s]
             least[s:] &= ~together | (v[s:] < v[:-s])
             least[:-s] &= ~together | (v[:-s] <= v[s:])
         # near the ends of a line a least word would leave a scrap
         at = np.arange(n)
-        begins = np.flatnonzero(self.new_line)
+        begins = np.flatnonzero(own)
         ends = np.append(begins[1:], n)
-        inner = (at - begins[number - 1] >= RADIUS) & (ends[number - 1] - at > RADIUS)
-        return np.flatnonzero(self.new_line | (least & inner))
+        inner = (at - begins[number - 1] >= K) & (ends[number - 1] - at >= K)
+        return np.flatnonzero(own | (least & inner))
 
 
 def _document(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _anchors(lines: _Lines) -> tuple[pa.StructArray, np.ndarray]:
+    """Anchors (line, h) of all lines of ``MIN_WORDS`` words, and where those of each row begin and end."""
+    first = np.flatnonzero(lines.new_line)
+    end = np.append(first[1:], len(lines.h))
+    long = end - first >= MIN_WORDS
+    first, end = first[long], end[long]
+    shingles = _runs(lines.h)
+    row, line, found = lines.row[first], lines.line[first], []
+    if len(first):
+        edges = np.stack([first, end - K + 1], 1).ravel()
+        for seed in seeds(ANCHORS, 9):
+            h = mix((shingles ^ seed) * (seed | np.uint64(1)))
+            # of the spans [first, end - K] only; reduceat also reduces what lies between them
+            found.append(np.minimum.reduceat(np.append(h, np.uint64(2**64 - 1)), edges)[::2])
+    h = np.stack(found, 1).ravel() if found else np.zeros(0, np.uint64)
+    pairs = pa.StructArray.from_arrays([pa.array(np.repeat(line, ANCHORS), pa.int32()), pa.array(signed(h))], ["line", "h"])
+    return pairs, np.searchsorted(np.repeat(row, ANCHORS), np.arange(len(lines.offsets)))
+
+
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``K`` words from every word on, as far as they go."""
+    out = h.copy()
+    for j in range(1, min(K, len(h))):
+        out[:len(h) - j] = out[:len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:]
+    return mix(out)
+
+
 def block_table(docs: DataFrame) -> DataFrame:
     """Per document: doc, id and its blocks of five words and more (number, key, line, place, words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +154,16 @@ def block_table(docs: DataFrame) -> DataFrame:
                     counts = np.searchsorted(first, lines.first)
                 else:
                     columns, counts = [np.zeros(0, np.int64)] * 5, np.zeros(hi - lo + 1, np.int64)
+                anchors, at = _anchors(lines)
                 names = [x.split(":")[0] for x in _BLOCK.split(",")]
                 kinds = [pa.int64()] + [pa.int32()] * 4
                 rows = pa.StructArray.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)], names)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc", "id")] + [pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows)],
-                                                 ["doc", "id", "blocks"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in ("doc", "id")] + [pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows), pa.ListArray.from_arrays(pa.array(at, pa.int32()), anchors)],
+                                                 ["doc", "id", "blocks", "anchors"])
 
     rows = docs.select(_document(F.col("doc_id"), F.col("text")).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc long, id long, blocks array<struct<{_BLOCK}>>")
+    return rows.mapInArrow(run, f"doc long, id long, blocks array<struct<{_BLOCK}>>, anchors array<struct<line:int,h:long>>")
 
 
 def _paragraphs(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,7 +231,11 @@ def passages(docs: DataFrame) -> DataFrame:
              .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), F.min("head").alias("head"))
              .join(named, F.col("head") == F.col("node"), "left").withColumn("passage", F.coalesce("component", "head")).withColumn("kind", F.lit("run")).select(*_SPAN))
 
-    wanted = hits.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    # lines that may be like one of another document: they hold a repeated block or have a shingle of least hash in common
+    anchors = base.select("doc", F.explode("anchors").alias("x")).select("doc", "x.*")
+    met = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z").select("h")
+    wanted = hits.select("doc", "line").union(anchors.join(met, "h", "left_semi").select("doc", "line")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    wanted = stored(wanted, "wanted-lines")
     lines = stored(_paragraphs(docs, wanted).dropDuplicates(["doc", "start"]), "paragraphs")
     nodes = stored(lines.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "paragraph-nodes")
 
@@ -202,7 +245,7 @@ def passages(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("x", "y"))
         return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    joined = components(hub_links(nodes.select("node", "sketch", F.size("shingles").alias("size"), "bits"), verify, BANDS, "paragraph", SIMILARITY), "paragraph-components")
+    joined = components(hub_links(nodes.select("node", "sketch", F.size("shingles").alias("size"), "bits"), verify, BANDS, "paragraph", SIMILARITY, jaccard_apart), "paragraph-components")
     members = lines.select("doc", "id", "node", "start", "end", "words").join(joined, "node")
     first = members.groupBy("component").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z")
     near = (members.join(first, "component").withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))

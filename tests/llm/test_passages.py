@@ -97,3 +97,65 @@ def test_cut_keeps_lines():
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert passages.passages(df).count() == 0 and passages.without_repeats(df).count() == 0
+
+
+def lines_of(rng, words, low, high):
+    out, words = [], list(words)
+    while words:
+        n = rng.randint(low, high)
+        out.append(" ".join(words[:n]))
+        words = words[n:]
+    return "\n".join(out)
+
+
+def test_passages_of_short_lines_are_found(spark):
+    rng = random.Random(6)
+    rows, whole = [], {}
+    for j, (low, high) in enumerate([(1, 4), (3, 4), (2, 3), (1, 12), (4, 5)]):
+        p = lines_of(rng, text_of(rng, 80).split(" "), low, high)
+        for i in (10 * j, 10 * j + 1):
+            rows.append((i, text_of(rng, 30) + "\n" + p + "\n" + lines_of(rng, text_of(rng, 40).split(" "), low, high)))
+            whole[i] = p
+    got = passages.passages(spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], SCHEMA)).filter("NOT kept").collect()
+    text = dict(rows)
+    for i in whole:
+        mine = [r for r in got if r.id == i]
+        if i % 10 == 0:
+            assert not mine
+            continue
+        covered = set()
+        for r in mine:
+            covered.update(range(r.start, r.end))
+        at = text[i].index(whole[i])
+        inside = sum(x in covered for x in range(at, at + len(whole[i])))
+        assert inside >= 0.75 * len(whole[i]) and len(covered) - inside <= 12, i
+
+
+def test_recall_of_near_equal_lines(spark):
+    rng = random.Random(7)
+    rows, pairs = [], {}
+
+    def jaccard(a, b):
+        grams = [{tuple(t.lower().replace(".", "").replace(",", "").split(" ")[i:i + 5]) for i in range(len(t.split(" ")) - 4)} for t in (a, b)]
+        return len(grams[0] & grams[1]) / len(grams[0] | grams[1])
+
+    for kind, (n, edits) in enumerate([(16, [15]), (24, [0, 23]), (40, [39]), (60, [30])]):
+        for k in range(60):
+            words = text_of(rng, n).split(" ")
+            other = list(words)
+            for e in edits:
+                other[e] = f"other{rng.randrange(10**6)}"
+            a, b = " ".join(words), " ".join(other)
+            i = 1000 * kind + 2 * k
+            rows += [(i, a + "\n" + text_of(rng, 20)), (i + 1, text_of(rng, 20) + "\n" + b)]
+            assert jaccard(a, b) >= 0.8
+            pairs[i] = kind
+    got = passages.passages(spark.createDataFrame([(i, t, None, None, None, None) for i, t in rows], SCHEMA)).filter("kind = 'paragraph'").collect()
+    joined = {}
+    for r in got:
+        joined.setdefault(r.passage, set()).add(r.id)
+    together = {frozenset(x) for x in joined.values()}
+    assert all(len(x) == 2 and max(x) - min(x) == 1 for x in together)  # nothing else is joined
+    for kind in range(4):
+        mine = [i for i, k in pairs.items() if k == kind]
+        assert sum(frozenset((i, i + 1)) in together for i in mine) >= 0.9 * len(mine), kind
