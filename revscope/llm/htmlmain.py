@@ -14,9 +14,10 @@ whose own markup names the article and the parts around it, and
 written; these vary the markup, so that the model does not hang on one tag.
 
 Defined cases: null or empty html has no blocks and the text is empty; a
-cut-off tag at the end is dropped; unclosed elements end with their parent, an unclosed head with
-what cannot stand in it;
-repeated rows get equal answers; extra columns are ignored.
+cut-off tag at the end is dropped; unclosed elements end with their parent, an
+unclosed head with what cannot stand in it; deep and unbalanced pages of any
+length take time in proportion to their length; repeated rows get equal
+answers; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -57,18 +60,58 @@ _SCOPE = frozenset("ul ol dl table div article section main body blockquote".spl
 _SPACE = re.compile(r"\s+")
 
 
+class Element:
+    """An element that tells something of the text in it, and the one above it.
+
+    ``fresh`` are the (hashed) names that no element above has, ``tail`` those
+    of the last tags; so a path's names are the fresh ones of its elements and
+    one tail, however deep it is.
+    """
+
+    __slots__ = ("above", "tag", "words", "names", "fresh", "tail", "inside", "rest")
+
+    def __init__(self, above: Element | None, tag: str, words: list[str], open_names: Counter[int]):
+        self.above, self.tag, self.words = above, tag, words
+        # a word and its beginning: comment, comments, commentlist
+        self.names = {_hash("a:" + tag)} | {_hash(x) for w in words for x in ("w:" + w, "s:" + w[:6])}
+        self.fresh = tuple(h for h in self.names if not open_names[h])
+        for h in self.names:
+            open_names[h] += 1
+        ends = {_hash("t:" + tag), _hash("u:" + (f"{above.tag}/{tag}" if above else tag))}
+        self.tail = tuple(h for h in ends if not open_names[h])
+        self.inside = above is not None and above.inside or tag in ("article", "main") or "r=main" in words
+        self.rest = above is not None and above.rest or tag in _REST_TAGS or any(w[2:] in REST_WORDS for w in words)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # one entry for each element above: tag and the words of its attributes
+    where: Element | None  # the innermost element above that tells something
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """One entry for each element above: tag and the words of its attributes."""
+        out, at = [], self.where
+        while at is not None:
+            out.append(" ".join([at.tag, *at.words]))
+            at = at.above
+        return tuple(reversed(out))
+
 
 @dataclass
 class _Scan:
-    """Elements open at a place of the page, and the text since the last block edge."""
+    """Elements open at a place of the page, and the text since the last block edge.
 
-    stack: list[tuple[str, str]] = field(default_factory=list)
+    Places in the stack are kept by tag, and of blocks and scopes, so that no
+    tag of the page is looked for by walking through all open elements.
+    """
+
+    stack: list[tuple[str, Element | None, bool]] = field(default_factory=list)
+    places: defaultdict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    block_places: list[int] = field(default_factory=list)
+    scope_places: list[int] = field(default_factory=list)
+    open_names: Counter[int] = field(default_factory=Counter)
     blocks: list[Block] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -88,17 +131,26 @@ class _Scan:
         if self.pieces:
             text = _SPACE.sub(" ", "".join(self.pieces)).strip()
             if text:
-                self.blocks.append(Block(text, tuple(e for t, e in self.stack if t in _BLOCK or " " in e), self.linked))
+                self.blocks.append(Block(text, self.stack[-1][1] if self.stack else None, self.linked))
             self.pieces, self.linked = [], 0
 
     def pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, element, own = self.stack.pop()
+        for places, held in ((self.places[tag], True), (self.block_places, tag in _BLOCK), (self.scope_places, tag in _SCOPE)):
+            if held:
+                places.pop()
+        if own:
+            self.open_names.subtract(element.names)
         self.links -= tag == "a"
         self.silent -= tag in _SILENT
 
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
+
     def end_head(self, tag: str) -> None:
         """What cannot stand in a head ends an open one, a body also what is open within it."""
-        if tag == "body" and any(t == "head" for t, _ in self.stack):
+        if tag == "body" and self.places["head"]:
             self.close("head")
         elif self.stack and self.stack[-1][0] == "head" and tag not in _HEAD:
             self.pop()
@@ -112,36 +164,43 @@ class _Scan:
             self.text(" ")
         if tag in _VOID or closed and tag not in _BLOCK and tag not in _SILENT and tag != "a":
             return
-        if tag == "a" and any(t == "a" for t, _ in self.stack):
+        if tag == "a" and self.places["a"]:
             self.close("a")
         words = []
         for m in _ATTRIBUTE.finditer(attributes):
             kind = m[1].lower()
             words += [("r=" if kind == "role" else "c=") + w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower()) if w]
-        self.stack.append((tag, " ".join([tag, *words])))
+        above = self.stack[-1][1] if self.stack else None
+        own = tag in _BLOCK or bool(words)
+        place = len(self.stack)
+        self.stack.append((tag, Element(above, tag, words, self.open_names) if own else above, own))
+        for places, held in ((self.places[tag], True), (self.block_places, tag in _BLOCK), (self.scope_places, tag in _SCOPE)):
+            if held:
+                places.append(place)
         self.links += tag == "a"
         self.silent += tag in _SILENT
 
     def _imply_ends(self, tag: str) -> None:
-        ends = _CLOSES.get(tag, set())
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t == "p" or t in ends:
-                while len(self.stack) > i:
-                    self.pop()
-            elif t in _SCOPE and t not in ends:
-                break
+        """A block ends the paragraphs, and some the elements of their kind, that are open within the innermost scope."""
+        scope = self.scope_places[-1] if self.scope_places else -1
+        ended = []
+        for t in ("p", *_CLOSES.get(tag, ())):
+            places = self.places[t]
+            at = bisect_right(places, scope)
+            ended += places[at:at + 1]
+        if ended:
+            self.cut(min(ended))
 
     def close(self, tag: str) -> None:
         if tag in _BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if tag not in _BLOCK and self.stack[i][0] in _BLOCK and tag not in _SILENT and tag != "a":
-                return
+        places = self.places[tag]
+        if not places:
+            return
+        # the end of an inline element does not reach beyond a block
+        if tag not in _BLOCK and tag not in _SILENT and tag != "a" and self.block_places and self.block_places[-1] > places[-1]:
+            return
+        self.cut(places[-1])
 
 
 def leaf_blocks(html: str | None) -> list[Block]:
@@ -185,15 +244,19 @@ def _hash(name: str) -> int:
     return h
 
 
-def _path_names(path: tuple[str, ...]) -> set[str]:
-    names = set()
-    for element in path:
-        tag, *words = element.split()
-        names.add("a:" + tag)
-        for w in words:
-            names |= {"w:" + w, "s:" + w[:6]}  # a word and its beginning: comment, comments, commentlist
-    last = [e.split()[0] for e in path][-2:]
-    return names | {"t:" + "/".join(last[-1:]), "u:" + "/".join(last)}
+_ROOT = ("t:", "u:")  # the names of a path without elements
+
+
+def _path_hashes(where: Element | None, memo: dict[Element, frozenset[int]]) -> frozenset[int]:
+    """All names of a path; elements that add none share the set of the one above."""
+    chain, at = [], where
+    while at is not None and at not in memo:
+        chain.append(at)
+        at = at.above
+    names = memo[at] if at is not None else frozenset()
+    for at in reversed(chain):
+        names = memo[at] = names.union(at.fresh) if at.fresh else names
+    return names.union(where.tail if where is not None else map(_hash, _ROOT))
 
 
 def _text_names(b: Block, place: int, n: int) -> list[str]:
@@ -207,7 +270,8 @@ def _text_names(b: Block, place: int, n: int) -> list[str]:
 
 def features(blocks: list[Block]) -> list[list[int]]:
     n = len(blocks)
-    return [sorted({_hash(x) for x in [*_path_names(b.path), *_text_names(b, i, n)]}) for i, b in enumerate(blocks)]
+    memo: dict[Element, frozenset[int]] = {}
+    return [sorted(_path_hashes(b.where, memo).union(_hash(x) for x in _text_names(b, i, n))) for i, b in enumerate(blocks)]
 
 
 @dataclass
@@ -218,17 +282,20 @@ class Crf:
     move: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    paths: dict[tuple[str, ...], float] = field(default_factory=dict)
 
     def emissions(self, blocks: list[Block]) -> list[float]:
         w, n, out = self.weights, len(blocks), []
+        above: dict[Element | None, float] = {None: 0.0}
         for i, b in enumerate(blocks):
-            at = self.paths.get(b.path)
-            if at is None:
-                at = self.paths[b.path] = float(w[list({_hash(x) for x in _path_names(b.path)})].sum())
-                if len(self.paths) > 50_000:
-                    self.paths.clear()
-            out.append(at + float(sum(w[_hash(x)] for x in _text_names(b, i, n))))
+            chain, at = [], b.where
+            while at not in above:
+                chain.append(at)
+                at = at.above
+            score = above[at]
+            for at in reversed(chain):
+                score = above[at] = score + sum(w[h] for h in at.fresh)
+            tail = b.where.tail if b.where is not None else {_hash(x) for x in _ROOT}
+            out.append(float(score + sum(w[h] for h in tail) + sum(w[_hash(x)] for x in _text_names(b, i, n))))
         return out
 
     def viterbi(self, scores: list[float]) -> list[int]:
@@ -257,9 +324,6 @@ class Crf:
         labels = self.viterbi(self.emissions(blocks))
         return "\n\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"paths": {}}
-
 
 def fit_crf(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> Crf:
     """Maximum conditional likelihood over labelled sequences, all at once, by Adagrad."""
@@ -315,13 +379,7 @@ _REST_TAGS = frozenset("nav aside footer header form menu dialog fieldset".split
 
 def markup_labels(blocks: list[Block]) -> list[int] | None:
     """Labels by a page's own markup, or None if it names no article."""
-    out = []
-    for b in blocks:
-        elements = [e.split() for e in b.path]
-        tags = {e[0] for e in elements}
-        words = {w[2:] for e in elements for w in e[1:]}
-        inside = bool(tags & {"article", "main"}) or any("r=main" in e for e in elements)
-        out.append(int(inside and not tags & _REST_TAGS and not words & REST_WORDS))
+    out = [int(b.where is not None and b.where.inside and not b.where.rest) for b in blocks]
     return out if any(out) else None
 
 

@@ -121,3 +121,27 @@ def test_head_without_its_end_tag(start):
 def test_body_ends_what_is_open_in_a_head():
     assert texts("<head><noscript><link rel=x><body><p>a</p>") == ["a"]
     assert texts("<head><title>no</title></head><body><p>a<noscript>no</noscript>") == ["a"]
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 170_000, "<b></i>y" * 130_000, "<b>" * 100_000 + "<p>z" * 100_000, "<i><div>" + "<b></i>" * 140_000, '<a x=">' * 140_000,
+                                  "".join(f'<div class="k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}x">t' for i in range(40_000))])
+def test_a_megabyte_of_deep_or_unbalanced_markup_takes_seconds(html):
+    import time
+
+    rng = np.random.default_rng(0)
+    began = time.process_time()
+    crf = random_crf(rng)
+    blocks = H.leaf_blocks(html)
+    assert len(crf.emissions(blocks)) == len(blocks)
+    assert time.process_time() - began < 40
+
+
+def test_emissions_are_the_weights_of_the_features():
+    rng = np.random.default_rng(4)
+    crf = random_crf(rng)
+    page = '<body><div class="main a"><p>one, two.</p><i>x</i></div><ul class=a><li>1<li id=side>2</ul>end</body>tail'
+    blocks = H.leaf_blocks(page)
+    names = H.features(blocks)
+    for e, f, b, i in zip(crf.emissions(blocks), names, blocks, range(9), strict=False):
+        own = {H._hash(x) for x in H._text_names(b, i, len(blocks))}
+        assert e == pytest.approx(crf.weights[f].sum() + crf.weights[[h for h in own if h in H._path_hashes(b.where, {})]].sum())
