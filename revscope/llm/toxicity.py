@@ -2,7 +2,8 @@
 
 A character trigram model is counted over all documents. Places that look
 disguised - letters mixed with digits or signs that stand for letters, letters
-drawn out, single letters set apart - become lattices: for every character the
+drawn out or all doubled, single letters and signs set apart, short pieces
+joined by signs - become lattices: for every character the
 letters it may stand for, one or two of a drawn-out letter, a separator kept or
 dropped, each with its channel probability. Viterbi decoding under the
 character model restores the likeliest spelling.
@@ -49,12 +50,17 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "¡": "i"}
 _SEPARATORS = " .-_*~,"
 _KEEP, _SUBSTITUTE, _NOISE = log(0.95), log(0.45), log(0.02)
+_ONE = r"[^\W_]|[@$!|+(€£¢¡]"
+_SET_APART = rf"(?<![^\W_])(?:{_ONE})(?:[ .\-_*~](?:{_ONE})){{2,}}(?![^\W_])"  # single letters and signs
+_DOUBLED = r"(?<![^\W_])(?:(?P<twice>[^\W\d_])(?P=twice)){3,}(?![^\W_])"  # every letter twice
+_PIECES = r"(?<![^\W_])[^\W\d_]{1,4}(?:[\-_*~][^\W\d_]{1,4})+(?![^\W_])"  # short pieces of a word
 _DISGUISED = re.compile(
-    r"(?<![^\W_])[^\W\d_](?:[ .\-_*~][^\W\d_]){2,}(?![^\W_])"  # single letters set apart
+    rf"{_SET_APART}|{_DOUBLED}|{_PIECES}"
     r"|[0-9@$!|+(€£¢¡]*[^\W\d_]+(?:[.\-_*~]?[0-9@$!|+(€£¢¡]{1,3}[.\-_*~]?[^\W\d_]+)+[0-9@$|€£]*"  # signs within
     r"|[0-9@$!|€£¢¡][^\W\d_]{2,}"  # a sign before
-    r"|[^\W\d_]*([^\W\d_])\1\1+[^\W\d_]*")  # drawn out
-
+    r"|[^\W\d_]*(?P<drawn>[^\W\d_])(?P=drawn)(?P=drawn)+[^\W\d_]*")  # drawn out
+_ALL_APART, _ALL_DOUBLED = re.compile(_SET_APART), re.compile(_DOUBLED)
+_SEVERAL_LETTERS = re.compile(r"[^\W\d_].*[^\W\d_]")
 
 class CharModel:
     """Log probabilities of a character after two, interpolated from trigram counts."""
@@ -80,7 +86,7 @@ class CharModel:
 def lattice(seen: str) -> list[list[tuple[str, float]]]:
     """For every place of a disguised text the strings it may stand for, with log channel probabilities."""
     out: list[list[tuple[str, float]]] = []
-    spaced = re.fullmatch(r"[^\W\d_](?:[ .\-_*~][^\W\d_])+", seen) is not None
+    spaced, doubled = _ALL_APART.fullmatch(seen) is not None, _ALL_DOUBLED.fullmatch(seen) is not None
     seen = seen.lower()
     i = 0
     while i < len(seen):
@@ -89,7 +95,10 @@ def lattice(seen: str) -> list[list[tuple[str, float]]]:
         while j < len(seen) and seen[j] == c:
             j += 1
         run, i = j - i, j
-        if c.isalpha():
+        if doubled:
+            # four of a letter are a double one
+            out += [[(c, log(0.7)), (c * 2, log(0.25))]] * (run == 2) or [[(c * 2, log(0.6)), (c, log(0.35))]]
+        elif c.isalpha():
             # a run of three or more was one letter or two; a double may be one
             out.append([(c, _KEEP)] if run == 1 else [(c * 2, _KEEP), (c, log(0.05))] if run == 2 else [(c, log(0.6)), (c * 2, log(0.35))])
         elif c in LEET:
@@ -175,6 +184,8 @@ class Decoder:
             row = int(np.searchsorted(offsets, breaks[line], "right")) - 1
             for m in _DISGUISED.finditer(data[breaks[line]:breaks[line + 1]].tobytes().decode("utf-8", "replace")):
                 seen = m.group()
+                if not _SEVERAL_LETTERS.search(seen):  # a row of numbers, say
+                    continue
                 found = self.memo.get(seen)
                 if found is None:
                     found = decode(seen, self.model).encode()
@@ -192,6 +203,7 @@ class Decoder:
 _IS_LETTER = np.array([i >= 0x80 or chr(i).isalpha() for i in range(256)])
 _IS_SIGN = np.isin(np.arange(256), [ord(c) for c in LEET if ord(c) < 128] + [0xA3, 0xA2, 0xAC, 0xA1])
 _IS_GAP = np.isin(np.arange(256), [ord(c) for c in " .-_*~"])
+_IS_JOINT = np.isin(np.arange(256), [ord(c) for c in "-_*~"])
 
 
 def _suspects(data: np.ndarray) -> np.ndarray:
@@ -201,10 +213,15 @@ def _suspects(data: np.ndarray) -> np.ndarray:
     letter, sign, gap = _IS_LETTER[data], _IS_SIGN[data], _IS_GAP[data]
     drawn = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
     beside = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-    single = letter & ~np.r_[False, letter[:-1]] & ~np.r_[letter[1:], False]
-    found = [np.flatnonzero(drawn), np.flatnonzero(beside)]
+    one = letter | sign
+    single = one & ~np.r_[False, one[:-1]] & ~np.r_[one[1:], False]
+    joined = letter[:-2] & _IS_JOINT[data[1:-1]] & letter[2:]
+    found = [np.flatnonzero(drawn), np.flatnonzero(beside), np.flatnonzero(joined)]
     if len(data) > 4:
         found.append(np.flatnonzero(single[:-4] & gap[1:-3] & single[2:-2] & gap[3:-1] & single[4:]))
+    if len(data) > 5:
+        twice = letter[:-1] & (data[:-1] == data[1:])
+        found.append(np.flatnonzero(twice[:-4] & twice[2:-2] & twice[4:]))
     return np.concatenate(found)
 
 

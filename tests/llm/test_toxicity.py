@@ -25,7 +25,9 @@ def test_trigram_counts_against_brute_force(spark):
 
 
 @pytest.mark.parametrize(("seen", "want"), [("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("i d i o t", "idiot"), ("idiooooot", "idiot"), ("l0$er", "loser"),
-                                            ("sstttupid", "stupid"), ("tr@sh", "trash"), ("p4th3t1c", "pathetic"), ("l-o-s-e-r", "loser")])
+                                            ("sstttupid", "stupid"), ("tr@sh", "trash"), ("p4th3t1c", "pathetic"), ("l-o-s-e-r", "loser"),
+                                            ("i d 1 0 t", "idiot"), ("1 d 1 0 t", "idiot"), ("l 0 s e r", "loser"), ("iiddiioott", "idiot"), ("lloosseerr", "loser"), ("id-iot", "idiot"),
+                                            ("lo-ser", "loser"), ("pa_the_tic", "pathetic"), ("t.r.@.s.h", "trash")])
 def test_viterbi_restores_disguised_words(spark, seen, want):
     model = getattr(test_viterbi_restores_disguised_words, "model", None)
     if model is None:
@@ -74,9 +76,10 @@ def test_disguises_and_defined_cases(spark):
     labels += [(0, 1, 0, "t"), (None, 1, 1, "t"), (1, 1, None, "t"), (777_777, 1, 1, "no such document")]
     model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
     ask = [(1, None), (2, ""), (3, clean[0]), (4, "what an idiot"), (5, "what an 1d10t"), (6, "what an i d i o t!"), (7, "what an idiooooot"), (8, clean[1] + " " + "word " * 60_000 + "loser"),
-           (3, clean[0]), (None, "you LOSER")]
+           (3, clean[0]), (None, "you LOSER"), (9, "what an i d 1 0 t"), (10, "what an iiddiioott"), (11, "such a lo-ser!"), (12, clean[0] + " 1 2 3 4 5 a 7 8"),
+           (13, "an up-to-date re-do of the 2 b 2 talk")]
     got = toxicity.score(spark.createDataFrame([(a, b, 0, None, None, None) for a, b in ask], DOCS), model).collect()
-    assert [r.predicted for r in got] == [0, 0, 0, 1, 1, 1, 1, 1, 0, 1]
+    assert [r.predicted for r in got] == [0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0]
     assert all(0 <= r.score <= 1 for r in got)
 
 
