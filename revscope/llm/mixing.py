@@ -4,10 +4,13 @@ Each source gets a target in words: the budget is shared by weight, no source
 beyond ``max_repeat`` times its own size, and what a capped source leaves is
 shared again by weight. A document of a source whose target is ``f`` times its
 size is taken ``floor(f)`` times for certain; the rest of the target is a
-sample of fixed size (in words) without replacement with inclusion odds
-``p / (1 - p)``, ``p`` the fraction left: documents are ranked by the Pareto
-variable, the odds of their own uniform number divided by the inclusion odds,
-and taken in that order until the words are reached, to the nearest document.
+sample of fixed size (in words) without replacement. A document's inclusion
+odds are those of the fraction left, ``p / (1 - p)``, times the root of the
+mean size in its source over its own size (one word added to both): the words of
+a source are spread over more documents, long ones are drawn less often.
+Documents are ranked by the Pareto variable, the odds of their own uniform
+number divided by their inclusion odds, and taken in that order until the words
+are reached, to the nearest document.
 
 The order within a source is never sorted as a whole. The ranking variable is
 mapped to (0, 1) and cut into bins; per-source sums of the bins say in which
@@ -43,7 +46,7 @@ def uniform(key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float) -> DataFrame:
-    """Targets of all sources (src, source_size): capped shares of ``share`` times all words.
+    """Targets of all sources (src, source_size, n): capped shares of ``share`` times all words.
 
     Sources take the weights in turn, in code point order, null last. One row
     a source passes through the ordering; sharing again is repeated sums.
@@ -60,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
         if x.n == capped or not x.w:
             break
         capped, level = x.n, (budget - x.given) / x.w
-    return rows.select("src", "source_size", F.least("most", F.col("w") * F.lit(level)).alias("target"))
+    return rows.select("src", "source_size", "n", F.least("most", F.col("w") * F.lit(level)).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeat: float = 2.0,
@@ -70,13 +73,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("src"), n_words(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest")), "sizes")
     sizes = base.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    targets = stored(source_targets(sizes.select("src", "source_size"), weights, share, max_repeat), "targets")
+    targets = stored(source_targets(sizes, weights, share, max_repeat), "targets")
 
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     certain = F.floor(ratio).cast("long")
     p = ratio - F.floor(ratio)
     u = uniform(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    spread = F.sqrt((F.col("source_size") / F.col("n") + F.lit(1.0)) / (F.col("size") + F.lit(1.0)))
+    odds = (F.col("u") / (1 - F.col("u"))) / ((F.col("p") / (1 - F.col("p"))) * spread)
     bins = F.lit(max(1, base.count() // BIN_ROWS))
     ranked = stored(
         base.join(targets.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).drop("s")
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .withColumn("q", F.when(F.col("p") > 0, odds))
         .withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
         .withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("q") / (1 + F.col("q")) * bins)))
-        .drop("p", "u"), "ranked")
+        .drop("p", "u", "n"), "ranked")
 
     # a bin lies before its source's limit, holds it, or lies behind
     sums = ranked.filter("q IS NOT NULL").groupBy("src", "bin", "wanted").agg(F.sum("size").alias("words"))
@@ -133,7 +137,7 @@ WITH RECURSIVE base AS (
   SELECT doc_id, source AS src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5(coalesce(text, '')) AS digest FROM documents),
 sizes AS (
-  SELECT src, sum(size)::BIGINT AS source_size FROM base GROUP BY src),
+  SELECT src, sum(size)::BIGINT AS source_size, count(*) AS n FROM base GROUP BY src),
 weighted AS (
   SELECT *, CASE (row_number() OVER (ORDER BY src ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w,
          source_size * 2.0::DOUBLE AS most FROM sizes),
@@ -145,9 +149,9 @@ level(step, lv) AS (
   FROM level WHERE step < 100 AND lv IS NOT NULL),
 top AS (SELECT max(lv) AS lv FROM level),
 targets AS (
-  SELECT src, source_size, least(most, w * lv) AS target FROM weighted, top),
+  SELECT src, source_size, n, least(most, w * lv) AS target FROM weighted, top),
 ranked AS (
-  SELECT doc_id, b.src, digest, size, source_size, target,
+  SELECT doc_id, b.src, digest, size, source_size, target, sqrt((source_size / n + 1.0::DOUBLE) / (size + 1.0::DOUBLE)) AS spread,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
          ((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM base b JOIN targets t ON b.src IS NOT DISTINCT FROM t.src),
@@ -155,7 +159,7 @@ drawn AS (
   SELECT *, floor(ratio)::BIGINT AS certain, ratio - floor(ratio) AS p FROM ranked),
 ordered AS (
   SELECT *, target - certain * source_size AS wanted,
-         coalesce(sum(size) OVER (PARTITION BY src ORDER BY (u / (1 - u)) / (p / nullif(1 - p, 0)), doc_id, digest
+         coalesce(sum(size) OVER (PARTITION BY src ORDER BY (u / (1 - u)) / (p / nullif(1 - p, 0) * spread), doc_id, digest
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM drawn)
 SELECT doc_id, size, source_size, target,
        ((certain + CASE WHEN p > 0 AND reached + size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END) * size)::BIGINT AS taken

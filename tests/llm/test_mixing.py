@@ -32,7 +32,8 @@ def brute(rows, weights=(5, 2, 1)):
     for s in sources:
         ratio = target[s] / size[s] if size[s] else 0
         certain, p, reached = int(ratio), ratio % 1, 0
-        for d in sorted((d for d in docs if d[1] == s), key=lambda d: (d[3] / (1 - d[3]), d[0] is not None, d[0] or 0, d[4])):
+        mean = size[s] / sum(d[1] == s for d in docs)
+        for d in sorted((d for d in docs if d[1] == s), key=lambda d: (d[3] / (1 - d[3]) / ((mean + 1) / (d[2] + 1)) ** 0.5, d[0] is not None, d[0] or 0, d[4])):
             draw = p > 0 and reached + d[2] / 2 <= target[s] - certain * size[s]
             taken[d[0], s, d[4]] += (certain + draw) * d[2]
             reached += d[2]
@@ -74,3 +75,12 @@ def test_reruns_agree_and_documents_come_as_often_as_taken(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(df).count() == 0 and mixing.mixed_documents(df).count() == 0
+
+
+def test_inclusion_odds_are_the_documents_own(spark):
+    rows = [(i, "w " * (5 if i % 2 else 80), "a" if i < 4000 else "b", None, None, None, None) for i in range(5000)]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA), weights=(1, 30)).collect() if r.src == "a"]
+    share = {n: sum(r.copies for r in got if r.size == n) / sum(r.size == n for r in got) for n in (5, 80)}
+    certain = min(r.copies for r in got)
+    odds = {n: (x - certain) / (1 - (x - certain)) for n, x in share.items()}
+    assert odds[5] / odds[80] == pytest.approx((81 / 6) ** 0.5, rel=0.25)
