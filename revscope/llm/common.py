@@ -246,16 +246,18 @@ def _folded_sets(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float, apart: Callable) -> DataFrame:
     """Pairs (a, b) of nodes of one bucket and of two components, but for those whose sets rule ``least`` out.
 
-    ``members`` has key, node, component and n, the nodes of the bucket.
-    ``apart`` says how many elements of two sets may differ. Buckets are cut
-    into tiles by the node's hash; a row holds two tiles of a bucket.
+    ``members`` has key, j (the entry's number), node, component and n, the
+    nodes of the bucket. ``apart`` says how many elements of two sets may
+    differ. Buckets are cut into tiles by the node's hash; a row holds two tiles
+    of a bucket. A pair comes from the first entry that its sketches share.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi, rows in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("rows"), strict=True):
-                tile, node, component, size, bits = rows.values.flatten()
+            for lo, hi, j, rows in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "j")), batch.column("rows"), strict=True):
+                tile, node, component, size, bits, sketch = rows.values.flatten()
                 tile, node, component, size = (np.asarray(c).astype(np.int64) for c in (tile, node, component, size))
+                sketch = np.asarray(sketch.flatten()).reshape(len(node), -1)[:, :j]
                 width, folded = _folded_sets(bits.to_pylist())
                 x, y = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
                 for at, i in enumerate(x):
@@ -266,17 +268,18 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float, apart: Calla
                         some = others[np.minimum(width[others], width[i]) == w]
                         differ = np.bitwise_count(folded[w][some] ^ folded[w][i]).sum(1).astype(np.int64)
                         some = some[differ <= apart(size[some], size[i], least)]
+                        some = some[~(sketch[some] == sketch[i]).any(1)]
                         a.append(np.maximum(node[some], node[i]))
                         b.append(np.minimum(node[some], node[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = (members.join(nodes.select("node", F.col("size").cast("int").alias("size"), "bits"), "node").withColumn("tiles", tiles)
+    rows = (members.join(nodes.select("node", F.col("size").cast("int").alias("size"), "bits", "sketch"), "node").withColumn("tiles", tiles)
             .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
     pairs = (rows.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-             .agg(F.collect_list(F.struct("tile", "node", "component", "size", "bits")).alias("rows")))
-    return pairs.select("lo", "hi", "rows").mapInArrow(run, "a long, b long").distinct()
+             .agg(F.first("j").alias("j"), F.collect_list(F.struct("tile", "node", "component", "size", "bits", "sketch")).alias("rows")))
+    return pairs.select("lo", "hi", "j", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
 def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float, apart: Callable) -> DataFrame:
@@ -292,7 +295,7 @@ def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sket
     left all pairs of two components are verified that their sets do not rule
     out.
     """
-    members = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "node")
+    members = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "j", "node")
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
     met = stored(members.join(hubs, "key"), f"{name}-met", n_sketch * nodes.count())
     rows = met.count()
@@ -300,11 +303,11 @@ def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sket
     found = stored(verify(met.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).hint("rebalance"), f"{name}-links")
     for last in (False, True):
         joined = components(found, f"{name}-classes")
-        state = met.select("key", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        state = met.select("key", "j", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         state = stored(state, f"{name}-state", rows)
         several = (state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
                    .filter("lo != hi").select("key", "n"))
-        met = stored(state.join(several, "key").select("key", "node", "component", "n"), f"{name}-apart", rows)
+        met = stored(state.join(several, "key").select("key", "j", "node", "component", "n"), f"{name}-apart", rows)
         rows = met.count()
         if not rows:
             break
