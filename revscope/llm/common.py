@@ -200,14 +200,14 @@ def possible(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 24, he
 SET_BITS, TILE = 1024, 256
 
 
-def set_bits(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+def set_bits(h: np.ndarray, first: np.ndarray, each: int = 2) -> list[bytes]:
     """Per row its elements (hashes ``h`` from ``first`` on) as a set of bits.
 
-    A set has two bits for each element at least, and a power of two of them,
-    so that large sets can be ruled out as well as small ones.
+    A set has ``each`` bits for each element at least, and a power of two of
+    them, so that large sets can be ruled out as well as small ones.
     """
     count = np.diff(first)
-    width = np.maximum(SET_BITS, 1 << np.ceil(np.log2(np.maximum(2 * count, 1))).astype(np.int64))
+    width = np.maximum(SET_BITS, 1 << np.ceil(np.log2(np.maximum(each * count, 1))).astype(np.int64))
     out: list[bytes] = [b""] * len(count)
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
@@ -223,8 +223,11 @@ def set_bits(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def edits_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Elements that stand in one of two sets only, at most, if ``least`` of a sequence is left by edits of one element each."""
-    return 2 * ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.int64)
+    """Elements that stand in one of two bags only, at most, if ``least`` of the longer sequence is left by edits of one element each.
+
+    An edit takes one element from either side at most, and the sizes differ by what one side has more.
+    """
+    return 2 * ((1 - least) * np.maximum(a, b) + 1e-9).astype(np.int64) - np.abs(a - b)
 
 
 def jaccard_apart(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -243,19 +246,24 @@ def _folded_sets(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return width, folded
 
 
-def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float, apart: Callable) -> DataFrame:
+def _tile_pairs(members: DataFrame, sets: DataFrame, sketches: DataFrame, least: float, apart: Callable) -> DataFrame:
     """Pairs (a, b) of nodes of one bucket and of two components, but for those whose sets rule ``least`` out.
 
     ``members`` has key, j (the entry's number), node, component and n, the
-    nodes of the bucket. ``apart`` says how many elements of two sets may
-    differ. Buckets are cut into tiles by the node's hash; a row holds two tiles
-    of a bucket. A pair comes from the first entry that its sketches share.
+    nodes of the bucket; ``sets`` has node, size and bits, and elements where
+    all of a set are to be compared, by their Jaccard similarity. ``apart`` says
+    how many elements of two sets may differ. Buckets are cut into tiles by the
+    node's hash; a row holds two tiles of a bucket. A pair comes from the first
+    entry that its sketches share.
     """
+    whole = "elements" in sets.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lo, hi, j, rows in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "j")), batch.column("rows"), strict=True):
-                tile, node, component, size, bits, sketch = rows.values.flatten()
+                tile, node, component, size, bits, sketch, *elements = rows.values.flatten()
+                elements = [x.values.to_numpy(zero_copy_only=False) for x in elements[0]] if whole else []
                 tile, node, component, size = (np.asarray(c).astype(np.int64) for c in (tile, node, component, size))
                 sketch = np.asarray(sketch.flatten()).reshape(len(node), -1)[:, :j]
                 width, folded = _folded_sets(bits.to_pylist())
@@ -269,21 +277,26 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, least: float, apart: Calla
                         differ = np.bitwise_count(folded[w][some] ^ folded[w][i]).sum(1).astype(np.int64)
                         some = some[differ <= apart(size[some], size[i], least)]
                         some = some[~(sketch[some] == sketch[i]).any(1)]
+                        if whole:
+                            common = np.array([len(np.intersect1d(elements[i], elements[k], assume_unique=True)) for k in some], np.int64)
+                            some = some[common >= least * (size[some] + size[i] - common)]
                         a.append(np.maximum(node[some], node[i]))
                         b.append(np.minimum(node[some], node[i]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rows = (members.join(nodes.select("node", F.col("size").cast("int").alias("size"), "bits", "sketch"), "node").withColumn("tiles", tiles)
+    columns = ["tile", "node", "component", "size", "bits", "sketch", *["elements"] * whole]
+    rows = (members.join(sets.withColumn("size", F.col("size").cast("int")), "node").join(sketches, "node").withColumn("tiles", tiles)
             .withColumn("tile", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
     pairs = (rows.groupBy("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-             .agg(F.first("j").alias("j"), F.collect_list(F.struct("tile", "node", "component", "size", "bits", "sketch")).alias("rows")))
+             .agg(F.first("j").alias("j"), F.collect_list(F.struct(*columns)).alias("rows")))
     return pairs.select("lo", "hi", "j", "rows").mapInArrow(run, "a long, b long").distinct()
 
 
-def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float, apart: Callable) -> DataFrame:
-    """Verified links (a, b) that join what all pairs of nodes (node, sketch, size, bits) that share a sketch entry would.
+def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sketch: int, name: str, least: float, apart: Callable,
+              sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b) that join what all pairs of nodes (node, sketch) that share a sketch entry would.
 
     In a bucket (entry number, value) every node is paired with a
     representative; ``verify`` takes pairs (a, b) and returns those that hold,
@@ -293,7 +306,8 @@ def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sket
     one original and its many copies, unlike each other, that is the original.
     So n copies of one thing cost n pairs, and such a group 2 n. Of what is
     left all pairs of two components are verified that their sets do not rule
-    out.
+    out; ``sets`` gives those of some nodes (node): size and bits, and elements
+    if comparing these verifies a pair.
     """
     members = nodes.select("node", F.posexplode("sketch").alias("j", "value")).select(F.xxhash64("j", "value").alias("key"), "j", "node")
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).filter("hub != other").select("key", "hub")
@@ -312,7 +326,10 @@ def hub_links(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], n_sket
         if not rows:
             break
         if last:
-            pairs = stored(_tile_pairs(met, nodes, least, apart), f"{name}-pairs")
+            own = stored(sets(met.select("node").distinct()), f"{name}-sets")
+            pairs = stored(_tile_pairs(met, own, nodes.select("node", "sketch"), least, apart), f"{name}-pairs")
+            if "elements" in own.columns:
+                return found.union(pairs)
         else:
             known = met.groupBy("node").agg(F.sum("n").alias("met"))
             ranked = met.join(known, "node").groupBy("key").agg(F.max(F.struct("met", "node", "component")).alias("hub"))

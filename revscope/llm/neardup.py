@@ -15,8 +15,9 @@ if the edit similarity of their word sequences, found by banded alignment, is
 0.8 or more. Pairs that other links join already are spared: in a bucket every
 node is first compared with the smallest node, then, where several components
 are left, with the node that meets most others, and then all pairs of two
-components are compared, but for those whose sets of words rule 0.8 out. So a
-bucket of n copies costs n comparisons.
+components are compared, but for those whose bags of words rule 0.8 out (an
+edit takes one word from a bag at most). So a bucket of n copies costs n
+comparisons.
 Links make components; a class is named by its smallest document id.
 
 Defined cases: null text counts as empty; a text without words equals only
@@ -199,17 +200,30 @@ def _node(text: Column) -> Column:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Per document: id, node (its text), number of words, sketch and set of words as bits."""
+    """Per document: id, node (its text), number of words and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_blocks(batch.column("text")):
                 n, sketch = entries(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * ENTRIES, pa.int32()), pa.array(signed(sketch.ravel())))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), lists],
+                                                 ["id", "node", "n", "sketch"])
+
+    return _rows(docs).mapInArrow(run, "id long, node long, n long, sketch array<long>")
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """Of texts (node, text) the bag of words, each labelled with its occurrence, as bits: node, size, bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_blocks(batch.column("text")):
                 _, _, words, first = word_hashes(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(n, pa.int64()), lists, pa.array(set_bits(words, first), pa.binary())],
-                                                 ["id", "node", "n", "sketch", "bits"])
+                size = np.diff(first)
+                own = labelled(words, np.repeat(np.arange(len(size)), size))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(set_bits(own, first, 16), pa.binary())],
+                                                 ["node", "size", "bits"])
 
-    return _rows(docs).mapInArrow(run, "id long, node long, n long, sketch array<long>, bits binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, size long, bits binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -246,7 +260,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes (node, first_id, n, sketch, bits) of colliding buckets."""
+    """Verified links (a, b) between nodes (node, first_id, n, sketch) of colliding buckets."""
     nodes = nodes.filter("n > 0")
     texts: list[DataFrame] = []
 
@@ -257,13 +271,14 @@ def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
             texts.append(stored(possible(_rows(docs), "node", wanted).join(wanted, ["node", "id"], "left_semi").select("node", "text"), "texts"))
         return _verified(pairs, texts[0])
 
-    return hub_links(nodes.select("node", "sketch", F.col("n").alias("size"), "bits"), verify, ENTRIES, "documents", SIMILARITY, edits_apart)
+    return hub_links(nodes.select("node", "sketch"), verify, ENTRIES, "documents", SIMILARITY, edits_apart,
+                     lambda wanted: bags(texts[0].join(wanted, "node", "left_semi")))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): id, node, component, class_id and class_size; null ids are the largest number."""
     base = stored(sketched(docs), "sketches")
-    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes", base.count())
+    nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", base.count())
     joined = components(links(nodes, docs))
     named = nodes.select("node", "first_id", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named", base.count())

@@ -245,7 +245,10 @@ def passages(docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("x", "y"))
         return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    joined = components(hub_links(nodes.select("node", "sketch", F.size("shingles").alias("size"), "bits"), verify, BANDS, "paragraph", SIMILARITY, jaccard_apart), "paragraph-components")
+    def sets(wanted: DataFrame) -> DataFrame:
+        return nodes.join(wanted, "node", "left_semi").select("node", F.size("shingles").alias("size"), "bits", F.array_sort("shingles").alias("elements"))
+
+    joined = components(hub_links(nodes.select("node", "sketch"), verify, BANDS, "paragraph", SIMILARITY, jaccard_apart, sets), "paragraph-components")
     members = lines.select("doc", "id", "node", "start", "end", "words").join(joined, "node")
     first = members.groupBy("component").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z")
     near = (members.join(first, "component").withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))
