@@ -43,6 +43,4 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op4_warc": warc.ORACLE_SQL, "op5_topk": topk.ORACLE_SQL, "op10_mixing": mixing.ORACLE_SQL,
-            "op11_align": align.op11_align,
-        "op12_suffix": suffix.op12_suffix,
-        "op13_infill": infill.ORACLE_SQL}
+            "op12_suffix": suffix.ORACLE_SQL, "op13_infill": infill.ORACLE_SQL}
