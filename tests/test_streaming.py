@@ -1,5 +1,6 @@
 import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from revscope.operators import model as md
@@ -86,3 +87,21 @@ def test_stream_ask_uses_the_request_mode_and_the_focus_of_the_question(spark):
 def test_missing_model_fails_before_start(spark):
     with pytest.raises(FileNotFoundError):
         jobs.stream_predict(spark, "/nonexistent", "id long, text string", None, out_dir="a", dead_dir="b", checkpoint_dir="c")
+
+
+def test_stream_queries_read_tables_of_one_file_and_of_many(spark):
+    from revscope.plans import registry
+
+    registry.load_all()
+    base = scratch_path(spark, "stream-tables")
+    docs = [(i, ["good great", "bad awful", "okay plain", ""][i % 4], "en", "web", 10) for i in range(40)]
+    tables = {"documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+              "labels": spark.createDataFrame([(i, i % 2, int(i % 4 == 1)) for i in range(40)], "doc_id long, quality int, toxic int"),
+              "embeddings": spark.createDataFrame([(i, [float(i % 3), 1.0], i % 3) for i in range(40)], "vec_id long, embedding array<float>, label int")}
+    for name, table in tables.items():
+        table.repartition(3).write.parquet(os.path.join(base, "folders", name + ".parquet"))
+        os.makedirs(os.path.join(base, "files"), exist_ok=True)
+        pq.write_table(table.toArrow(), os.path.join(base, "files", name + ".parquet"))
+    for kind in ("folders", "files"):
+        assert registry.QUERIES["stream_ask"](spark, os.path.join(base, kind)).count() == sum(1 <= i % 23 - 1 <= 20 for i in range(40))
+        assert registry.QUERIES["stream_predict"](spark, os.path.join(base, kind)).count() == 30
