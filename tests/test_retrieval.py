@@ -102,3 +102,24 @@ def test_focus_read_off_the_question_filters_the_search(spark):
     q = spark.createDataFrame([(1, "почему всё плохо?", [1.0, 0.0], 1)], "q_id long, question string, q_vec array<double>, top_k int")
     r = ask(q, idx).first()
     assert r.sentiment_focus == "negative" and [c.row_id for c in r.contexts] == [2] and "negative (1/1)" in r.answer
+
+
+def test_a_vector_is_shipped_once_per_block_and_only_k_rows_of_a_block_leave(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), ["a", "b", None][i % 3]) for i in range(600)]
+    asked = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), ["a", None, "zz"][i % 3], i % 5) for i in range(90)]
+    monkeypatch.setattr(retrieval, "TILE_QUESTIONS", 8)
+    monkeypatch.setattr(retrieval, "LEAST_BLOCKS", 3)
+    index = retrieval.build_index(spark.createDataFrame(rows, "row_id long, embedding array<double>, label string"), tile_rows=16)
+    q = spark.createDataFrame(asked, "q_id long, q_vec array<double>, focus string, k int")
+    got = {(r.q_id, r["rank"]): (r.distance, r.row_id, r.label) for r in retrieval.search(q, index, focus_col="focus", k_col="k").collect()}
+    want = {}
+    for q_id, v, focus, k in asked:
+        near = []
+        for row_id, x, label in rows:
+            if focus != "a" or label == "a":
+                n = np.linalg.norm(v) * np.linalg.norm(x)
+                near.append((np.floor((1 - (np.dot(v, x) / n if n else 0)) * 1e6 + 0.5) / 1e6, row_id, label))
+        want |= {(q_id, i + 1): x for i, x in enumerate(sorted(near, key=lambda x: x[:2])[:k])}
+    assert got == want
+    assert retrieval._per_block(1000, 4096, 64) == 16 and retrieval._per_block(1000, 4096, 256) == 4 and retrieval._per_block(7, 4096, 64) == 3
