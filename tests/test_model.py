@@ -93,3 +93,13 @@ def test_any_scorer_is_loaded_once_and_gives_predictions(spark):
     got = md.predictions_from_logits(md.score_with(docs, load), md.id2label_for_mode("multiclass")).collect()
     assert [(r.text, r.label) for r in got] == [("abcd", "negative"), ("a", "neutral"), (None, "neutral")]
     assert all(sum(r.scores.values()) == pytest.approx(1, abs=1e-5) for r in got)
+
+
+def test_many_documents_are_cut_into_tasks_of_a_bounded_size(spark, monkeypatch):
+    from revscope.operators import features as fe
+
+    docs = spark.range(600).select("id", F.lit("good great").alias("text"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert fe.by_document(docs).rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(fe, "TASK_DOCS", 50)
+    assert fe.by_document(docs).rdd.getNumPartitions() == 12
