@@ -3,7 +3,7 @@
 The file is a parameter (a ``tokenizers`` JSON file that every executor can
 read); nothing is trained or downloaded here. Encoding is one row-wise pass:
 no shuffle, every row on its own whatever its id, so it works on streams, too.
-A worker opens the file once and encodes batches of texts.
+A worker opens the file once and encodes slices of texts of a bounded size together.
 
 Defined cases: a null text has the special ids alone; strings of special tokens
 inside a text are plain text; ids are cut to ``max_length`` with the special
@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts that are Python strings at one time.
-SLICE = 256
+from revscope.operators.features import slices
 
 
 @cache
@@ -46,7 +45,7 @@ def encode_subwords(docs: DataFrame, vocabulary: str, max_length: int | None = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            for part in (batch.slice(a, SLICE) for a in range(0, batch.num_rows, SLICE)):
+            for part in slices(batch):
                 texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
                 ids = [[*head, *e.ids[:room], *tail] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
                 kind = pa.list_(pa.int32())
@@ -63,7 +62,7 @@ def decode_subwords(rows: DataFrame, vocabulary: str, ids_col: str = "input_ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            for part in (batch.slice(a, SLICE) for a in range(0, batch.num_rows, SLICE)):
+            for part in slices(batch):
                 texts = tokenizer.decode_batch([i or [] for i in part.column(part.num_columns - 1).to_pylist()], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], out_col])
 
