@@ -123,3 +123,36 @@ def test_a_vector_is_shipped_once_per_block_and_only_k_rows_of_a_block_leave(spa
         want |= {(q_id, i + 1): x for i, x in enumerate(sorted(near, key=lambda x: x[:2])[:k])}
     assert got == want
     assert retrieval._per_block(1000, 4096, 64) == 16 and retrieval._per_block(1000, 4096, 256) == 4 and retrieval._per_block(7, 4096, 64) == 3
+
+
+def test_norm_of_a_wide_vector_is_computed_once(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from revscope.functions.vector import normalize
+
+    wide = spark.range(8).select("id", F.transform(F.sequence(F.lit(1), F.lit(8192)), lambda x: (x + F.col("id")).cast("double")).alias("v")).localCheckpoint()
+    began = time.monotonic()
+    rows = wide.select("v", normalize("v").alias("u")).collect()
+    assert time.monotonic() - began < 20  # minutes, when every component computed the norm
+    for r in rows:
+        assert np.allclose(r.u, np.array(r.v) / np.linalg.norm(r.v), rtol=1e-12, atol=0)
+    flawed = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [3.0, None, 4.0]), (3, []), (4, [3.0, 4.0])], "id long, v array<double>")
+    assert [r.u for r in flawed.select("id", normalize("v").alias("u")).orderBy("id").collect()] == [[0.0, 0.0], None, [0.0, 0.0, 0.0], [], [0.6, 0.8]]
+
+
+def test_hashed_encoder_equals_plain_counting(spark):
+    import hashlib
+    import re
+
+    texts = ["one two two Three", None, "", "a b", "three three four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(3)
+    enc = retrieval.fit_encoder(docs, dim=16)
+    buckets = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in re.findall(r"\b\w\w+\b", (t or "").lower())] for t in texts]
+    df = np.array([sum(i in b for b in buckets) for i in range(16)])
+    assert np.allclose(enc.idf, np.log(6 / (1 + df)) + 1)
+    for r in retrieval.encode(docs, enc).collect():
+        v = np.bincount(buckets[r.row_id], minlength=16) * np.array(enc.idf)
+        norm = np.linalg.norm(v)
+        assert np.allclose(r.embedding, v / norm if norm else v)
