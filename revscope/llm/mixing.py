@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import stored
+from revscope.llm.common import discard, scratch, stored
 from revscope.session import table_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         .withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
         .withColumn("bin", F.when(F.col("p") > 0, F.floor(F.col("q") / (1 + F.col("q")) * bins)))
         .drop("p", "u", "n"), "ranked")
+    discard(base)
 
     # a bin lies before its source's limit, holds it, or lies behind
     sums = ranked.filter("q IS NOT NULL").groupBy("src", "bin", "wanted").agg(F.sum("size").alias("words"))
@@ -115,9 +116,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows with the same id, source and text share the draws of their kind evenly.
     """
-    taken = (mix(docs, **options)
-             .groupBy(_row_key(F.col("doc_id").cast("string"), F.col("src"), F.col("digest")).alias("key"))
-             .agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0"))
+    with scratch() as keep:
+        taken = (mix(docs, **options)
+                 .groupBy(_row_key(F.col("doc_id").cast("string"), F.col("src"), F.col("digest")).alias("key"))
+                 .agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).filter("copies > 0"))
+        taken = keep(stored(taken, "taken"))
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
                        _row_key(F.col("doc_id").cast("long").cast("string"), F.col("source").cast("string"), digest).alias("key"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, edits_apart, hub_links, mix, possible, seeds, set_bits, shingle_hashes, signed, stored, text_blocks, word_hashes
+from revscope.llm.common import components, discard, edits_apart, hub_links, mix, possible, scratch, seeds, set_bits, shingle_hashes, signed, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 K, PICKED, SKETCHES = 5, 2, 16
@@ -279,9 +279,11 @@ def classes(docs: DataFrame) -> DataFrame:
     """Per document (doc_id, text): id, node, component, class_id and class_size; null ids are the largest number."""
     base = stored(sketched(docs), "sketches")
     nodes = stored(base.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", base.count())
-    joined = components(links(nodes, docs))
+    with scratch() as keep:
+        joined = keep(stored(components(links(nodes, docs)), "components"))
     named = nodes.select("node", "first_id", "rows").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stored(named, "named", base.count())
+    discard(nodes)
     sizes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("class_size"))
     by_node = named.select("node", "component").join(sizes, "component").select("node", "component", "class_id", "class_size")
     return base.select("id", "node").join(by_node, "node")
@@ -289,7 +291,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, one of each class: that with the smallest id, of equal ids (null ones, too) with the smallest node."""
-    keep = classes(docs).groupBy("component").agg(F.min(F.struct("id", "node")).alias("least")).select("least.*")
+    with scratch() as kept:
+        keep = kept(stored(classes(docs).groupBy("component").agg(F.min(F.struct("id", "node")).alias("least")).select("least.*"), "least"))
     # of equal rows with equal ids one stays
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _node(F.col("text")).alias("node"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"))

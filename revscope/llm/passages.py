@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from revscope.llm.common import components, hub_links, jaccard_apart, mix, possible, seeds, set_bits, shingle_hashes, signed, slices, stored, text_blocks, word_hashes
+from revscope.llm.common import components, discard, hub_links, jaccard_apart, mix, possible, scratch, seeds, set_bits, shingle_hashes, signed, slices, stored, text_blocks, word_hashes
 from revscope.session import table_path
 
 RADIUS, K, MIN_WORDS = 4, 5, 16
@@ -216,17 +216,22 @@ def passages(docs: DataFrame) -> DataFrame:
     """Instances of repeated passages: kind, passage (component), doc, id, start, end (code points), words, kept."""
     base = stored(block_table(docs), "blocks")
     every = base.select("doc", "id", F.posexplode("blocks").alias("i", "b")).select("doc", "id", "i", "b.*").filter(F.col("words") >= K)
-    repeated = (every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.min(F.struct("id", "doc", "start")).alias("first"))
-                .filter("a != z").select("key", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")))
-    hits = stored(every.join(repeated, "key").select("*", ((F.col("doc") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))).alias("kept"))
-                  .drop("first_doc", "first_start").dropDuplicates(["doc", "i"]), "hits")
+    # the keys that repeat move first, by themselves; then only the blocks that have one
+    several = every.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z").select("key")
+    several = stored(several, "repeated")
+    met = stored(possible(every, "key", several).join(several, "key", "left_semi").dropDuplicates(["doc", "i"]), "met")
+    discard(several)
+    first = met.groupBy("key").agg(F.min(F.struct("id", "doc", "start")).alias("first"))
+    hits = stored(met.join(first, "key").withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start"))).drop("first"), "hits")
+    discard(met)
 
     # runs of neighbouring hits of one document, then their parts that are kept or not
     inside = Window.partitionBy("doc").orderBy("i")
     runs = hits.withColumn("run", F.col("i") - F.row_number().over(inside)).withColumn("part", F.col("i") - F.row_number().over(Window.partitionBy("doc", "kept").orderBy("i")))
     run = Window.partitionBy("doc", "run")
     runs = stored(runs.withColumn("run_words", F.sum("words").over(run)).withColumn("head", F.min("key").over(run)).filter(F.col("run_words") >= MIN_WORDS), "runs")
-    named = components(runs.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "block-components")
+    with scratch() as keep:
+        named = keep(stored(components(runs.select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "block-components"), "named-blocks"))
     spans = (runs.groupBy("doc", "id", "run", "kept", "part")
              .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), F.min("head").alias("head"))
              .join(named, F.col("head") == F.col("node"), "left").withColumn("passage", F.coalesce("component", "head")).withColumn("kind", F.lit("run")).select(*_SPAN))
@@ -236,8 +241,12 @@ def passages(docs: DataFrame) -> DataFrame:
     met = anchors.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z").select("h")
     wanted = hits.select("doc", "line").union(anchors.join(met, "h", "left_semi").select("doc", "line")).groupBy("doc").agg(F.collect_set("line").alias("lines"))
     wanted = stored(wanted, "wanted-lines")
-    lines = stored(_paragraphs(docs, wanted).dropDuplicates(["doc", "start"]), "paragraphs")
+    discard(base, hits)
+    # lines are cut twice: written with their shingles they would lie beside the shuffle and the table of their nodes
+    lines = _paragraphs(docs, wanted)
     nodes = stored(lines.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "paragraph-nodes")
+    places = stored(lines.select("doc", "id", "node", "start", "end", "words").dropDuplicates(["doc", "start"]), "places")
+    discard(wanted)
 
     def verify(pairs: DataFrame) -> DataFrame:
         sets = nodes.select("node", "shingles")
@@ -248,8 +257,10 @@ def passages(docs: DataFrame) -> DataFrame:
     def sets(wanted: DataFrame) -> DataFrame:
         return nodes.join(wanted, "node", "left_semi").select("node", F.size("shingles").alias("size"), "bits", F.array_sort("shingles").alias("elements"))
 
-    joined = components(hub_links(nodes.select("node", "sketch"), verify, BANDS, "paragraph", SIMILARITY, jaccard_apart, sets), "paragraph-components")
-    members = lines.select("doc", "id", "node", "start", "end", "words").join(joined, "node")
+    with scratch() as keep:
+        joined = keep(stored(components(hub_links(nodes.select("node", "sketch"), verify, BANDS, "paragraph", SIMILARITY, jaccard_apart, sets), "paragraph-components"), "named-paragraphs"))
+    discard(nodes)
+    members = places.join(joined, "node")
     first = members.groupBy("component").agg(F.min(F.struct("id", "doc", "start")).alias("first"), F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a != z")
     near = (members.join(first, "component").withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))
             .withColumn("kind", F.lit("paragraph")).withColumn("passage", F.col("component")).select(*_SPAN))
@@ -273,7 +284,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A column n_chars, if there is one, follows the text.
     """
-    spans = passages(docs).filter("NOT kept").groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    with scratch() as keep:
+        spans = passages(docs).filter("NOT kept").groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = keep(stored(spans, "spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -285,7 +298,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                        _document(F.col("doc_id"), F.col("text")).alias("doc"))
     schema = f"doc_row {rows.schema['doc_row'].dataType.simpleString()}, text string, changed boolean"
     # texts that lose nothing are not moved
-    spans = stored(spans, "spans")
     touched = possible(rows, "doc", spans).join(spans, "doc", "left").select("doc_row", "text", "spans").mapInArrow(cut, schema)
     left = possible(rows, "doc", spans, held=False).select("doc_row", "text", F.lit(False).alias("changed"))
     done = touched.union(left).filter(~F.col("changed") | (F.length("text") > 0))
