@@ -1,9 +1,12 @@
 """Exact top-k inner products of quantised vectors, by distributed histogram selection.
 
-Queries and rows meet as matrix blocks (a stated query set against all rows).
-A pass scores everything and adds up, for each query, a histogram of its
-scores over all rows; the bin that holds the k-th largest score is the next
-pass's interval, until the bin is one value wide or holds hardly more rows
+Queries and rows meet as matrix blocks (a stated query set against all rows),
+in joins by shuffles: written blocks are small on disk and large in memory, so
+no size of theirs may lead to a broadcast. A pass scores everything and adds
+up, for each query, a histogram of its scores over all rows; a block of rows
+passes on its bins from the top down to the one that holds its own k-th score,
+below which the k-th of all rows cannot lie. The bin that holds the k-th
+largest score is the next pass's interval, until the bin is one value wide or holds hardly more rows
 than wanted. Only then are rows taken out: those at or above the bin, of which
 a block passes on the k best at most, ties to the smaller id, and the k best
 of these are exact.
@@ -50,25 +53,29 @@ def _pairs(state: DataFrame, rows: DataFrame, n_query_blocks: int, n_row_blocks:
                        ("low", "width", "above"))
     q = q.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), "low", "width",
                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_row_blocks - 1).cast("long"))).alias("rb"))
-    return q.join(rows, ["dim", "rb"])
-
-
-def _histogram(q_ids, q_matrix, low, width, ids, matrix) -> pa.RecordBatch:
-    qi, q = vectors.matrix(q_ids, q_matrix)
-    ci, c = vectors.matrix(ids, matrix)
-    low, width = np.frombuffer(low, "<f8"), np.frombuffer(width, "<f8")
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(0, len(qi), 128):
-        s = np.asarray(products(q[a:a + 128], c), float)
-        lo, w = low[a:a + 128, None], width[a:a + 128, None]
-        at = np.floor((s - lo) / w)
-        at[(qi[a:a + 128, None] == ci) | (at < 0) | (at >= BINS)] = BINS  # a place beyond the bins
-        flat = (at + np.arange(len(s))[:, None] * (BINS + 1)).astype(np.int64).ravel()
-        n = np.bincount(flat, minlength=len(s) * (BINS + 1)).reshape(len(s), -1)[:, :BINS]
-        row, col = np.nonzero(n)
-        out.append((qi[a:a + 128][row], col, n[row, col]))
-    ids, bins, counts = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bins, pa.int32()), pa.array(counts, pa.int64())], ["id", "bin", "n"])
+    return q.join(rows.hint("merge"), ["dim", "rb"])
+
+
+def _histogram(k: int):
+    def count(q_ids, q_matrix, low, width, ids, matrix) -> pa.RecordBatch:
+        qi, q = vectors.matrix(q_ids, q_matrix)
+        ci, c = vectors.matrix(ids, matrix)
+        low, width = np.frombuffer(low, "<f8"), np.frombuffer(width, "<f8")
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(qi), 128):
+            s = np.asarray(products(q[a:a + 128], c), float)
+            lo, w = low[a:a + 128, None], width[a:a + 128, None]
+            at = np.floor((s - lo) / w)
+            at[(qi[a:a + 128, None] == ci) | (at < 0) | (at >= BINS)] = BINS  # a place beyond the bins
+            flat = (at + np.arange(len(s))[:, None] * (BINS + 1)).astype(np.int64).ravel()
+            n = np.bincount(flat, minlength=len(s) * (BINS + 1)).reshape(len(s), -1)[:, :BINS]
+            higher = n[:, ::-1].cumsum(1)[:, ::-1] - n
+            row, col = np.nonzero((n > 0) & (higher < k))
+            out.append((qi[a:a + 128][row], col, n[row, col]))
+        ids, bins, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bins, pa.int32()), pa.array(counts, pa.int64())], ["id", "bin", "n"])
+
+    return count
 
 
 def _above(k: int):
@@ -112,10 +119,10 @@ def search(df: DataFrame, k: int, is_query: Column, scale: float = 64.0, id_col:
         if not open_.limit(1).count():
             break
         found = (vectors.over_pairs(_pairs(open_, rows, n_queries, n_rows), ["q_ids", "q_matrix", "low", "width", "ids", "matrix"],
-                                    _histogram, "id long, bin int, n long")
+                                    _histogram(k), "id long, bin int, n long")
                  .groupBy("id", "bin").agg(F.sum("n").alias("rows")))
         down = Window.partitionBy("id").orderBy(F.col("bin").desc())
-        located = (open_.join(found, "id").withColumn("upto", F.sum("rows").over(down) + F.col("above"))
+        located = (open_.join(found.hint("merge"), "id").withColumn("upto", F.sum("rows").over(down) + F.col("above"))
                    .filter((F.col("upto") >= k) & (F.col("upto") - F.col("rows") < k))
                    .select("id", "dim", "v", "n", (F.col("low") + F.col("bin") * F.col("width")).alias("low"),
                            F.ceil(F.col("width") / BINS).cast("double").alias("next"), "width",

@@ -62,6 +62,16 @@ def test_topk_against_brute_force(spark, monkeypatch, small):
     assert {q: v for q, v in want.items() if v} == dict(got)
 
 
+def test_topk_blocks_meet_by_shuffles_and_pass_on_the_highest_bins(spark):
+    state = spark.createDataFrame([(0, 2, [1.0, 2.0], 0.0, 1.0, 0.0)], "id long, dim int, v array<double>, low double, width double, above double")
+    rows = spark.createDataFrame([(2, 0, b"", b"")], "dim int, rb long, ids binary, matrix binary")
+    plan = topk._pairs(state, rows, 1, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a block of queries stands beside each block of rows: many times its size
+    ids, scores = np.arange(50, dtype="<i8"), np.arange(50.0)
+    found = topk._histogram(3)(np.array([99]).tobytes(), np.array([1.0]).tobytes(), np.zeros(1).tobytes(), np.ones(1).tobytes(), ids.tobytes(), scores.tobytes())
+    assert found.to_pydict() == {"id": [99] * 3, "bin": [47, 48, 49], "n": [1] * 3}
+
+
 def test_topk_products_beyond_doubles():
     q, c = np.array([[2.0**40, 1.0]]), np.array([[2.0**15, 3.0], [2.0**40, 0.0]])
     assert topk.products(q, c).tolist() == [[2**55 + 3, 2**63 - 1]]
