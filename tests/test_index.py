@@ -43,6 +43,33 @@ def test_all_cells_give_the_exact_result(spark, monkeypatch, center_bytes):
     assert rows_of(idx.search(questions, 5, probes=n)) == want
 
 
+def test_what_leaves_a_task_is_bounded_by_blocks(spark, tmp_path):
+    """Vectors that codes tell nothing about: a search moved nearly every pair of question and row, and each vector once per probed cell."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 48))
+    corpus = spark.createDataFrame([(i, LABELS[i % 3], v.tolist()) for i, v in enumerate(x)], "row_id long, label string, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:400])], "q_id long, q_vec array<double>")
+    idx = cells.build_cells(corpus)
+    for probes in (len(idx.model.centers), 40):
+        plan = idx.search(asked, 5, focus_col=None, probes=probes)
+        assert plan.count() == 2000
+        moved, node = [], [plan._jdf.queryExecution().executedPlan()]
+        plan._jdf.queryExecution().executedPlan().execute().count()
+        while node:
+            at = node.pop()
+            kind = at.getClass().getSimpleName()
+            if kind == "ShuffleExchangeExec":
+                moved.append(at.metrics().apply("shuffleRecordsWritten").value())
+            if kind.startswith("AdaptiveSparkPlan"):
+                node.append(at.executedPlan())
+            elif kind.endswith("QueryStageExec"):
+                node.append(at.plan())
+            else:
+                children = at.children()
+                node.extend(children.apply(i) for i in range(children.size()))
+        assert moved and max(moved) <= 400 * 5 * 6, moved
+
+
 def test_few_cells_find_most_of_it(spark):
     corpus, questions = make(spark, n=2000)
     idx = cells.build_cells(corpus)
