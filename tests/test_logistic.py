@@ -86,3 +86,42 @@ def test_long_texts_are_encoded_a_few_at_a_time(spark, monkeypatch):
     subwords.encode_subwords(Frame(), "any", None)
     batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts), pa.array(texts)], ["id", "text", "_text"])
     assert sum(p.num_rows for p in seen["run"](iter([batch]))) == 9 and max(largest) <= fe.SLICE_BYTES
+
+
+@pytest.mark.parametrize("outputs", [1, 3])
+def test_loss_and_gradient_of_blocks_are_those_of_all_rows(outputs):
+    """Class 0 takes no pass over the terms; blocks are bounded by their terms; rows without terms count."""
+    rng = np.random.default_rng(4)
+    n, size = 500, 40
+    x = rng.random((n, size)) * (rng.random((n, size)) < 0.3)
+    x[:3] = x[17] = x[-1] = 0
+    labels, w = rng.integers(0, max(outputs, 2), n), rng.normal(size=(outputs, size + 1))
+    row, index = np.nonzero(x)
+    kept, logistic.BLOCK_TERMS = logistic.BLOCK_TERMS, 100
+    try:
+        blocks = [b.to_pylist()[0] for b in logistic.in_blocks(labels, np.cumsum(np.bincount(row, minlength=n)), index, x[row, index])]
+    finally:
+        logistic.BLOCK_TERMS = kept
+    assert len(blocks) > 50 and max(len(b["indices"]) for b in blocks) <= 4 * 100
+    gradient = np.zeros_like(w)
+    lost = sum(logistic.block_loss(b, w, gradient) for b in blocks)
+    margins = x @ w[:, :-1].T + w[:, -1]
+    margins = margins if outputs > 1 else np.hstack([np.zeros((n, 1)), margins])
+    p = np.exp(margins) / np.exp(margins).sum(axis=1, keepdims=True)
+    assert lost == pytest.approx(-np.log(p[np.arange(n), labels]).sum())
+    p[np.arange(n), labels] -= 1
+    want = np.hstack([x, np.ones((n, 1))]).T @ p[:, -outputs:]
+    assert logistic.whole(gradient) == pytest.approx(want.T)
+
+
+def test_documents_are_counted_once_for_a_vocabulary(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    stats = spark.createDataFrame([(f"t{i}", i % 4 + 1, i % 7 + 1) for i in range(60)], "term string, df long, cf long").mapInArrow(run, "term string, df long, cf long")
+    assert fe.vocabulary_of(stats, 10, fe.WORD_SPEC).count() == 45
+    assert counted.value == 60
