@@ -70,6 +70,15 @@ def test_what_leaves_a_task_is_bounded_by_blocks(spark, tmp_path):
         assert moved and max(moved) <= 400 * 5 * 6, moved
 
 
+def test_questions_that_share_a_number(spark):
+    corpus, questions = make(spark, n=200)
+    idx = cells.build_cells(corpus)
+    one = questions.filter("q_id = 3").drop("focus")
+    once = [r[2] for r in rows_of(idx.search(one, 5, focus_col=None, probes=len(idx.model.centers)))]
+    twice = [r[2] for r in rows_of(idx.search(one.union(one), 5, focus_col=None, probes=len(idx.model.centers)))]
+    assert len(set(once)) == 5 and twice == [once[0]] * 4 + [once[1]]
+
+
 def test_few_cells_find_most_of_it(spark):
     corpus, questions = make(spark, n=2000)
     idx = cells.build_cells(corpus)
